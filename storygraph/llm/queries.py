@@ -1,6 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from storygraph.llm import line_dedup
+from storygraph.llm import bpe, line_dedup, mixing
 
-QUERIES = {"op10_line_dedup": line_dedup.op10_line_dedup}
+QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op6_mix_sources": mixing.op6_mix_sources,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
+}
 ORACLES = {"op10_line_dedup": line_dedup.ORACLE}
