@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from storygraph.llm import bpe, line_dedup, mixing
+from storygraph.llm import bpe, line_dedup, mixing, quality
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_quality": quality.op2_quality,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
