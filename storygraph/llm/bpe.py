@@ -21,15 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space by Unicode, spelt out because libraries differ on the control characters 1C to 1F.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed by the tokenizer's file: what a word is.
 _WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+"
-#: Words that a task remembers.
-REMEMBERED = 250_000
+#: Words that a task remembers, twice over (lately met, and before).
+REMEMBERED = 100_000
 
 
 def default_path() -> str:
@@ -112,6 +114,7 @@ class Encoder(dict):
     def __init__(self, model: dict):
         import regex
 
+        self.older: dict = {}
         self.find = regex.compile(_WORD).findall
         self.special = {t: struct.pack("<I", i) for t, i in model["special"].items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -121,12 +124,15 @@ class Encoder(dict):
         self.pairs = {a << 20 | b: (rank, c) for rank, (a, b, c) in enumerate(model["merges"])}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        raw = word.encode("utf-8", "surrogatepass")
-        ids = merge([*(self.inner[b] for b in raw[:-1]), self.last[raw[-1]]], self.pairs)
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.older.pop(word, None)
+        if out is None:
+            raw = word.encode("utf-8", "surrogatepass")
+            ids = merge([*(self.inner[b] for b in raw[:-1]), self.last[raw[-1]]], self.pairs)
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
+            if len(self) >= REMEMBERED:  # words met lately stay, those that did not come up again since go
+                self.older = dict(self)
+                self.clear()
             self[word] = out
         return out
 
@@ -155,31 +161,62 @@ def _own(kind: str, key: str, model, make):
 
 
 class Bpe:
-    """encode() and decode() as columns; ids are packed: 4 bytes each, little-endian."""
+    """encode() and decode() as columns, or both at once over a table; ids are packed: 4 bytes each, little-endian."""
+
+    #: Rows that a task turns into Python objects at once.
+    ROWS = 128
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        model = self.model = spark.sparkContext.broadcast(load(path or default_path()))  # a vocabulary of fixed size
-        key = uuid.uuid4().hex
+        self.model = spark.sparkContext.broadcast(load(path or default_path()))  # a vocabulary of fixed size
+        self.key = uuid.uuid4().hex
+
+    def encode(self, text: Column) -> Column:
+        model, key = self.model, self.key
 
-        @F.pandas_udf("binary")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             own = _own("encoder", key, model, Encoder)
             for texts in batches:
                 yield pd.Series([own.encode(x) for x in texts], dtype=object)
 
-        @F.pandas_udf("string")
+        return F.pandas_udf(encode, "binary")(text)
+
+    def decode(self, ids: Column) -> Column:
+        model, key = self.model, self.key
+
         def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             tokens = _own("tokens", key, model, lambda m: m["tokens"])
             for packed in batches:
-                yield pd.Series([" ".join([t for i in np.frombuffer(x or b"", "<u4").tolist() if i < len(tokens) and (t := tokens[i]) is not None]) for x in packed], dtype=object)
+                yield pd.Series([decoded(x, tokens) for x in packed], dtype=object)
 
-        self._encode, self._decode = encode, decode
+        return F.pandas_udf(decode, "string")(ids)
 
-    def encode(self, text: Column) -> Column:
-        return self._encode(text)
+    def both(self, docs: DataFrame) -> DataFrame:
+        """docs with ids, n_tokens and decoded, in one pass of one worker."""
+        model, key, rows = self.model, self.key, self.ROWS
+        at = docs.columns.index("text")
+        schema = T.StructType([f for f in docs.schema if f.name not in ("ids", "n_tokens", "decoded")])
+        keep = [i for i, f in enumerate(docs.schema) if f.name not in ("ids", "n_tokens", "decoded")]
+        schema = schema.add("ids", "binary").add("n_tokens", "long").add("decoded", "string")
 
-    def decode(self, ids: Column) -> Column:
-        return self._decode(ids)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, tokens = _own("encoder", key, model, Encoder), _own("tokens", key, model, lambda m: m["tokens"])
+            for batch in batches:
+                for start in range(0, batch.num_rows, rows):
+                    part = batch.slice(start, rows)
+                    ids = [own.encode(x) for x in part.column(at).to_pylist()]
+                    counts = pa.array([len(x) // 4 for x in ids], pa.int64())
+                    made = [pa.array(ids, pa.binary()), counts, pa.array([decoded(x, tokens) for x in ids], pa.string())]
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *made], names=schema.names)
+
+        return docs.mapInArrow(run, schema)
+
+
+def decoded(ids: bytes | None, tokens: list[str | None]) -> str:
+    """The tokens of packed ids, joined by spaces."""
+    found = np.frombuffer(ids or b"", "<u4")
+    if len(found) and int(found.max()) >= len(tokens):
+        found = found[found < len(tokens)]
+    return " ".join([t for t in map(tokens.__getitem__, found.tolist()) if t is not None])
 
 
 def unpacked(ids: Column) -> Column:
@@ -191,10 +228,8 @@ def unpacked(ids: Column) -> Column:
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs with ids (packed), n_tokens and decoded."""
-    bpe = Bpe(docs.sparkSession, path)
-    out = docs.withColumn("ids", bpe.encode(F.col("text")))
-    return out.withColumn("n_tokens", F.floor(F.octet_length("ids") / 4)).withColumn("decoded", bpe.decode(F.col("ids")))
+    """docs with ids (packed), n_tokens and decoded, in place of columns of these names."""
+    return Bpe(docs.sparkSession, path).both(docs)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
