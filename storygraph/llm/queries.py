@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from storygraph.llm import bpe, line_dedup, mixing, quality
+from storygraph.llm import bpe, line_dedup, mixing, near_dedup, quality
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_quality": quality.op2_quality,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
