@@ -1,12 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
-from storygraph.llm import bpe, line_dedup, mixing, near_dedup, quality
+from storygraph.llm import bpe, bytes_dedup, language_id, line_dedup, mixing, near_dedup, pii, quality, top_k, word_dedup
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_quality": quality.op2_quality,
+    "op3_substring_dedup": word_dedup.op3_substring_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_language_id": language_id.op5_language_id,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_pii_surrogates": pii.op7_pii_surrogates,
+    "op8_suffix_dedup": bytes_dedup.op8_suffix_dedup,
+    "op9_top_k": top_k.op9_top_k,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLES = {"op10_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op9_top_k": top_k.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
