@@ -7,8 +7,9 @@
    class alone take their places in the prefix and are skipped.
 3. Each list proposes its hub, the member whose elements are the most common ones, to all its members; pairs with MATCH collisions are
    confirmed on full shingle sets, and confirmed links joined to components. So a group of n copies takes n comparisons, not n * n.
-4. Lists whose members are in different components propose the pairs across components that are left, unless the elements that
-   only one class has already rule out MATCH collisions; these are counted and confirmed likewise. No partner is dropped.
+4. Lists whose members are in different components propose the pairs across components that are left. Skipped are the pairs that
+   cannot be links: by the elements that only one class has, which rule out MATCH collisions, or by the shingles that only one of the classes left
+   has, which bound the similarity of two full sets. The others are counted and confirmed likewise; no partner is dropped.
 
 A pair of similarity 0.85 has fewer than MATCH = 64 of K = 96 collisions about 4 times in a million.
 
@@ -130,14 +131,15 @@ def linked(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     made = docs.filter("doc_id IS NOT NULL").mapInArrow(_classes, "doc_id long, n_shingles long, node long, sig array<long>")
-    classes = made.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
+    classes = made.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = stored(classes, "near-classes")
 
     posted = classes.select("node", F.posexplode("sig").alias("k", "element"))
     sizes = posted.groupBy("element").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = posted.join(sizes, "element").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("size", "element", "k"))).alias("e"))  # K at most
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
     bits = lambda low: F.aggregate(  # noqa: E731  the coordinates whose element some other class has too
-        F.filter("e", lambda x: (x["k"] >= low) & (x["k"] < low + 48)), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.expr("1L").cast("long") * F.pow(F.lit(2.0), x["k"] - low).cast("long"))
+        F.filter("e", lambda x: (x["k"] >= low) & (x["k"] < low + 48)), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x["k"] - low))
     )
     shared = shared.select(
         "node",
@@ -162,8 +164,12 @@ def linked(docs: DataFrame) -> DataFrame:
     mixed = at.groupBy("element").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("element")
     at = at.join(mixed, "element", "left_semi").select("element", "node", "root", "low", "high")
     at = stored(at, "near-rest")
+    left = stored(_unshared(at.select("node").distinct(), texts).join(classes.select("node", "n"), "node").filter(100 * (F.col("n") - F.col("own")) >= SIMILAR * F.col("n")), "near-unshared")
+    at = at.join(left, "node")
     x, y = at.alias("x"), at.alias("y")
     could = F.bit_count(F.col("x.low").bitwiseAND(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseAND(F.col("y.high"))) >= MATCH
+    common = F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own"))  # at most
+    could &= 100 * common >= SIMILAR * (F.col("x.n") + F.col("y.n") - common)
     rest = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & could)
     rest = rest.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
     rest = stored(rest, "near-rest-pairs")
@@ -180,6 +186,22 @@ def linked(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _unshared(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, own): for each class the number of its shingles that no other of the classes has."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                own = [shingles(x).view(np.int64) for x in part.column(1).to_pylist()]
+                node = np.repeat(part.column(0).to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate(own))], ["node", "shingle"])
+
+    each = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, shingle long")
+    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    return nodes.join(alone, "node", "left").select("node", F.coalesce("own", F.lit(0)).alias("own"))
+
+
 def _only(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     return texts.join(nodes, "node", "left_semi")
