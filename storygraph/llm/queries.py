@@ -1,8 +1,18 @@
 """The queries of this subpackage and their SQL."""
 
+from pyspark.sql import DataFrame, SparkSession
+
 from storygraph.llm import bpe, bytes_dedup, language_id, line_dedup, mixing, near_dedup, pii, quality, top_k, word_dedup
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_bpe": bpe.op1_bpe,
     "op2_quality": quality.op2_quality,
     "op3_substring_dedup": word_dedup.op3_substring_dedup,
