@@ -1,4 +1,7 @@
 """All queries of the library and their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from storygraph.plans import analytics_plans, graph_plans, source_plans, text_plans, timeline_plans
+
+_PLANS = (graph_plans, analytics_plans, text_plans, timeline_plans, source_plans)
+QUERIES = {n: f for p in _PLANS for n, f in p.QUERIES.items()}
+ORACLES = {n: s for p in _PLANS for n, s in p.ORACLES.items()}
