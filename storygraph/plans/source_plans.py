@@ -30,12 +30,12 @@ def written_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    """Documents written as text files, one for each, and read whole."""
+    """Documents written as text files, a folder for each source, and read back whole."""
     path = _folder(spark)
     t = documents(spark, d).filter("length(text) > 0")
-    t.select("story", "text").write.partitionBy("story").option("lineSep", "\x00").text(path)
+    t.select("work", "text").write.partitionBy("work").option("lineSep", "\x00").text(path)
     back = spark.read.option("lineSep", "\x00").text(path)
-    return back.groupBy("story").agg(F.sum(F.length("value")).alias("length"))
+    return back.groupBy("work").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("value")).alias("length"))
 
 
 def streamed_answers(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +57,6 @@ ORACLES = {
     "source_written_graph": with_(CONV)
     + """, e AS (SELECT story, 'PARTICIPATED_IN' AS rel_type FROM c_part UNION ALL SELECT story, 'PERFORMED' FROM c_events UNION ALL SELECT story, 'SPOKE_IN' FROM c_events UNION ALL SELECT story, 'TOLD_TO' FROM c_told)
 SELECT story, CASE WHEN story LIKE '%3' THEN lower(rel_type) ELSE rel_type END AS rel_type, count(*) AS n FROM e GROUP BY 1, 2""",
-    "source_texts": with_(DOCS) + "SELECT story, length(text)::BIGINT AS length FROM d_raw WHERE length(text) > 0",
+    "source_texts": with_(DOCS) + "SELECT work, count(*) AS texts, sum(length(text))::BIGINT AS length FROM d_raw WHERE length(text) > 0 GROUP BY 1",
     "source_streamed_answers": with_(CONV) + "SELECT story, section, 1 AS events, true AS parse_ok FROM c_events",
 }
