@@ -148,7 +148,8 @@ def linked(docs: DataFrame) -> DataFrame:
         bits(48).alias("high"),
         F.when(F.size("e") >= MATCH, F.slice("e", 1, F.size("e") - (MATCH - 1))).otherwise(F.array().cast("array<struct<size:bigint,element:bigint,k:int>>")).alias("e"),
     )
-    prefix = stored(shared.select("node", "common", "low", "high", F.explode("e.element").alias("element")), "near-prefixes")
+    shared = stored(shared.withColumn("e", F.col("e.element")), "near-prefixes")  # rarest first
+    prefix = shared.select("node", "common", F.explode("e").alias("element"))
 
     hubs = prefix.groupBy("element").agg(F.max(F.struct("common", "node")).alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     pairs = prefix.select("element", "node").join(hubs.select("element", F.col("h.node").alias("hub")), "element")
@@ -162,16 +163,17 @@ def linked(docs: DataFrame) -> DataFrame:
 
     at = prefix.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = at.groupBy("element").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("element")
-    at = at.join(mixed, "element", "left_semi").select("element", "node", "root", "low", "high")
+    at = at.join(mixed, "element", "left_semi").select("element", "node", "root")
     at = stored(at, "near-rest")
     left = stored(_unshared(at.select("node").distinct(), texts).join(classes.select("node", "n"), "node").filter(100 * (F.col("n") - F.col("own")) >= SIMILAR * F.col("n")), "near-unshared")
-    at = at.join(left, "node")
+    at = at.join(left, "node").join(shared.select("node", "low", "high", "e"), "node")
     x, y = at.alias("x"), at.alias("y")
     could = F.bit_count(F.col("x.low").bitwiseAND(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseAND(F.col("y.high"))) >= MATCH
     common = F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own"))  # at most
     could &= 100 * common >= SIMILAR * (F.col("x.n") + F.col("y.n") - common)
+    could &= F.element_at(F.array_intersect("x.e", "y.e"), 1) == F.col("x.element")  # a pair is proposed once, by its rarest list
     rest = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & could)
-    rest = rest.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
+    rest = rest.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).join(pairs, ["u", "v"], "left_anti")
     rest = stored(rest, "near-rest-pairs")
     more = stored(_confirmed(rest, classes, _only(texts, rest)), "near-links")
     found = components(links.unionByName(more))
@@ -217,3 +219,19 @@ def kept(docs: DataFrame) -> DataFrame:
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: DuckDB, on whole tables.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, len(ws) AS size, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT doc_id, size, i, string_agg(word, ' ') OVER r AS gram FROM w WINDOW r AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+s AS (SELECT DISTINCT doc_id, gram FROM g WHERE i <= greatest(1, size - 4)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS hop FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.hop),
+m AS (SELECT doc_id, min(hop) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
