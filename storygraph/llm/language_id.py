@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storygraph.llm.common import mix
 
@@ -117,8 +118,9 @@ def scores(h: np.ndarray, filter_: np.ndarray, n: int, chance: np.ndarray) -> np
 def predict(docs: DataFrame, names: list[str], filter_: np.ndarray) -> DataFrame:
     """docs without text, with lang_pred and score."""
     model = docs.sparkSession.sparkContext.broadcast(filter_)  # 8 bytes for each of SLOTS slots
+    docs = docs.drop("lang_pred", "score")
     at = docs.columns.index("text")
-    schema = ", ".join(f"{n} {t}" for n, t in docs.dtypes if n != "text") + ", lang_pred string, score double"
+    schema = T.StructType([f for f in docs.schema if f.name != "text"]).add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = model.value

@@ -27,6 +27,8 @@ from storygraph.llm.common import SPACE, SPACES, once, stored, words
 SYMBOLS = "#*$%&|<>"
 WIDTH = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
+#: Columns that the operator makes, in place of any of these names.
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", "grp")
 #: Least standard deviation of each transformed statistic.
 FLOOR = {"x_words": 1.0, "x_length": 0.03, "x_symbols": 0.15, "x_lines": 0.45, "x_repeats": 0.45}
 X = list(FLOOR)
@@ -76,7 +78,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     of_words = once(words(text), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), repeated_words(ws).alias("repeats")))
     out = docs.withColumn("_w", of_words)
     return out.select(
-        *[c for c in docs.columns if c != "text"],
+        *[c for c in docs.columns if c not in ("text", *MADE)],
         F.col("_w.n").alias("n_words"),
         F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -168,22 +170,20 @@ def estimates(rows: DataFrame) -> DataFrame:
     return stored(_estimate(distance(rows, now).filter(F.col("d2") <= REWEIGHT).groupBy("grp").agg(*_sums()), SHORT_REWEIGHTED), "quality-step")
 
 
-def judged(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """docs with the statistics, d2 and kept; text only if keep_text. The vectors are stored once and read in each step."""
-    if keep_text:
-        docs = docs.withColumn("_text", F.col("text"))
+def judged(docs: DataFrame) -> DataFrame:
+    """docs without text, with the statistics, d2 and kept. The vectors are stored once and read in each step."""
     rows = stored(vectors(statistics(docs)), "quality-vectors")
     grouped = _pooled(rows)
     fit = stored(grouped.filter("NOT base_failed").select("grp", *X), "quality-fit")
     out = distance(grouped, estimates(fit))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
-    out = out.withColumn("kept", kept).drop("grp", *X)
-    return out.withColumnRenamed("_text", "text") if keep_text else out
+    passed = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
+    return out.withColumn("kept", passed).drop("grp", *X)
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass both, with their own columns."""
-    return judged(docs, keep_text=True).filter("kept").select(*docs.columns)
+    whole = docs.select("lang", "source", "text", F.struct(*docs.columns).alias("_doc"))
+    return judged(whole).filter("kept").select("_doc.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

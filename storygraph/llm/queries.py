@@ -24,4 +24,10 @@ QUERIES = {
     "op9_top_k": top_k.op9_top_k,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLES = {"op9_top_k": top_k.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+ORACLES = {
+    "op3_substring_dedup": word_dedup.ORACLE,
+    "op4_near_dedup": near_dedup.ORACLE,
+    "op8_suffix_dedup": bytes_dedup.ORACLE,
+    "op9_top_k": top_k.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
+}
