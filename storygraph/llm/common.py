@@ -40,6 +40,17 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def wrapped(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and _doc with all columns, so that names of our own meet none of theirs."""
+    return docs.select(*names, F.struct(*docs.columns).alias("_doc"))
+
+
+def unwrapped(df: DataFrame, columns: list[str], *made: str) -> DataFrame:
+    """The columns of _doc in their order, `made` ones in place of those of their names or after them."""
+    own = [F.col(c) if c in made else F.col("_doc").getField(c).alias(c) for c in columns]
+    return df.select(*own, *[c for c in made if c not in columns])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case of A-Z alone."""
     return F.translate(text, UPPER, LOWER)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storygraph.llm.common import SPACE, ascii_lower, once, scratch_path
+from storygraph.llm.common import SPACE, ascii_lower, once, scratch_path, unwrapped, wrapped
 
 FANOUT = 4
 BATCHES = 4
@@ -94,7 +94,8 @@ class LineStore:
 
 def clean(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """All columns of docs, with text cleaned, and n_lines, n_dropped."""
-    spark = docs.sparkSession
+    spark, columns = docs.sparkSession, docs.columns
+    docs = wrapped(docs, "doc_id", "text")
     store = LineStore(spark)
     path = scratch_path(spark, "document-lines")
     document_lines(docs, batches).write.partitionBy("batch").option("compression", "zstd").parquet(path)
@@ -113,7 +114,7 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) ->
     n = F.size(lines(F.col("text"))).cast("long")
     kept = joined.withColumn("_stays", F.when(F.col("_gone").isNull(), lines(F.col("text"))).otherwise(stays))
     out = kept.withColumn("n_lines", n).withColumn("n_dropped", n - F.size("_stays"))
-    return out.withColumn("text", F.array_join("_stays", "\n")).drop("_gone", "_stays")
+    return unwrapped(out.withColumn("text", F.array_join("_stays", "\n")), columns, "text", "n_lines", "n_dropped")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

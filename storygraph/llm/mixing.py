@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storygraph.llm.common import n_words, once, prefix_sum, stored, words
+from storygraph.llm.common import n_words, once, prefix_sum, stored, unwrapped, words, wrapped
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -146,7 +146,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     body = F.coalesce("text", F.lit(""))
     hashes = [F.xxhash64("doc_id", "source", body).alias("_key1"), F.xxhash64(body, "doc_id", F.lit("row")).alias("_key2")]
     nth = F.row_number().over(Window.partitionBy("_key1", "_key2").orderBy("doc_id")).alias("_key3")  # rows that repeat are alike
-    keyed = docs.select("*", *hashes)
+    keyed = wrapped(docs, "doc_id", "source", "text").select("*", *hashes)
     rows, sources = sized(keyed.select("doc_id", "source", "text", "_key1", "_key2"))
     rows = rows.select("*", nth)
     got = pieces(rows).join(plan(sources).select("sid", "block", "epoch"), ["sid", "block"])
@@ -156,11 +156,11 @@ def mixed(docs: DataFrame) -> DataFrame:
         F.sum(F.col("end") - F.col("start")).alias("_got"),
     )
     got = got.groupBy(*keys, "size").agg(F.collect_list(F.struct("epoch", "_spans", "_got")).alias("_epochs"))  # at most MOST
-    out = keyed.select("*", nth).join(got, keys).select(*docs.columns, "size", F.explode("_epochs").alias("_e"))
+    out = keyed.select("*", nth).join(got, keys).select("_doc", "text", "size", F.explode("_epochs").alias("_e"))
     cut = F.flatten(F.transform("_e._spans", lambda s: F.slice(F.col("_words"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
     out = out.withColumn("_words", F.when(F.col("_e._got") < F.col("size"), words(F.col("text"))))
     out = out.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(F.array_join(cut, " ")))
-    return out.select(*docs.columns)
+    return unwrapped(out, docs.columns, "text")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storygraph.llm.common import WordHashes, mix, rolling, stored
+from storygraph.llm.common import WordHashes, mix, rolling, stored, unwrapped, wrapped
 from storygraph.llm.components import components
 
 SHINGLE = 5
@@ -211,10 +211,10 @@ def _only(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame) -> DataFrame:
     """One row of each group: the rows of docs that linked() keeps, and of rows that repeat a kept doc_id one."""
-    marks = linked(docs).filter("kept").select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL").distinct()
-    none = docs.filter("doc_id IS NULL")
-    out = docs.join(marks, docs.doc_id == marks._id, "left_semi").dropDuplicates(["doc_id"])
-    return out.unionByName(none)
+    whole = wrapped(docs, "doc_id")
+    marks = linked(docs).filter("kept").select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    out = whole.join(marks, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return unwrapped(out.unionByName(whole.filter("doc_id IS NULL")), docs.columns)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storygraph.llm.common import ascii_lower, once, stored
+from storygraph.llm.common import ascii_lower, once, stored, unwrapped, wrapped
 
 KEY = "storygraph"
 TYPES = ("email", "secret", "ip", "iban", "card", "id", "phone", "name")
@@ -176,6 +176,7 @@ def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
     none = F.array().cast("array<struct<s:string,kind:string,norm:string>>")
     count = lambda t: F.size(F.filter(F.coalesce("_found", none), lambda x: x["kind"] == t)).cast("long")
     counts = {f"n_{t}": count(t) for t in TYPES}
+    own_columns, docs = docs.columns, wrapped(docs, "doc_id", "text")
     seen = docs.withColumn("_found", found(F.col("text")))
     some = F.coalesce(F.exists("_found", lambda x: x["kind"].isNotNull()), F.lit(False))
     hashes = [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64("text", "doc_id", F.lit("row")).alias("_k2")]
@@ -189,8 +190,8 @@ def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
     )
     out = having.join(own, ["_k1", "_k2"]).withColumn("text", F.array_join(replaced, "")).withColumns(counts)
     rest = seen.filter(~some).withColumns({n: F.lit(0).cast("long") for n in counts})
-    columns = [*docs.columns, *[n for n in counts if n not in docs.columns]]
-    return out.select(*columns).unionByName(rest.select(*columns))
+    made = ["_doc", "text", *counts]
+    return unwrapped(out.select(*made).unionByName(rest.select(*made)), own_columns, "text", *counts)
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
