@@ -8,6 +8,7 @@ surrogates that collide with each other or with a real entity are drawn again un
 
 The table of entities is the only thing joined with; a frequent entity is one row of it, and its many documents are spread by
 Spark's split of skewed joins. Documents without entities pass without a shuffle.
+The pattern runs only over texts that pass a cheap test for what every entity has.
 
 Defined cases: null texts stay null; empty texts stay empty; rows that repeat, and null doc_ids, are treated like all others; an empty
 table gives an empty result; other columns are kept but for the names of the counts.
@@ -149,6 +150,16 @@ def rendered(s: Column, of: Column, value: Column) -> Column:
     )
 
 
+def may_hold(text: Column) -> Column:
+    """A cheap test that every text with an entity passes: a digit, an @, a word before a secret, or a title and a blank."""
+    near = [F.lower(text).contains(w) for w in ("token", "secret", "passw", "api_key", "apikey")]
+    titles = [text.contains(f"{t}{end}") for t in TITLES["m"] + TITLES["f"] for end in (" ", ". ")]
+    out = text.rlike("[0-9@]")
+    for c in near + titles:
+        out |= c
+    return F.coalesce(out, F.lit(False))
+
+
 def found(text: Column) -> Column:
     """The entities of a text in order: array of (s, kind, norm); matches that are none after all have a null kind."""
     typed = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda s: F.struct(s.alias("s"), kind(s).alias("kind")))
@@ -177,10 +188,11 @@ def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
     count = lambda t: F.size(F.filter(F.coalesce("_found", none), lambda x: x["kind"] == t)).cast("long")
     counts = {f"n_{t}": count(t) for t in TYPES}
     own_columns, docs = docs.columns, wrapped(docs, "doc_id", "text")
-    seen = docs.withColumn("_found", found(F.col("text")))
-    some = F.coalesce(F.exists("_found", lambda x: x["kind"].isNotNull()), F.lit(False))
     hashes = [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64("text", "doc_id", F.lit("row")).alias("_k2")]
-    having = seen.filter(some).select("*", *hashes)
+    # The pattern is slow, so it runs once over the texts that may hold something; these are few and stored with what was found.
+    seen = stored(docs.filter(may_hold(F.col("text"))).select("*", *hashes, found(F.col("text")).alias("_found")), "entity-texts")
+    some = F.coalesce(F.exists("_found", lambda x: x["kind"].isNotNull()), F.lit(False))
+    having = seen.filter(some)
     each = stored(having.select("_k1", "_k2", F.explode(F.array_distinct(F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), x["norm"].alias("norm"))))).alias("e")).filter("e.kind IS NOT NULL").select("_k1", "_k2", "e.*"), "entities")
     values = surrogates(each.select("kind", "norm").distinct(), key)
     own = each.join(values, ["kind", "norm"]).groupBy("_k1", "_k2").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "norm").alias("k"), "value"))).alias("_own"))  # a document's own entities
@@ -189,7 +201,8 @@ def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
         lambda z: F.concat(z["before"], F.when(z["x"].isNull(), F.lit("")).when(z["x"]["kind"].isNull(), z["x"]["s"]).otherwise(rendered(z["x"]["s"], z["x"]["kind"], F.try_element_at("_own", F.concat_ws(":", z["x"]["kind"], z["x"]["norm"]))))),
     )
     out = having.join(own, ["_k1", "_k2"]).withColumn("text", F.array_join(replaced, "")).withColumns(counts)
-    rest = seen.filter(~some).withColumns({n: F.lit(0).cast("long") for n in counts})
+    rest = docs.filter(~may_hold(F.col("text"))).select("_doc", "text").unionByName(seen.filter(~some).select("_doc", "text"))
+    rest = rest.withColumns({n: F.lit(0).cast("long") for n in counts})
     made = ["_doc", "text", *counts]
     return unwrapped(out.select(*made).unionByName(rest.select(*made)), own_columns, "text", *counts)
 
