@@ -19,6 +19,7 @@ from storygraph.llm.common import SPACE, ascii_lower, once, scratch_path, unwrap
 FANOUT = 4
 BATCHES = 4
 MIN_DOCS = 10
+SALTS = 16
 
 
 def lines(text: Column) -> Column:
@@ -103,8 +104,11 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) ->
     for b in range(batches):
         store.add(seen.filter(F.col("batch") == b))
     # What is left after the anti-join with the frequent hashes stays; so each document learns which of its lines go.
+    # A line that a third of all documents hold is spread over SALTS tasks by document.
+    frequent = store.frequent(min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     gone = (
-        seen.join(store.frequent(min_docs), ["h1", "h2"], "left_semi")
+        seen.withColumn("salt", F.pmod("k2", F.lit(SALTS)).cast("int"))
+        .join(frequent, ["h1", "h2", "salt"], "left_semi")
         .groupBy("k1", "k2")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))  # no more than a document has lines
     )
