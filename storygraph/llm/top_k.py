@@ -26,34 +26,34 @@ from storygraph.llm.common import stored
 
 TOP = 20
 #: Rows of a candidate block and of a query block; places that a walk goes down before it looks at the bound, at first.
-BLOCK, QUERIES, STEP = 8192, 1024, 64
+BLOCK, QUERIES, STEP = 8192, 512, 256
 
 
 def search(lists: np.ndarray, values: np.ndarray, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, skip: int, k: int) -> np.ndarray:
     """Places of the k best vectors, best first; skip: a place to leave out, or -1. lists[d]: places by rising component d."""
-    dims = np.flatnonzero(query)
+    up, down = np.flatnonzero(query < 0), np.flatnonzero(query > 0)
     n = len(ids)
     scores = np.zeros(n, vectors.dtype)
     met = np.zeros(n, bool)
     found = np.empty(0, np.int64)
-    up = query[dims] < 0
     depth, step = 0, STEP
-    while depth < n and len(dims):
+    while depth < n and len(up) + len(down):
         end = min(n, depth + step)
-        heads = [lists[d, depth:end] if u else lists[d, n - end : n - depth] for d, u in zip(dims, up, strict=True)]
         mark = np.zeros(n, bool)
-        for h in heads:
-            mark[h] = True
+        mark[lists[up, depth:end].ravel()] = True
+        mark[lists[down, n - end : n - depth].ravel()] = True
         new = np.flatnonzero(mark & ~met)
         met |= mark
         scores[new] = vectors[new] @ query
         found = np.concatenate([found, new[new != skip]])
         if len(found) > k:
+            least = np.partition(scores[found], len(found) - k)[len(found) - k]
+            found = found[scores[found] >= least]  # all that tie with the k-th
             found = found[np.lexsort((ids[found], -scores[found]))[:k]]
         depth, step = end, 2 * step
         if len(found) == k and depth < n:
-            last = np.array([values[d, depth - 1] if u else values[d, n - depth] for d, u in zip(dims, up, strict=True)])
-            if (last * query[dims]).sum() < scores[found].min():
+            bound = values[up, depth - 1] @ query[up] + values[down, n - depth] @ query[down]
+            if bound < scores[found].min():
                 return found[np.lexsort((ids[found], -scores[found]))]
     if depth < n:  # a query of zeros: all scores are 0
         found = np.delete(np.arange(n), skip) if skip >= 0 else np.arange(n)
@@ -96,9 +96,13 @@ def top(vectors: DataFrame, is_query, k: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score) for each row of vectors for which is_query, a column, holds."""
     rows = stored(usable(vectors).withColumn("dim", F.size("x")), "vectors").filter(F.col("vec_id").isNotNull())
     candidates = stored(_blocks(rows, BLOCK), "vector-blocks")
-    queries = _blocks(rows.filter(is_query), QUERIES).drop("lists")
-    queries = queries.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "vectors")])
-    met = queries.join(candidates, "dim")  # each block of queries with each block of candidates
+    queries = _blocks(rows.filter(is_query), QUERIES)
+    queries = queries.select("dim", F.col("block").alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "vectors")])
+    # Each block of queries with each block of candidates of its dimension, by the numbers of the blocks, dealt over all tasks.
+    blocks = candidates.groupBy("dim").agg(F.max("block").alias("last"))
+    queries = queries.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = queries.join(candidates, ["dim", "block"]).repartition(parts, "dim", "block", "q_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
