@@ -166,12 +166,13 @@ def linked(docs: DataFrame) -> DataFrame:
     at = at.join(mixed, "element", "left_semi").select("element", "node", "root")
     at = stored(at, "near-rest")
     left = stored(_unshared(at.select("node").distinct(), texts).join(classes.select("node", "n"), "node").filter(100 * (F.col("n") - F.col("own")) >= SIMILAR * F.col("n")), "near-unshared")
-    at = at.join(left, "node").join(shared.select("node", "low", "high", "e"), "node")
+    at = at.join(left, "node").join(shared.select("node", "low", "high", "e"), "node").join(classes.select("node", "sig"), "node")
     x, y = at.alias("x"), at.alias("y")
     could = F.bit_count(F.col("x.low").bitwiseAND(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseAND(F.col("y.high"))) >= MATCH
     common = F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own"))  # at most
     could &= 100 * common >= SIMILAR * (F.col("x.n") + F.col("y.n") - common)
     could &= F.element_at(F.array_intersect("x.e", "y.e"), 1) == F.col("x.element")  # a pair is proposed once, by its rarest list
+    could &= F.size(F.array_intersect("x.sig", "y.sig")) >= MATCH  # collisions are counted before a pair is made
     rest = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & could)
     rest = rest.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).join(pairs, ["u", "v"], "left_anti")
     rest = stored(rest, "near-rest-pairs")
