@@ -4,11 +4,14 @@ Entities are found by one pattern, and each distinct one (type, normal form) get
 and format. Letters become letters and digits digits, of the same case and in the same places; card numbers keep passing their check
 digit and other numbers of that length are left alone; addresses stay addresses; a name is replaced by one of its title's gender and its
 own script. One entity has one surrogate in all documents and spellings (coreference), and two entities never share one (distinctness):
-surrogates that collide with each other or with a real entity are drawn again until none does.
+surrogates that collide with each other or with a real entity are drawn again until none does. From draw LONGER on, each draw of a
+name, address or secret is longer by a syllable or a letter, so there are always more surrogates than entities. The other types have
+10^9 values of a format or more; where these are as good as used up, MOST_DRAWS draws end in an error that names the types.
 
 The table of entities is the only thing joined with; a frequent entity is one row of it, and its many documents are spread by
 Spark's split of skewed joins. Documents without entities pass without a shuffle.
-The pattern runs only over texts that pass a cheap test for what every entity has.
+The pattern runs only over texts that pass a cheap test for what every entity has. A placeholder for a secret, without a letter or
+digit, is none and stays; a secret of fewer digits than a telephone number has is a secret.
 
 Defined cases: null texts stay null; empty texts stay empty; rows that repeat, and null doc_ids, are treated like all others; an empty
 table gives an empty result; other columns are kept but for the names of the counts.
@@ -23,6 +26,8 @@ from storygraph.llm.common import ascii_lower, once, stored, unwrapped, wrapped
 
 KEY = "storygraph"
 TYPES = ("email", "secret", "ip", "iban", "card", "id", "phone", "name")
+#: The first draw that makes longer values; draws after which a type counts as used up.
+LONGER, MOST_DRAWS = 2, 100
 #: Titles by gender, given names and surname parts by script and gender.
 TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "госпожа")}
 GIVEN = {
@@ -77,10 +82,10 @@ def kind(s: Column) -> Column:
         .when(s.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
         .when(s.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "id")
         .when(s.rlike(r"^[0-9](?:[ -]?[0-9]){12,18}$"), once(_digits(s), lambda d: F.when(_luhn(d) % 10 == 0, "card")))
-        .when(s.rlike(r"^[+(0-9][0-9() .-]+$"), "phone")
+        .when(s.rlike(r"^[+(0-9][0-9() .-]+$") & (F.length(_digits(s)) >= 10), "phone")
         .when(s.rlike(rf"^{_TITLE}\.? "), "name")
         .when(s.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$") & ~s.rlike("^[0-9A-F]{32,64}$"), "iban")
-        .otherwise("secret")
+        .otherwise(F.when(s.rlike(r"[\p{L}0-9]"), "secret"))
     )
 
 
@@ -96,7 +101,7 @@ def _pick(values: tuple, n: Column) -> Column:
 
 
 def surrogate(of: Column, norm: Column, attempt: Column, key: str = KEY) -> Column:
-    """A value of the same type and shape, from a keyed hash."""
+    """A value of the same type and shape, from a keyed hash; names, addresses and secrets grow from draw LONGER on."""
     seed = F.concat_ws("|", F.lit(key), of, norm, attempt.cast("string"))
     stream = F.concat(*[F.sha2(F.concat_ws("|", seed, F.lit(str(i))), 256) for i in range(4)])
 
@@ -109,12 +114,16 @@ def surrogate(of: Column, norm: Column, attempt: Column, key: str = KEY) -> Colu
         hexed = F.array_join(F.transform(chars(norm), lambda c, i: F.substring(h, i % 256 + 1, F.lit(1))), "")
         keep = lambda n: F.concat(F.substring(norm, F.lit(1), n), shaped(F.substring(norm, n + 1, F.length(norm))))
         stem = lambda s: F.regexp_extract(s, r"^(.*)\.", 1)
+        extra = F.when(attempt < LONGER, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.lit(1), attempt - (LONGER - 1))))
+        letters = F.array_join(F.transform(extra, lambda i: letter(128 - i)), "")
         body = F.concat(F.substring(norm, F.lit(1), F.lit(1)), shaped(F.substring(norm, F.lit(2), F.length(norm) - 2)))
         card = once(body, lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
         ip = F.concat_ws(".", (byte(F.lit(0)) % 223 + 1).cast("string"), *[byte(F.lit(i)).cast("string") for i in (1, 2, 3)])
 
         def named(script: str, gender: str) -> Column:
             first, last = GIVEN[script, gender], F.concat(_pick(STEMS[script], byte(F.lit(1))), _pick(MIDDLES[script], byte(F.lit(2))), _pick(STEMS[script], byte(F.lit(5))), _pick(ENDS[script, gender], byte(F.lit(3))))
+            syllables = F.transform(extra, lambda i: F.concat(_pick(STEMS[script], byte(4 + 2 * i)), _pick(MIDDLES[script], byte(5 + 2 * i))))
+            last = F.concat(F.array_join(syllables, ""), last)
             last = F.concat(F.substring(last, F.lit(1), F.lit(1)), F.lower(F.substring(last, F.lit(2), F.length(last))))
             return F.when(norm.rlike("^. .*[ -]"), F.concat_ws(" ", _pick(first, byte(F.lit(4))), last)).otherwise(last)
 
@@ -124,10 +133,11 @@ def surrogate(of: Column, norm: Column, attempt: Column, key: str = KEY) -> Colu
             F.when(of == "ip", ip)
             .when(of == "card", card)
             .when(of == "name", name)
-            .when(of == "email", F.concat(shaped(stem(norm)), F.regexp_extract(norm, r"\.[^.]*$", 0)))
+            .when(of == "email", F.concat(letters, shaped(stem(norm)), F.regexp_extract(norm, r"\.[^.]*$", 0)))
             .when(of == "phone", keep(F.greatest(F.lit(0), F.length(norm) - 10)))
             .when(of == "iban", keep(F.lit(2)))
-            .when((of == "secret") & norm.rlike("^[0-9a-f]+$"), hexed)
+            .when((of == "secret") & norm.rlike("^[0-9a-f]*[a-f][0-9a-f]*$"), F.concat(letters, hexed))
+            .when(of == "secret", F.concat(letters, shaped(norm)))
             .otherwise(shaped(norm))
         )
 
@@ -135,26 +145,27 @@ def surrogate(of: Column, norm: Column, attempt: Column, key: str = KEY) -> Colu
 
 
 def rendered(s: Column, of: Column, value: Column) -> Column:
-    """A surrogate in the spelling of the occurrence s."""
+    """A surrogate in the spelling of the occurrence s; what makes it longer comes first."""
+    longer = F.length(value) - F.length(s)
     chars = F.filter(F.split(s, ""), lambda c: c != "")
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
     weave = lambda a, c: F.when(
         c.rlike("[0-9]"), F.struct(F.concat(a["out"], F.substring(value, a["k"], F.lit(1))).alias("out"), (a["k"] + 1).alias("k"))
     ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["k"].alias("k")))
-    cased = F.array_join(F.transform(chars, lambda c, i: once(F.substring(value, i + 1, F.lit(1)), lambda x: F.when(c.rlike("[A-Z]"), F.upper(x)).otherwise(x))), "")
+    cased = F.array_join(F.transform(chars, lambda c, i: once(F.substring(value, longer + i + 1, F.lit(1)), lambda x: F.when(c.rlike("[A-Z]"), F.upper(x)).otherwise(x))), "")
     return (
         F.when(of.isin("card", "id", "phone"), F.aggregate(chars, start, weave, lambda a: a["out"]))
         .when(of == "ip", value)
         .when(of == "name", F.concat(F.regexp_extract(s, rf"^{_TITLE}\.? ", 0), value))
-        .otherwise(cased)
+        .otherwise(F.concat(F.substring(value, F.lit(1), longer), cased))
     )
 
 
 def may_hold(text: Column) -> Column:
-    """A cheap test that every text with an entity passes: a digit, an @, a word before a secret, or a title and a blank."""
+    """A cheap test that every text with an entity passes: a digit, an @, an access key's start, a hash of letters alone, a word before a secret, or a title and a blank."""
     near = [F.lower(text).contains(w) for w in ("token", "secret", "passw", "api_key", "apikey")]
     titles = [text.contains(f"{t}{end}") for t in TITLES["m"] + TITLES["f"] for end in (" ", ". ")]
-    out = text.rlike("[0-9@]")
+    out = text.rlike("[0-9@]|AKIA|[0-9A-Fa-f]{32}")
     for c in near + titles:
         out |= c
     return F.coalesce(out, F.lit(False))
@@ -170,7 +181,7 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, norm, value) for distinct entities (kind, norm): no two share a value and no value is a real entity."""
     real = entities.select("kind", F.when(F.col("kind") == "name", F.substring("norm", 3, 1000)).otherwise(F.col("norm")).alias("_plain")).distinct()
     drawn = entities.withColumn("attempt", F.lit(0))
-    while True:
+    for _ in range(MOST_DRAWS):
         drawn = stored(drawn.select("kind", "norm", "attempt", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key).alias("value")), "surrogates")
         winner = drawn.groupBy("kind", "value").agg(F.min(F.struct("attempt", "norm")).alias("w"))
         judged = drawn.join(winner, ["kind", "value"]).withColumn("_plain", F.lower("value")).join(real.withColumn("_real", F.lit(True)), ["kind", "_plain"], "left")
@@ -180,6 +191,8 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         if judged.filter("again").isEmpty():
             return drawn.select("kind", "norm", "value")
         drawn = judged.select("kind", "norm", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+    used_up = [r["kind"] for r in judged.filter("again").select("kind").distinct().collect()]
+    raise ValueError(f"no surrogates are left for some entities of {used_up} after {MOST_DRAWS} draws")
 
 
 def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -332,6 +332,35 @@ def test_pii_collisions(spark):
     assert len(set(values)) == len(real) and not set(values) & set(real)
 
 
+def test_pii_more_entities_than_short_surrogates(spark):
+    """All one-letter mails, all values of a secret with one digit, 20,000 surnames and an address without letters: longer surrogates are drawn."""
+    names = [("name", f"m {''.join(chr(97 + i // 26**k % 26) for k in range(4))}") for i in range(20000)]
+    mails = [("email", f"{chr(97 + i)}@{chr(97 + j)}.com") for i in range(26) for j in range(26)]
+    rows = names + mails + [("secret", f"{i}_______") for i in range(10)] + [("email", "%@-.-")]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, norm string")).collect()
+    real = {(k, n.removeprefix("m ")) for k, n in rows}
+    values = {(r["kind"], r["value"].lower()) for r in got}
+    assert len(got) == len(rows) == len(values) and not values & real
+
+
+def test_pii_longer_surrogates_in_texts(spark):
+    """All mails and secrets of a short form: each is replaced by one of its own, in all its spellings."""
+    texts = [f"write to {chr(97 + i)}@{chr(97 + j)}.de or {chr(65 + i)}@{chr(97 + j)}.de, token: {i % 10}_______" for i in range(26) for j in range(26)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [re.fullmatch(r"write to (\S+@\w\.de) or (\S+@\w\.de), token: (\w+)", r["text"]).groups() for r in pii.pseudonymized(docs).orderBy("doc_id").collect()]
+    assert all(a == b.lower() for a, b, _ in got) and len({a for a, _, _ in got}) == 676 and not {a for a, _, _ in got} & {t.split()[2] for t in texts}
+    assert len({c for _, _, c in got}) == 10 and not {c for _, _, c in got} & {f"{i}_______" for i in range(10)}
+
+
+def test_pii_placeholders_and_keys_without_digits(spark):
+    key, lower, upper = "AKIA" + "BCDEFGHIJKLMNOPQ", "abcdef" * 6, "FEDCBA" * 6
+    texts = ["Password: ________", "token: --------", f"the key {key} here", f"the hash {lower} here", f"the hash {upper} here", "password: 1-------"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymized(docs).collect()}
+    assert [got[i]["text"] for i in (0, 1)] == texts[:2] and [got[i]["n_secret"] for i in range(6)] == [0, 0, 1, 1, 1, 1]
+    assert all(s not in got[i]["text"] for i, s in ((2, key), (3, lower), (4, upper), (5, "1-------")))
+
+
 def test_top_k(spark):
     rnd = np.random.default_rng(1)
     v = rnd.normal(size=(300, 6)).astype(np.float32)
