@@ -120,8 +120,8 @@ def state_at(edges: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def listed_stories(nodes: DataFrame, order: DataFrame) -> DataFrame:
-    """The stories of a whitelist in its order; order: (story, ord), small."""
-    return nodes.filter("kind = 'story'").join(F.broadcast(order), "story").select("story", "name", "ord")
+    """The stories of a whitelist in its order; order: (story, ord)."""
+    return nodes.filter("kind = 'story'").join(order, "story").select("story", "name", "ord")
 
 
 def numbered_states(edges: DataFrame) -> DataFrame:

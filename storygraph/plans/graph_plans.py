@@ -145,6 +145,11 @@ def listed_stories(spark, d):
     return P.listed_stories(n, order)
 
 
+def all_listed_stories(spark, d):
+    c, n, _ = _conv(spark, d)
+    return P.listed_stories(n, c["stories"].select("story", (-F.col("story_ord")).alias("ord")))
+
+
 def numbered_states(spark, d):
     return P.numbered_states(_moves(spark, d)[2])
 
@@ -201,7 +206,7 @@ QUERIES = {
     "graph_checked_edges": checked_edges, "graph_dropped_counts": dropped_counts, "graph_totals": graph_totals, "graph_key_violations": key_violations, "graph_skipped_entities": skipped_entities,
     "perspective_knowledge_cube": knowledge_cube, "perspective_facts": knowledge_facts, "perspective_events": event_shapes, "perspective_entities": entity_shapes,
     "perspective_context": context, "perspective_context_problems": context_problems, "perspective_visible_events": visible_events, "perspective_documents": document_knowledge,
-    "perspective_knows_via": knows_via, "perspective_met_so_far": met_so_far, "perspective_listed_stories": listed_stories, "perspective_numbered_states": numbered_states,
+    "perspective_knows_via": knows_via, "perspective_met_so_far": met_so_far, "perspective_listed_stories": listed_stories, "perspective_all_listed_stories": all_listed_stories, "perspective_numbered_states": numbered_states,
     "perspective_mentions": payload_mentions, "perspective_state_at": state_at, "perspective_present": present, "perspective_readable": readable, "perspective_prompts": prompts,
     "perspective_dossier": dossier, "perspective_subgraph": subgraph, "objective_state_windows": state_windows,
 }
@@ -244,6 +249,7 @@ SELECT s.story, character, section, id, modality, description FROM f JOIN c_sect
 FROM e JOIN c_events v ON v.story = e.story AND v.id = CASE rel_type WHEN 'TOLD_TO' THEN from_id ELSE to_id END""",
     "perspective_met_so_far": C + _NODES + "SELECT story, kind, id, name, pos FROM n WHERE kind IN ('entity', 'event') AND (pos IS NULL OR pos <= 2)",
     "perspective_listed_stories": C + "SELECT story, name, -story_ord AS ord FROM c_stories WHERE story_ord % 3 = 0 AND story_ord < 60",
+    "perspective_all_listed_stories": C + "SELECT story, name, -story_ord AS ord FROM c_stories",
     "perspective_numbered_states": M + "SELECT story, 'state_' || (row_number() OVER (PARTITION BY story ORDER BY from_id, to_id, rel_type, valid_from_section, valid_to_section NULLS FIRST) - 1) AS id, from_id, to_id, rel_type, valid_from_section, valid_to_section FROM m_state",
     "perspective_mentions": T + "SELECT story, entity, section, idx AS pos, mention_count, sentence_ids FROM t_mentions",
     "perspective_state_at": M + """SELECT s.story, s.from_id AS entity, n::INT AS n, rel_type, to_id AS target_id, replace(to_id, '_', ' ') AS target_label FROM m_state s, unnest([0, 7, 14, 29]) AS u(n)

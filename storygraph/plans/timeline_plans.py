@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from storygraph.operators import extraction as E
 from storygraph.operators import graph as G
 from storygraph.operators import objective as O
+from storygraph.operators import perspective as P
 from storygraph.operators import quality as K
 from storygraph.operators import timeline as TL
 from storygraph.plans.sql import CONV, MOVES, TRADE, with_
@@ -138,6 +139,28 @@ def entity_positions(spark, d):
     return TL.entity_positions(c["events"], pos, none)
 
 
+def mentioned_positions(spark, d):
+    c, r, pos = _tl(spark, d)
+    return TL.entity_positions(c["events"], pos, TL.mention_positions(E.mentions(answers(spark, d)), c["sentences"], r))
+
+
+def whole_dossier(spark, d):
+    """All facets of all entities of the conversations and their answers, half-way through each story."""
+    c, a = conversations(spark, d), answers(spark, d)
+    ids = c["entities"].select("story", F.explode(F.array("id", F.concat(F.lit("object_"), "id"))).alias("entity"))
+    fixed = c["stories"].select("story", F.explode(F.array(*map(F.lit, ("object_key", "case_one", "organisation_talk", "location_0")))).alias("entity"))
+    keys = ids.unionByName(fixed).join(_heads(c["sentences"]).withColumnRenamed("p", "n"), "story")
+    idx = c["sections"].select("story", "section", "idx")
+    at = G.event_positions(c["events"], c["sections"])
+    events = at.select("story", "id", "pos", "participants", F.col("communicates.recipients").alias("recipients"))
+    states = G.windowed_edges(O.state_windows(E.state_changes(a)), at)
+    mentions = E.mentions(a).select("story", "entity", "section").join(idx, ["story", "section"], "left")
+    clues = E.clues(a).select("story", "object", "case", "discovered_by", F.col("discovered_in_section").alias("section")).join(idx, ["story", "section"], "left")
+    begin = at.select("story", F.col("id").alias("valid_from"), F.col("pos").alias("valid_from_section"))
+    members = O.memberships(E.members(a)).select("story", "character", "organisation", "valid_from").join(begin, ["story", "valid_from"], "left")
+    return P.dossier(keys, events, states, mentions, clues, members)
+
+
 def _seen(spark, d, character: bool):
     c, r, pos = _tl(spark, d)
     heads = _heads(c["sentences"])
@@ -316,7 +339,7 @@ QUERIES = {
     "extract_registry": registry, "extract_healed": healed, "extract_memberships": memberships, "extract_states": parsed_states, "extract_section_stats": section_stats, "extract_ingest_totals": ingest_totals,
     "validate_forbidden": forbidden_terms, "validate_unsourced": unsourced, "validate_references": bad_references,
     "timeline_section_ranges": section_ranges, "timeline_current_section": current_section, "timeline_event_positions": event_positions, "timeline_mention_positions": mention_positions,
-    "timeline_entity_positions": entity_positions, "timeline_events": timeline_events, "timeline_character_events": timeline_character_events, "timeline_mentions": timeline_mentions,
+    "timeline_entity_positions": entity_positions, "timeline_mentioned_positions": mentioned_positions, "perspective_whole_dossier": whole_dossier, "timeline_events": timeline_events, "timeline_character_events": timeline_character_events, "timeline_mentions": timeline_mentions,
     "timeline_entities": timeline_entities, "timeline_states": timeline_states, "timeline_clues": timeline_clues, "timeline_entering": timeline_entering, "timeline_section_events": timeline_section_events,
     "timeline_snapshot": timeline_snapshot, "quality_counts": counts, "quality_checked_counts": checked_counts, "quality_orphan_edges": orphan_edges, "quality_self_edges": self_edges,
     "quality_stray_nodes": stray_nodes, "quality_unreachable": unreachable, "quality_story_count": story_count, "quality_digests": digest_sizes, "quality_mismatches": manifest_mismatches,
@@ -365,6 +388,16 @@ UNION SELECT story, 'member of no organisation', 'organisation_talk' FROM ok UNI
 SELECT story, p, section, idx FROM a WHERE rn = 1""",
     "timeline_event_positions": C + "SELECT story, id, CASE WHEN ord % 6 = 4 THEN 0 ELSE ord END::BIGINT AS pos FROM c_events",
     "timeline_mention_positions": T + _MP + "SELECT story, entity, section, pos::BIGINT AS pos FROM mp",
+    "timeline_mentioned_positions": C + _OK + "SELECT story, who AS id, min(ord)::BIGINT AS pos FROM (SELECT story, who, ord FROM c_part UNION ALL SELECT story, who, ord FROM c_told UNION ALL SELECT story, 'object_' || speaker, ord FROM ok) GROUP BY 1, 2",
+    "perspective_whole_dossier": C + _OK + _HEAD.format("c_sentences") + """, k AS (SELECT story, entity, p AS n FROM h JOIN (SELECT story, id AS entity FROM c_entities UNION ALL SELECT story, 'object_' || id FROM c_entities
+UNION ALL SELECT story, unnest(['object_key', 'case_one', 'organisation_talk', 'location_0']) FROM c_stories) USING (story)),
+mb AS (SELECT story, speaker, min(ord) AS pos FROM ok GROUP BY 1, 2), ck AS (SELECT story, ord AS pos, coalesce(list_sort(recipients)[1], '') AS who FROM ok WHERE ord % 2 = 0),
+f AS (SELECT story, who AS entity, ord AS pos, id AS ref, 'event' AS facet FROM (SELECT story, who, ord, id FROM c_part UNION SELECT story, who, ord, id FROM c_told)
+UNION ALL SELECT story, speaker, ord, speaker || ' LOCATED_AT location_' || ord, 'state from' FROM ok UNION ALL SELECT story, 'location_' || ord, ord, speaker || ' LOCATED_AT location_' || ord, 'state to' FROM ok
+UNION ALL SELECT story, 'object_' || speaker, ord, section, 'mention' FROM ok
+UNION ALL SELECT story, 'case_one', pos, 'object_key', 'clue case' FROM ck UNION ALL SELECT story, 'object_key', pos, 'object_key', 'clue object' FROM ck UNION ALL SELECT story, who, pos, 'object_key', 'clue discovered_by' FROM ck
+UNION ALL SELECT story, speaker, pos, speaker || ' in organisation_talk', 'member character' FROM mb UNION ALL SELECT story, 'organisation_talk', pos, speaker || ' in organisation_talk', 'member organisation' FROM mb)
+SELECT story, entity, n, facet, ref FROM k JOIN f USING (story, entity) WHERE pos <= n""",
     "timeline_entity_positions": C + _EP + "SELECT story, id, pos::BIGINT AS pos FROM ep",
     "timeline_events": C + _HEAD.format("c_sentences") + "SELECT h.story, p, id FROM h JOIN c_events USING (story) WHERE ord <= p",
     "timeline_character_events": C + _HEAD.format("c_sentences") + "SELECT h.story, p, id FROM h JOIN c_events USING (story) WHERE ord <= p AND (list_contains(participants, 'assistant') OR list_contains(recipients, 'assistant'))",

@@ -14,6 +14,15 @@ def test_query_has_rows(spark, data, name):
     assert registry.QUERIES[name](spark, data).count() > 0
 
 
+def test_whole_queries_leave_nothing_out(spark, data):
+    """Clusters, stories and sections beyond those of the queries with fixed ids; every facet of a dossier; mentions in positions."""
+    q = lambda n: registry.QUERIES[n](spark, data)
+    for whole, part in (("reconcile_all_merge_clusters", "reconcile_merge_clusters"), ("perspective_all_listed_stories", "perspective_listed_stories"), ("analytics_of_all_sections", "analytics_of_section"), ("timeline_mentioned_positions", "timeline_entity_positions")):
+        assert q(whole).count() > q(part).count() > 0
+    facets = {r["facet"] for r in q("perspective_whole_dossier").select("facet").distinct().collect()}
+    assert facets == {"event", "state from", "state to", "mention", "clue case", "clue object", "clue discovered_by", "member character", "member organisation"}
+
+
 def test_entry(spark):
     import __spark_entry__
 
