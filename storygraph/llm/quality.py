@@ -10,8 +10,11 @@ count over a group's bins, of which there are at most BINS, finds the nearest ha
 number of documents, and no task holds a group's rows. Bins are 1/32 of a doubling of the squared distance wide.
 
 FLOOR is a documented parameter: the least standard deviation of each statistic, added to every scatter. A statistic that is the same in
-most documents of a group (no symbols, no repeated line) has no scatter of its own; with the floor the scatter stays regular. Sources
-with fewer than POOLED documents in a language are too small for an estimate and share one, that of the language's small sources.
+most documents of a group (no symbols, no repeated line) has no scatter of its own; with the floor the scatter stays regular.
+
+Every source has an estimate of its own in each language, at any number of documents. Its centre is that of its own documents. Few
+documents say little of a scatter, so the language's scatter makes up PRIOR / (n + PRIOR) of that of n documents, which shrinks smoothly to
+nothing. The nearest half has one document more than half of them: up to 3 that is all, and none of so few can be told to be the outlier.
 
 Defined cases: a null text has no words and fails the base rules; a null language or source is a group of its own; rows that
 repeat count each; null doc_ids are allowed; an empty table gives an empty result; other columns are kept but for names used here.
@@ -33,8 +36,8 @@ MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 FLOOR = {"x_words": 1.0, "x_length": 0.03, "x_symbols": 0.15, "x_lines": 0.45, "x_repeats": 0.45}
 X = list(FLOOR)
 PAIRS = [(i, j) for i in range(len(X)) for j in range(i + 1)]
-#: The share of rows taken in concentration steps; steps; bins of distances; documents below which sources are pooled.
-H, STEPS, BINS, POOLED = 0.5, 4, 2048, 100
+#: The share of rows taken in concentration steps, and rows besides it; steps; bins of distances; documents that the language's scatter counts as.
+H, MORE, STEPS, BINS, PRIOR = 0.5, 1, 4, 2048, 10
 #: The squared distance of five independent normal values is below this for all but about 1 in 100,000.
 CUTOFF = 30.86
 #: Rows within this squared distance (all but 1 in 40 normal ones) count in the reweighted estimate.
@@ -89,7 +92,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def vectors(stats: DataFrame) -> DataFrame:
-    """Adds the transformed statistics and grp, the key of the group that a row's estimate is made from."""
+    """Adds the transformed statistics, grp, the key of the group that a row's estimate is made from, and its language's key, _lang."""
     n = F.col("n_words")
     x = {
         "x_words": F.log1p(n),
@@ -99,15 +102,8 @@ def vectors(stats: DataFrame) -> DataFrame:
         "x_repeats": F.log1p(10 * F.col("n_repeat_words") / n),
     }
     name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))  # noqa: E731  a null is no string's equal
-    return stats.withColumns({k: F.when(~F.col("base_failed"), v) for k, v in x.items()}).withColumns({"_lang": name(F.col("lang")), "_source": name(F.col("source"))})
-
-
-def _pooled(rows: DataFrame) -> DataFrame:
-    """rows with grp. Two levels of counts, the second over the first, so that a hot source is added up in parts."""
-    counts = rows.filter("NOT base_failed").groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n"))
-    large = stored(counts.filter(F.col("_n") >= POOLED).select("_lang", "_source", F.lit(True).alias("_own")), "quality-groups")
-    grp = F.concat_ws("\x01", "_lang", F.when(F.col("_own"), F.col("_source")).otherwise(F.lit("*")))
-    return rows.join(large, ["_lang", "_source"], "left").withColumn("grp", grp).drop("_own", "_lang", "_source")
+    lang, source = name(F.col("lang")), name(F.col("source"))
+    return stats.withColumns({k: F.when(~F.col("base_failed"), v) for k, v in x.items()}).withColumns({"_lang": lang, "grp": F.concat_ws("\x01", F.length(lang).cast("string"), lang, source)})
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -145,39 +141,52 @@ def _sums() -> list[Column]:
     ]
 
 
-def _estimate(sums: DataFrame, short: float) -> DataFrame:
-    """Centre and Cholesky factor of the scatter, from sums by group."""
-    out = sums.select("grp", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(len(X))], *[(F.col(f"p{i}{j}") / F.col("n")).alias(f"p{i}{j}") for i, j in PAIRS])
+def _estimate(sums: DataFrame, short: float, share: float, prior: DataFrame | None) -> DataFrame:
+    """Centre and Cholesky factor of the scatter, from sums by group, of a share of its rows; prior has the languages' scatters."""
+    mean = [F.col(f"s{i}") / F.col("n") for i in range(len(X))]
     floor = list(FLOOR.values())
+    scatter = {(i, j): (F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]) * short + (floor[i] ** 2 if i == j else 0.0) for i, j in PAIRS}
+    if prior is not None:
+        sums = sums.join(prior.select("grp", *[F.col(f"l{i}{j}").alias(f"_l{i}{j}") for i, j in PAIRS]), "grp")
+        w = F.col("n") / (F.col("n") + PRIOR * share)
+        scatter = {(i, j): w * v + (1 - w) * sum((F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j + 1)), F.lit(0.0)) for (i, j), v in scatter.items()}
+    out = sums.select("grp", *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[v.alias(f"p{i}{j}") for (i, j), v in scatter.items()])
     for i, j in PAIRS:  # row by row
-        own = (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * short + (floor[i] ** 2 if i == j else 0.0)
+        own = F.col(f"p{i}{j}")
         rest = own - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
         out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floor[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
     return out.select("grp", *[f"m{i}" for i in range(len(X))], *[f"l{i}{j}" for i, j in PAIRS])
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """The reweighted minimum-covariance-determinant estimate of each group. rows: (grp, x_...) of documents that the base rules pass."""
+def estimates(rows: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """The reweighted minimum-covariance-determinant estimate of each group. rows: (grp, x_...) of documents that the base rules pass;
+    prior: an estimate for each group, whose scatter counts as that of PRIOR rows."""
     now = stored(_start(rows), "quality-step")  # a few hundred bytes a group
     by = Window.partitionBy("grp")
     for _ in range(STEPS):
         bins = F.least(F.lit(BINS - 1), F.floor(32 * F.log2(1 + F.col("d2")))).cast("int")
         sums = distance(rows, now).withColumn("bin", bins).groupBy("grp", "bin").agg(*_sums())
         before = F.coalesce(F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        near = sums.withColumn("_before", before).withColumn("_all", F.sum("n").over(by)).filter(F.col("_before") < H * F.col("_all"))
+        near = sums.withColumn("_before", before).withColumn("_all", F.sum("n").over(by)).filter(F.col("_before") < H * F.col("_all") + MORE)
         near = near.groupBy("grp").agg(*[F.sum(c).alias(c) for c in sums.columns if c not in ("grp", "bin")])
-        now = stored(_estimate(near, SHORT_HALF), "quality-step")
-    return stored(_estimate(distance(rows, now).filter(F.col("d2") <= REWEIGHT).groupBy("grp").agg(*_sums()), SHORT_REWEIGHTED), "quality-step")
+        now = stored(_estimate(near, SHORT_HALF, H, prior), "quality-step")
+    near = distance(rows, now).filter(F.col("d2") <= REWEIGHT).groupBy("grp").agg(*_sums())
+    out = _estimate(near, SHORT_REWEIGHTED, 1.0, prior)
+    if prior is None:
+        return stored(out, "quality-step")
+    # A group without any row near its centre keeps the last step's estimate.
+    return stored(out.unionByName(now.join(near, "grp", "left_anti")), "quality-step")
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """docs without text, with the statistics, d2 and kept. The vectors are stored once and read in each step."""
     rows = stored(vectors(statistics(docs)), "quality-vectors")
-    grouped = _pooled(rows)
-    fit = stored(grouped.filter("NOT base_failed").select("grp", *X), "quality-fit")
-    out = distance(grouped, estimates(fit))
+    fit = stored(rows.filter("NOT base_failed").select("_lang", "grp", *X), "quality-fit")
+    languages = estimates(fit.select(F.col("_lang").alias("grp"), *X)).withColumnRenamed("grp", "_lang")
+    prior = stored(fit.select("grp", "_lang").distinct().join(languages, "_lang").drop("_lang"), "quality-languages")
+    out = distance(rows, estimates(fit.drop("_lang"), prior))
     passed = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
-    return out.withColumn("kept", passed).drop("grp", *X)
+    return out.withColumn("kept", passed).drop("grp", "_lang", *X)
 
 
 def kept(docs: DataFrame) -> DataFrame:

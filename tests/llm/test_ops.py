@@ -118,6 +118,24 @@ def test_quality_verdict(spark, data):
     assert sum(bad) <= 0.1 * len(bad)
 
 
+def test_quality_of_small_sources(spark):
+    """A source's usual documents are kept and its own outlier is not, whatever other sources its language has; no verdict jumps at a size."""
+    rng = random.Random(3)
+
+    def doc(word, n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(max(1, round(rng.gauss(word, word / 5))))) for _ in range(n))
+
+    def source(name, word, n):
+        return [("xx", name, "usual", doc(word, rng.randint(80, 160))) for _ in range(n)]
+
+    rows = source("hot", 5, 400) + source("even", 12, 90) + source("odd", 12, 99) + source("more", 12, 101) + source("few", 12, 8) + source("one", 12, 1)
+    rows += [("xx", f"tail{i}", "usual", doc(5, rng.randint(80, 160))) for i in range(60)]
+    rows += [("xx", s, "outlier", doc(3, 120)) for s in ("even", "odd", "more")]
+    got = quality.judged(spark.createDataFrame(rows, "lang string, source string, kind string, text string")).collect()
+    assert not [(r["source"], r["d2"]) for r in got if r["kind"] == "usual" and not r["kept"]]
+    assert [r["d2"] for r in got if r["kind"] == "outlier" and r["kept"]] == []
+
+
 def test_quality_estimate_by_hand(spark):
     """One concentration-step estimate of a normal cloud with outliers is close to the cloud's own mean."""
     rnd = np.random.default_rng(0)
