@@ -16,10 +16,18 @@ SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Tables and folders made by this driver and not dropped yet.
+_made_tables: list[str] = []
+_made_paths: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where none is set, a folder of our own if Spark runs in this
+    process alone (tests); on a cluster, whose executors could not read it, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="storygraph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -27,7 +35,9 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made_paths.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -40,6 +50,34 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, keys: tuple[str, ...], buckets: int | None = None, sort: bool = False) -> str:
+    """Writes df as a table of the catalog, bucketed by keys (and sorted by them), and returns its name."""
+    spark = df.sparkSession
+    table = f"storygraph_{name}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", "zstd")
+    writer = writer.bucketBy(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    (writer.sortBy(*keys) if sort else writer).saveAsTable(table)
+    _made_tables.append(table)
+    return table
+
+
+def drop_tables(spark: SparkSession, names: list[str]) -> None:
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if name in _made_tables:
+            _made_tables.remove(name)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Drops the intermediate tables and folders of all operators used so far. Call it once their results are written."""
+    drop_tables(spark, list(_made_tables))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in _made_paths:
+        where = hadoop.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _made_paths.clear()
+
+
 def wrapped(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns, and _doc with all columns, so that names of our own meet none of theirs."""
     return docs.select(*names, F.struct(*docs.columns).alias("_doc"))

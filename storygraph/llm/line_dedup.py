@@ -1,8 +1,13 @@
 """Line dedup: levelled sorted runs of line hashes, compacted now and then; each batch merge-anti-joins the runs and adds its own.
 
-A line's key is the line without white space at its ends, A-Z lower-cased. A run is a table (h1, h2, n_docs) sorted by a 128-bit
-hash of the key, with the number of rows (documents) of one batch that hold it. Level k + 1 takes the sum of FANOUT runs of level k,
-so a hash is rewritten only log(batches) times. Keys that enough documents hold lose all their lines; the others stay.
+A line's key is the line without white space at its ends, A-Z lower-cased, known by a 128-bit hash. Documents come in batches. A batch's
+hashes, with the number of its documents that hold each, are merge-anti-joined with all runs. What no run holds is new and becomes a run of
+level 0; what some run holds goes, with its numbers, to the counts. FANOUT runs of a level are merged into one of the next, so a hash is
+rewritten only log(batches) times, and no hash is in two runs. Runs are tables bucketed and sorted by hash, so that joins with them move
+and sort the other side alone. A key's documents are its number in its run and its numbers in the counts: only keys that more than one
+batch holds have to be added up. Keys that enough documents hold lose all their lines; the others stay.
+
+The number of batches grows with the logarithm of the table: FANOUT + 1, and one more for each doubling beyond UNIT.
 
 Defined cases: a null or empty text is one empty line; empty keys are never dropped; rows that repeat count as documents of their
 own; documents with a null doc_id are cleaned like the others; an empty table gives an empty result; other columns are ignored
@@ -11,13 +16,16 @@ by the query and kept by `clean`.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storygraph.llm.common import SPACE, ascii_lower, once, scratch_path, unwrapped, wrapped
+from storygraph.llm.common import SPACE, ascii_lower, bucketed, drop_tables, once, scratch_path, stored, unwrapped, wrapped
 
 FANOUT = 4
-BATCHES = 4
+#: Bytes of texts up to which there are FANOUT + 1 batches.
+UNIT = 1 << 30
 MIN_DOCS = 10
 SALTS = 16
 
@@ -30,9 +38,9 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.trim(line, F.lit(SPACE)))
 
 
-def line_hash(line: Column) -> Column:
-    """128 bits of a line's key; null when the key is empty."""
-    return once(line_key(line), lambda k: F.when(k != "", F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(k, F.lit("line")).alias("h2"))))
+def batches_for(size: int) -> int:
+    """The number of batches for `size` bytes of texts."""
+    return FANOUT + 1 + math.ceil(math.log2(max(1.0, size / UNIT)))
 
 
 def row_key() -> list[Column]:
@@ -41,84 +49,127 @@ def row_key() -> list[Column]:
     return [F.xxhash64("doc_id", body).alias("k1"), F.xxhash64(body, "doc_id", F.lit("row")).alias("k2")]
 
 
-def document_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(batch, k1, k2, h1, h2): the distinct non-empty line hashes of each document, dealt into batches by document."""
-    hashes = F.array_distinct(F.filter(F.transform(lines(F.col("text")), line_hash), lambda h: h.isNotNull()))
-    return docs.select(*row_key(), F.explode(hashes).alias("h")).select(
-        F.pmod("k1", F.lit(batches)).cast("int").alias("batch"), "k1", "k2", "h.h1", "h.h2"
-    )
+def line_places(text: Column) -> Column:
+    """array of (h1, h2, at): the distinct hashes of a text's non-empty keys, and the places of the lines that have it.
+
+    Sorted by hash, so that equal ones are neighbours: a text of n lines takes n log n steps.
+    """
+
+    def placed(line: Column, i: Column) -> Column:
+        return once(line_key(line), lambda k: F.when(k != "", F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(k, F.lit("line")).alias("h2"), i.alias("i"))))
+
+    def groups(each: Column) -> Column:
+        other = lambda x, i: (i == 0) | (F.get(each, i - 1)["h1"] != x["h1"]) | (F.get(each, i - 1)["h2"] != x["h2"])
+        starts = F.filter(F.transform(each, lambda x, i: F.when(other(x, i), i)), lambda i: i.isNotNull())
+
+        def group(starts: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(each))
+            own = lambda i, j: F.transform(F.slice(each, i + 1, end(j) - i), lambda x: x["i"])
+            return F.transform(starts, lambda i, j: F.struct(F.get(each, i)["h1"].alias("h1"), F.get(each, i)["h2"].alias("h2"), own(i, j).alias("at")))
+
+        return once(starts, group)
+
+    full = F.filter(F.transform(lines(text), placed), lambda x: x.isNotNull())
+    return once(F.sort_array(full), groups)
+
+
+def document_lines(docs: DataFrame, batches: int) -> DataFrame:
+    """(batch, k1, k2, h1, h2, at): the distinct line hashes of each document, with their places, dealt into batches by document."""
+    each = docs.select(*row_key(), F.explode(line_places(F.col("text"))).alias("h"))
+    return each.select("k1", "k2", "h.h1", "h.h2", "h.at", F.pmod("k1", F.lit(batches)).cast("int").alias("batch"))
 
 
 class LineStore:
-    """Levelled runs in a shared folder. The driver holds only the runs' paths."""
+    """Levelled runs (h1, h2, n_docs), each a table of its own. The driver holds only the tables' names."""
+
+    KEY = ("h1", "h2")
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
-        self.spark, self.path, self.fanout = spark, path or scratch_path(spark, "line-runs"), fanout
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+        self.spark, self.fanout = spark, fanout
         self.levels: list[list[str]] = []
-        self.made = 0
+        self.counts: list[str] = []
+
+    def _run(self, rows: DataFrame) -> str:
+        return bucketed(rows.select(*self.KEY, "n_docs"), "lines", self.KEY, sort=True)
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = f"{self.path}/level{level}-run{self.made}"
-        self.made += 1
-        run.sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(path)
+    def _push(self, run: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(self._sum(full), level + 1)
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        schema = "h1 long, h2 long, n_docs long"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def _sum(self, paths: list[str]) -> DataFrame:
-        return self._read(paths).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
+            merged = self.spark.table(full[0])
+            for name in full[1:]:
+                merged = merged.unionByName(self.spark.table(name))
+            self._push(self._run(merged.repartition(*self.KEY)), level + 1)
+            drop_tables(self.spark, full)
 
     def runs(self) -> list[str]:
-        return [p for level in self.levels for p in level]
-
-    def add(self, batch: DataFrame) -> None:
-        """Adds a batch's (k1, k2, h1, h2) as a run of level 0 and compacts levels that are full."""
-        self._write(batch.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")), 0)
+        return [name for level in self.levels for name in level]
 
     def unseen(self, batch: DataFrame) -> DataFrame:
         """The rows of a batch whose hash no run holds: an anti-join with each run, merging sorted sides."""
-        for path in self.runs():
-            batch = batch.join(self._read([path]).hint("merge"), ["h1", "h2"], "left_anti")
+        for name in self.runs():
+            batch = batch.join(self.spark.table(name).hint("merge"), list(self.KEY), "left_anti")
         return batch
 
+    def add(self, batch: DataFrame) -> None:
+        """Adds a batch (h1, h2), a row for each document that holds the line: new hashes as a run, numbers of known ones to the counts."""
+        own = self._run(batch.groupBy(*self.KEY).agg(F.count(F.lit(1)).alias("n_docs")))
+        if not self.runs():
+            self._push(own, 0)
+            return
+        table = self.spark.table(own)
+        new = self._run(self.unseen(table))
+        self.counts.append(self._run(table.join(self.spark.table(new).hint("merge"), list(self.KEY), "left_anti")))
+        self._push(new, 0)
+        drop_tables(self.spark, [own])
+
     def frequent(self, min_docs: int) -> DataFrame:
         """Hashes that at least min_docs documents of all batches hold."""
-        return self._sum(self.runs()).filter(F.col("n_docs") >= min_docs).select("h1", "h2")
+        out = more = self.spark.createDataFrame([], "h1 long, h2 long, n_docs long")
+        for name in self.counts:
+            more = more.unionByName(self.spark.table(name))
+        more = stored(more.groupBy(*self.KEY).agg(F.sum("n_docs").alias("_more")), "line-counts")
+        for name in self.runs():
+            out = out.unionByName(self.spark.table(name).join(more, list(self.KEY), "left").select(*self.KEY, (F.col("n_docs") + F.coalesce("_more", F.lit(0))).alias("n_docs")))
+        return out.filter(F.col("n_docs") >= min_docs).select(*self.KEY)
+
+    def drop(self) -> None:
+        drop_tables(self.spark, self.runs() + self.counts)
+        self.levels, self.counts = [], []
 
 
-def clean(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def clean(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """All columns of docs, with text cleaned, and n_lines, n_dropped."""
     spark, columns = docs.sparkSession, docs.columns
     docs = wrapped(docs, "doc_id", "text")
-    store = LineStore(spark)
+    if batches is None:
+        batches = batches_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    store = LineStore(spark, fanout)
     path = scratch_path(spark, "document-lines")
     document_lines(docs, batches).write.partitionBy("batch").option("compression", "zstd").parquet(path)
-    seen = spark.read.schema("k1 long, k2 long, h1 long, h2 long, batch int").parquet(path)
+    seen = spark.read.schema("k1 long, k2 long, h1 long, h2 long, at array<int>, batch int").parquet(path)
     for b in range(batches):
-        store.add(seen.filter(F.col("batch") == b))
-    # What is left after the anti-join with the frequent hashes stays; so each document learns which of its lines go.
-    # A line that a third of all documents hold is spread over SALTS tasks by document.
-    frequent = store.frequent(min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        store.add(seen.filter(F.col("batch") == b).select("h1", "h2"))
+    frequent = stored(store.frequent(min_docs), "frequent-lines")
+    store.drop()
+    # Each document learns the places of its lines that go. A line that a third of all documents hold is spread over SALTS tasks by document.
+    frequent = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     gone = (
         seen.withColumn("salt", F.pmod("k2", F.lit(SALTS)).cast("int"))
         .join(frequent, ["h1", "h2", "salt"], "left_semi")
         .groupBy("k1", "k2")
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))  # no more than a document has lines
+        .agg(F.flatten(F.collect_set("at")).alias("_gone"))  # no more than a document has lines
     )
     keyed = docs.select("*", *[c.alias(f"_{n}") for c, n in zip(row_key(), ("k1", "k2"), strict=True)])
     joined = keyed.join(gone, (F.col("_k1") == gone.k1) & (F.col("_k2") == gone.k2), "left").drop("k1", "k2", "_k1", "_k2")
-    stays = F.filter(lines(F.col("text")), lambda x: ~F.coalesce(F.array_contains(F.col("_gone"), line_hash(x)), F.lit(False)))
-    n = F.size(lines(F.col("text"))).cast("long")
-    kept = joined.withColumn("_stays", F.when(F.col("_gone").isNull(), lines(F.col("text"))).otherwise(stays))
-    out = kept.withColumn("n_lines", n).withColumn("n_dropped", n - F.size("_stays"))
-    return unwrapped(out.withColumn("text", F.array_join("_stays", "\n")), columns, "text", "n_lines", "n_dropped")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    kept = joined.withColumn("_lines", lines(F.col("text")))
+    kept = kept.withColumn("_stay", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(stay, lambda i: F.get("_lines", i))))
+    n = F.size("_lines").cast("long")
+    out = kept.withColumn("n_lines", n).withColumn("n_dropped", n - F.size("_stay"))
+    return unwrapped(out.withColumn("text", F.array_join("_stay", "\n")), columns, "text", "n_lines", "n_dropped")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,7 +276,7 @@ def test_near_dedup_just_below_the_threshold(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want, links = least_of_components(rows)
     assert got == want and links > 100
-    assert met[0].count() <= min(600 * 599 / 2 / 8, 100 * links)
+    assert met[0].select("u", "v").distinct().count() <= min(600 * 599 / 2 / 8, 30 * links)
 
 
 def test_near_dedup_of_far_copies_of_a_text(spark, monkeypatch):
@@ -483,14 +483,40 @@ def test_lines(odder):
 
 
 def test_line_store(spark):
-    """Batch by batch: unseen lines, levels that are compacted, and counts that add up."""
+    """Batch by batch: unseen lines, levels that are compacted, numbers of lines that are known already; runs are not shuffled for the joins."""
     store = line_dedup.LineStore(spark, fanout=2)
     for i in range(5):
-        batch = spark.createDataFrame([(i, i, h, h) for h in (1, 2, 10 + i)], "k1 long, k2 long, h1 long, h2 long")
-        assert sorted(r["h1"] for r in store.unseen(batch).collect()) == ([1, 2, 10] if i == 0 else [10 + i])
+        batch = spark.createDataFrame([(h, h) for h in (1, 2, 2, 10 + i)], "h1 long, h2 long")
+        assert sorted({r["h1"] for r in store.unseen(batch).collect()}) == ([1, 2, 10] if i == 0 else [10 + i])
         store.add(batch)
-    assert [len(x) for x in store.levels] == [1, 0, 1]
+    assert [len(x) for x in store.levels] == [1, 0, 1] and len(store.counts) == 4
     assert sorted(r["h1"] for r in store.frequent(5).collect()) == [1, 2]
+    assert [r["h1"] for r in store.frequent(6).collect()] == [2]
+    held = sorted(r["h1"] for name in store.runs() for r in spark.table(name).collect())
+    assert held == [1, 2, 10, 11, 12, 13, 14]
+    plan = store.unseen(spark.table(store.counts[0]))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    names = store.runs() + store.counts
+    store.drop()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_lines_in_many_batches(spark, odder):
+    """The result is the same whatever the batches and levels."""
+    want = collections.Counter(map(tuple, line_dedup.clean(odder).select("doc_id", "n_lines", "n_dropped", "text").collect()))
+    got = line_dedup.clean(odder, batches=9, fanout=2).select("doc_id", "n_lines", "n_dropped", "text").collect()
+    assert collections.Counter(map(tuple, got)) == want and line_dedup.batches_for(0) == 5 and line_dedup.batches_for(9 << 30) == 9
+
+
+def test_scratch_is_cleared(spark):
+    from storygraph.llm import common
+
+    df = common.stored(spark.range(5), "some")
+    table = common.bucketed(spark.range(5).toDF("h"), "some", ("h",))
+    common.clear_scratch(spark)
+    assert not spark.catalog.tableExists(table)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound|FILE_NOT_EXIST"):
+        spark.read.parquet(df.inputFiles()[0] if df.inputFiles() else "file:///nowhere").collect()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
