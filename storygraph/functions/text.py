@@ -18,6 +18,11 @@ SCENE_BREAK = r"^\s*(?:[*•✦#]\s*){3,}\s*$|^\s*(?:[-—–]\s*){3,}\s*$"
 NEVER = r"^\s*$"
 
 
+def once(value: Column, body) -> Column:
+    """body(value) where value is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
 
@@ -80,11 +85,11 @@ def sentences(text: Column) -> Column:
     masked = F.regexp_replace(masked, r"\b([A-Za-z])\.(?=[A-Za-z]\.)", "$1" + mask)
     plain = lambda c: trim(F.regexp_replace(c, mask, "."))
     pattern = rf'(?:\G|(?<=[.!?\n]))([^.!?\n]++[.!?]++(?:["”’)]++)?)(?:{SPACE}+|\z)'
-    found = F.filter(F.transform(F.regexp_extract_all(masked, F.lit(pattern), F.lit(1)), plain), lambda s: s != "")
-    used = F.length(collapse(F.array_join(found, " ")))
-    rest = plain(masked)
-    tail = trim(F.substring(rest, used + 1, F.length(rest)))
-    return F.when((rest != "") & (used < F.length(rest)) & (tail != ""), F.concat(found, F.array(tail))).otherwise(found)
+    found = lambda m: F.filter(F.transform(F.regexp_extract_all(m, F.lit(pattern), F.lit(1)), plain), lambda s: s != "")
+    used = lambda s: F.length(collapse(F.array_join(s, " ")))
+    tail = lambda rest, s: trim(once(used(s), lambda n: F.substring(rest, n + 1, F.length(rest))))
+    with_tail = lambda s, t: F.when(t != "", F.concat(s, F.array(t))).otherwise(s)
+    return once(masked, lambda m: once(found(m), lambda s: once(tail(plain(m), s), lambda t: with_tail(s, t))))
 
 
 def raw_key(id_: Column) -> Column:

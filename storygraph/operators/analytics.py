@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from storygraph.functions import text as X
 from storygraph.operators.graph import union
+from storygraph.operators.ranking import numbered
 from storygraph.schemas import ENTITY_TYPES
 
 
@@ -163,7 +164,9 @@ def long_tail(summaries: DataFrame) -> DataFrame:
     """C17: rank by mentions within each type, and over all (type "all"); entities without mentions are left out."""
     counted = summaries.filter("total_mentions > 0")
     all_ = counted.select(F.lit("all").alias("type"), "key", "total_mentions", "seen").unionByName(counted.select("type", "key", "total_mentions", "seen"))
-    return all_.withColumn("rank", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("total_mentions"), "seen"))).select("type", "key", F.col("total_mentions").alias("count"), "rank")
+    # Most entities have few mentions, so those of one number are taken story by story.
+    ranked = numbered(all_, ["type"], [-F.col("total_mentions"), F.col("seen.story_ord")], [F.col("seen")], "rank")
+    return ranked.select("type", "key", F.col("total_mentions").alias("count"), "rank")
 
 
 def tail_summary(ranks: DataFrame) -> DataFrame:

@@ -42,6 +42,19 @@ def by_paragraph(raw: DataFrame) -> DataFrame:
 def by_chapter(raw: DataFrame, pattern: str = X.CHAPTER) -> DataFrame:
     """A paragraph that matches starts a section; what stands before the first is the preamble."""
     rows = paragraphs(raw).withColumn("mark", F.col("text").rlike(pattern))
+    return _sections(_parts(rows))
+
+
+def by_own_chapter(raw: DataFrame, patterns: DataFrame) -> DataFrame:
+    """by_chapter with each story's own pattern and, where it has one, the prefix of its section ids."""
+    own = with_patterns(raw, patterns)
+    rows = own.select("story", "pattern", F.posexplode(X.paragraphs(F.col("text"))).alias("ord", "text"))
+    parts = _parts(rows.withColumn("mark", F.expr("text RLIKE pattern")))
+    return _sections(parts.join(own.select("story", "prefix"), "story"), F.col("prefix"))
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """(story, idx, title, text): paragraphs (story, ord, text, mark) put together, each mark starting a part."""
     by = Window.partitionBy("story").orderBy("ord")
     rows = rows.withColumn("part", F.sum(F.col("mark").cast("int")).over(by))
     parts = rows.groupBy("story", "part").agg(
@@ -49,7 +62,7 @@ def by_chapter(raw: DataFrame, pattern: str = X.CHAPTER) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n\n").alias("text"),
     )
     idx = F.row_number().over(Window.partitionBy("story").orderBy("part")) - 1
-    return _sections(parts.select("story", idx.alias("idx"), F.coalesce("marker", F.lit("Preamble")).alias("title"), "text"))
+    return parts.select("story", idx.alias("idx"), F.coalesce("marker", F.lit("Preamble")).alias("title"), "text")
 
 
 def _chunked(rows: list, budget: int) -> list[str]:
@@ -79,8 +92,16 @@ def by_chunk(raw: DataFrame, budget: int = BUDGET, pattern: str = X.CHAPTER) ->
             yield pd.Series([_chunked(list(s), budget) for s in stories], dtype=object)
 
     def row(p: Column) -> Column:
-        s = F.when(X.word_count(p) > 2 * budget, X.sentences(p)).otherwise(F.array().cast("array<string>"))
-        return F.struct(p.alias("text"), X.word_count(p).alias("words"), p.rlike(X.SCENE_BREAK).alias("is_break"), p.rlike(pattern).alias("is_chapter"), s.alias("sentences"), F.transform(s, X.word_count).alias("sizes"))
+        def counted(words: Column) -> Column:
+            def with_sizes(s: Column) -> Column:
+                return F.struct(
+                    p.alias("text"), words.alias("words"), p.rlike(X.SCENE_BREAK).alias("is_break"), p.rlike(pattern).alias("is_chapter"),
+                    s.alias("sentences"), F.transform(s, X.word_count).alias("sizes"),
+                )
+
+            return X.once(F.when(words > 2 * budget, X.sentences(p)).otherwise(F.array().cast("array<string>")), with_sizes)
+
+        return X.once(X.word_count(p), counted)
 
     cut = F.pandas_udf(chunks, "array<string>")
     rows = raw.select("story", F.transform(X.paragraphs(F.col("text")), row).alias("p")).select("story", F.posexplode(cut("p")).alias("idx", "text"))
@@ -88,8 +109,8 @@ def by_chunk(raw: DataFrame, budget: int = BUDGET, pattern: str = X.CHAPTER) ->
 
 
 def with_patterns(raw: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Raw with the pattern and the id prefix of its source, of a small table (story, pattern, prefix)."""
-    return raw.join(F.broadcast(patterns), "story", "left").withColumn("pattern", F.coalesce("pattern", F.lit(X.CHAPTER)))
+    """Raw with the pattern and the id prefix of its source; patterns: (story, pattern, prefix), which Spark broadcasts if it is small."""
+    return raw.join(patterns, "story", "left").withColumn("pattern", F.coalesce("pattern", F.lit(X.CHAPTER)))
 
 
 def lexical_nodes(sections: DataFrame, granularity: str = "sentence") -> DataFrame:
@@ -134,7 +155,7 @@ def split_anthology(books: DataFrame, titles: DataFrame, skip: int = 500) -> Dat
     at = F.coalesce(F.sum(F.length("line") + 1).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lines = lines.withColumn("start", at).withColumn("end", at + F.length("line"))
     lines = lines.filter(F.trim("line") != "")
-    hits = lines.join(F.broadcast(titles), "book").filter(F.expr("line RLIKE concat('(?i)^\\\\s*', pattern, '\\\\s*$')"))
+    hits = lines.join(titles, "book").filter(F.expr("line RLIKE concat('(?i)^\\\\s*', pattern, '\\\\s*$')"))
     nth = F.row_number().over(Window.partitionBy("book", "ord").orderBy("start"))
     begin = hits.withColumn("nth", nth).filter("nth = 2").select("book", "ord", "slug", "start", "end")
     after = hits.select("book", (F.col("ord") - 1).alias("ord"), F.col("start").alias("next"))

@@ -139,6 +139,41 @@ def payload_mentions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return m.join(s, ["story", "to_id"]).select("story", F.col("from_id").alias("entity"), F.col("to_id").alias("section"), "pos", F.get_json_object("props", "$.mentionCount").cast("int").alias("mention_count"), ids.alias("sentence_ids"))
 
 
+def payload(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """Q13: the parts of a story, each row with n, its place: sections and sentences by pos, entities by id, events by pos and id; the
+    story itself with its granularity, "sentence" where that is unknown."""
+
+    def placed(df: DataFrame, *order: str) -> DataFrame:
+        return df.withColumn("n", F.row_number().over(Window.partitionBy("story").orderBy(*order)) - 1)
+
+    get = lambda f: F.get_json_object("props", f"$.{f}")
+    kind = lambda k: nodes.filter(F.col("kind") == k)
+    known = F.when(get("granularity").isin("sentence", "paragraph"), get("granularity")).otherwise("sentence")
+    return {
+        "stories": kind("story").select("story", "name", get("sourceFile").alias("source_file"), known.alias("granularity")),
+        "sections": placed(kind("section"), "pos", "id").select("story", "n", "id", F.col("name").alias("title"), "pos", get("wordCount").cast("int").alias("word_count")),
+        "sentences": placed(kind("lexical"), "pos", "id").select("story", "n", "id", "pos", get("section").alias("section"), get("text").alias("text")),
+        "entities": placed(entities(nodes), "id"),
+        "events": placed(events(nodes, edges), "pos", "id"),
+    }
+
+
+def payload_clues(edges: DataFrame) -> DataFrame:
+    """Q15: clues in the order of the sections where they are found, from the edges' props; n is their place in the story."""
+    get = lambda f: F.coalesce(F.get_json_object("props", f"$.{f}"), F.lit(""))
+    by = Window.partitionBy("story").orderBy("valid_from_section", "from_id", "to_id", "props")
+    c = edges.filter("rel_type = 'CLUE_FOR'").withColumn("n", F.row_number().over(by) - 1)
+    made = [get("discoveredBy").alias("discovered_by"), get("significance").alias("significance")]
+    return c.select("story", "n", F.col("from_id").alias("object"), F.col("to_id").alias("case"), "valid_from_section", *made)
+
+
+def payload_members(edges: DataFrame) -> DataFrame:
+    """Q15: memberships by character and organisation."""
+    by = Window.partitionBy("story").orderBy("from_id", "to_id", "valid_from_section")
+    m = edges.filter("rel_type = 'MEMBER_OF'").withColumn("n", F.row_number().over(by) - 1)
+    return m.select("story", "n", F.col("from_id").alias("character"), F.col("to_id").alias("organisation"), "valid_from_section", "valid_to_section")
+
+
 def present(events_: DataFrame, entities_: DataFrame) -> DataFrame:
     """Q16: the characters of each section, in order of first appearance."""
     e = events_.select("story", "section", "ord", F.posexplode("participants").alias("i", "id"))

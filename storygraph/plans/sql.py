@@ -15,7 +15,7 @@ c_part AS (SELECT story, id, unnest(participants) AS who, ord FROM c_events),
 c_told AS (SELECT story, id, unnest(recipients) AS who, ord FROM c_events)
 """
 MOVES = """
-m_all AS (SELECT 'group_' || (user_id % 10) AS story, datediff('day', TIMESTAMP '2024-01-01', ts)::INT AS section_idx, 'user_' || user_id AS "from",
+m_all AS (SELECT 'group_' || (user_id // 10) AS story, datediff('day', TIMESTAMP '2024-01-01', ts)::INT AS section_idx, 'user_' || user_id AS "from",
   CASE event_type WHEN 'purchase' THEN 'item_' || json_extract_string(props, '$.k') WHEN 'error' THEN 'box_' || json_extract_string(props, '$.k') ELSE 'place_' || event_type END AS "to",
   CASE event_type WHEN 'purchase' THEN 'OWNS' WHEN 'error' THEN 'IS_INSIDE' ELSE 'LOCATED_AT' END AS type,
   'event_' || lpad(event_id::VARCHAR, 8, '0') AS event, ts, event_id, event_type FROM events),

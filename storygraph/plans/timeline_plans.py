@@ -9,6 +9,7 @@ from storygraph.operators import perspective as P
 from storygraph.operators import quality as K
 from storygraph.operators import timeline as TL
 from storygraph.plans.sql import CONV, MOVES, TRADE, with_
+from storygraph.sources import io
 from storygraph.sources.projections import conversations, moves, table, trade
 
 
@@ -321,8 +322,9 @@ def case_ids(spark, d):
 
 def labelled_runs(spark, d):
     """Documents by group of their label."""
-    docs, labels = table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels")
-    return docs.join(labels, "doc_id").filter(F.col("quality").isin(0)).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    story = lambda df: df.withColumn("story", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))
+    groups = story(table(spark, d, "labels")).select("story", F.when(F.col("quality") == 0, "bad").otherwise("good").alias("group"))
+    return io.in_group(story(table(spark, d, "documents")), groups, "bad").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 def todo(spark, d):
@@ -330,8 +332,7 @@ def todo(spark, d):
     c = conversations(spark, d)
     done = c["stories"].filter("story_ord % 3 = 0").select("story")
     completed = c["sections"].filter("idx < 2").select("story", "section")
-    left = c["sections"].join(done, "story", "left_anti").join(c["sentences"].select("story", "section").distinct(), ["story", "section"], "left_semi")
-    return left.join(completed, ["story", "section"], "left_anti").select("story", "section", "idx")
+    return io.pending_sections(io.pending_stories(c["sections"], done), c["sentences"], completed).select("story", "section", "idx")
 
 
 QUERIES = {

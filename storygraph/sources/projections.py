@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storygraph.functions.text import word_count
+from storygraph.operators.ranking import numbered
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -51,11 +52,11 @@ def conversations(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def moves(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Ten stories of users who own items, are inside boxes and at places; a section for each day, a state change for each event."""
+    """A story for each ten users, who own items, are inside boxes and at places; a section for each day, a state change for each event."""
     e = table(spark, d, "events")
     k = F.get_json_object("props", "$.k")
     e = e.select(
-        F.concat(F.lit("group_"), (F.col("user_id") % 10).cast("string")).alias("story"),
+        F.concat(F.lit("group_"), F.floor(F.col("user_id") / 10).cast("string")).alias("story"),
         F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("section_idx"),
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("from"),
         F.when(F.col("event_type") == "purchase", F.concat(F.lit("item_"), k)).when(F.col("event_type") == "error", F.concat(F.lit("box_"), k)).otherwise(F.concat(F.lit("place_"), "event_type")).alias("to"),
@@ -86,7 +87,8 @@ def trade(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size")
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag")
     o = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    idx = F.row_number().over(Window.partitionBy("story").orderBy("o_orderdate", "o_orderkey")) - 1
+    o = numbered(o, ["story"], [F.col("o_orderdate")], [F.col("o_orderkey")], "_n")
+    idx = F.col("_n") - 1
     key = F.col("o_orderkey").cast("string")
     o = o.select("story", F.col("n_nationkey").alias("story_ord"), "o_orderkey", F.concat(F.lit("order_"), key).alias("section"), idx.alias("idx"), F.col("o_orderpriority").alias("title"))
     entity = F.concat(F.when(F.col("story_ord") % 2 == 1, "Mr Part ").otherwise("Part-"), F.col("l_partkey").cast("string"))
@@ -102,8 +104,8 @@ def trade(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     )
     s = l.groupBy("story", "story_ord", "section", "idx", F.col("sentence").alias("id"), "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_returnflag").alias("f"))
     s = s.join(part.select("p_partkey", "p_name"), F.col("p") == F.col("p_partkey"))
-    position = F.row_number().over(Window.partitionBy("story").orderBy("idx", "l_linenumber")) - 1
-    sentences = s.select("story", "story_ord", "id", "section", position.alias("position"), F.concat_ws(" ", "p_name", "f").alias("text"))
+    s = numbered(s, ["story"], [F.floor(F.col("idx") / 256)], [F.col("idx"), F.col("l_linenumber")], "_n")
+    sentences = s.select("story", "story_ord", "id", "section", (F.col("_n") - 1).alias("position"), F.concat_ws(" ", "p_name", "f").alias("text"))
     events = l.groupBy("story", F.concat(F.lit("event_"), F.col("l_orderkey").cast("string")).alias("id"), "section").agg(
         F.min("title").alias("label"), F.array_sort(F.collect_set("entity")).alias("participants"), F.array_sort(F.collect_set("sentence")).alias("source_nodes")
     )
