@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space by Unicode, which Java's \s lacks.
 SPACE = r"[\s\x{00a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters, for functions that take a set.
+SPACES = " \t\n\x0b\f\r\u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # What marks the body of an e-book, abbreviations, honorifics, chapter and scene markers.
 BOOK_START = r"(?i)\*\*\* ?START OF (THE|THIS) PROJECT GUTENBERG EBOOK .+ \*\*\*"
 BOOK_END = r"(?i)\*\*\* ?END OF (THE|THIS) PROJECT GUTENBERG EBOOK .+ \*\*\*"
@@ -24,11 +26,13 @@ def once(value: Column, body) -> Column:
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
-    return F.regexp_replace(c, f"{SPACE}+", " ")
+    """Runs of white space as one blank. A look for other runs is cheaper than a copy, and most texts have none."""
+    odd = rf" {{2}}|(?! ){SPACE}"
+    return once(c, lambda s: F.when(s.rlike(odd), F.regexp_replace(s, f"{SPACE}+", " ")).otherwise(s))
 
 
 def strip_book(text: Column) -> Column:
@@ -81,9 +85,9 @@ def sentences(text: Column) -> Column:
     The pattern is the linear form: it starts a match only where one can start.
     """
     mask = "\x01"
-    masked = F.regexp_replace(text, r"\b(" + "|".join(ABBREVIATIONS) + r")\.", "$1" + mask)
-    masked = F.regexp_replace(masked, r"\b([A-Za-z])\.(?=[A-Za-z]\.)", "$1" + mask)
-    plain = lambda c: trim(F.regexp_replace(c, mask, "."))
+    masked = F.regexp_replace(text, r"(?<=\b(?:" + "|".join(ABBREVIATIONS) + r"))\.", mask)
+    masked = F.regexp_replace(masked, r"(?<=\b[A-Za-z])\.(?=[A-Za-z]\.)", mask)
+    plain = lambda c: trim(F.translate(c, mask, "."))
     pattern = rf'(?:\G|(?<=[.!?\n]))([^.!?\n]++[.!?]++(?:["”’)]++)?)(?:{SPACE}+|\z)'
     found = lambda m: F.filter(F.transform(F.regexp_extract_all(m, F.lit(pattern), F.lit(1)), plain), lambda s: s != "")
     used = lambda s: F.length(collapse(F.array_join(s, " ")))
