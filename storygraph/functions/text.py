@@ -31,8 +31,8 @@ def trim(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of white space as one blank. A look for other runs is cheaper than a copy, and most texts have none."""
-    odd = rf" {{2}}|(?! ){SPACE}"
-    return once(c, lambda s: F.when(s.rlike(odd), F.regexp_replace(s, f"{SPACE}+", " ")).otherwise(s))
+    odd = SPACE.replace(r"\s", r"\t-\r")
+    return once(c, lambda s: F.when(s.contains("  ") | s.rlike(odd), F.regexp_replace(s, f"{SPACE}+", " ")).otherwise(s))
 
 
 def strip_book(text: Column) -> Column:
@@ -85,8 +85,9 @@ def sentences(text: Column) -> Column:
     The pattern is the linear form: it starts a match only where one can start.
     """
     mask = "\x01"
-    masked = F.regexp_replace(text, r"(?<=\b(?:" + "|".join(ABBREVIATIONS) + r"))\.", mask)
-    masked = F.regexp_replace(masked, r"(?<=\b[A-Za-z])\.(?=[A-Za-z]\.)", mask)
+    # Full stops are found first, and what stands before them is looked at then.
+    masked = F.regexp_replace(text, r"\.(?<=\b(?:" + "|".join(ABBREVIATIONS) + r")\.)", mask)
+    masked = F.regexp_replace(masked, r"\.(?<=\b[A-Za-z]\.)(?=[A-Za-z]\.)", mask)
     plain = lambda c: trim(F.translate(c, mask, "."))
     pattern = rf'(?:\G|(?<=[.!?\n]))([^.!?\n]++[.!?]++(?:["”’)]++)?)(?:{SPACE}+|\z)'
     found = lambda m: F.filter(F.transform(F.regexp_extract_all(m, F.lit(pattern), F.lit(1)), plain), lambda s: s != "")
