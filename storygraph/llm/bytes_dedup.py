@@ -1,11 +1,12 @@
-"""Suffix-array dedup of bytes by prefix-free parsing.
+"""Dedup of repeated byte strings by the phrases of a prefix-free parse, without its suffix arrays.
 
 A rolling hash of KMER bytes picks the triggers: the place of the least hash among the LENGTH - KMER + 1 places in each string of LENGTH
 bytes. They cut every text into phrases, overlapping so far that each string of LENGTH bytes lies in one phrase whole; triggers depend on
-the bytes around them alone, so repeated text is parsed alike wherever it stands. Phrases are the parse, distinct phrases the dictionary.
-Strings are ordered by trigger and phrase, then by first occurrence in the parse, and within phrases that share a trigger but differ the
-suffixes themselves are ordered: adjacent equal strings of LENGTH bytes are then all that suffix order has to tell. The order of strings
-beyond LENGTH bytes isn't needed and isn't computed.
+the bytes around them alone, so repeated text is parsed alike wherever it stands.
+
+No suffix array is made, of the dictionary, of the parse or of the corpus: equal strings of LENGTH bytes are found by grouping, not by order.
+Distinct phrases are grouped by a 128-bit hash of their content; where phrases share a trigger but differ, their strings of LENGTH bytes are
+grouped by 128-bit hashes instead. README says why.
 
 Defined cases: a null text is an empty text; texts below LENGTH bytes lose nothing; for null or repeated doc_ids see repeats.keyed.
 """

@@ -1,7 +1,7 @@
 """Language ID by n-gram filters with language bitmasks.
 
-A bit-sliced Bloom filter: SLOTS words of bits, one bit for each language. An n-gram has HASHES slots, and the AND of their words is the
-set of all languages whose filter holds it, in one look-up however many languages there are. A text's n-grams are looked up all;
+A bit-sliced Bloom filter: SLOTS rows of bits, one bit for each language, in words of 64. An n-gram has HASHES slots, and the AND of their
+rows is the set of all languages whose filter holds it, in one look-up for each 64 languages. A text's n-grams are looked up all;
 the share of them that a language holds, corrected for the share that a filter so full would hold by chance, is its score, and the
 largest decides.
 
@@ -9,7 +9,7 @@ What is learned: the n-grams that at least LEAST_SHARE of a language's documents
 the mean of the languages' shares. It is learned from a sample of at most about SAMPLE documents for each language, the ones of least hash; the filter's size is fixed.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; a null doc_id isn't learned from and isn't held out; with
-no language to learn every text is `und`; at most 64 languages, the most frequent ones; ties go to the language that sorts first.
+no language to learn every text is `und`; any number of languages is learned; ties go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from storygraph.llm.common import mix
 SIZES = (2, 3, 4)
 SLOTS, HASHES = 1 << 19, 3
 SAMPLE, LEAST_SHARE, OFTEN = 1500, 0.01, 1.5
-MOST_LANGUAGES = 64
+#: Languages in a word of a mask.
+WORD = 64
 U = np.uint64
 _own: dict = {}
 
@@ -61,8 +62,8 @@ def slots(h: np.ndarray) -> list[np.ndarray]:
 
 
 def languages(docs: DataFrame) -> list[tuple[str, int]]:
-    """The languages to learn, at most 64, with their numbers of documents."""
-    rows = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    """The languages to learn, with their numbers of documents: a row for each."""
+    rows = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     return sorted((r["lang"], r["n"]) for r in rows)
 
 
@@ -72,7 +73,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     known = languages(docs)
     names = [x for x, _ in known]
     if not names:
-        return [], np.zeros(SLOTS, U)
+        return [], empty_filter(0)
     share = F.create_map(*[c for x, n in known for c in (F.lit(x), F.lit(min(1.0, sample / n)))])
     number = F.create_map(*[c for i, x in enumerate(names) for c in (F.lit(x), F.lit(i))])
     drawn = docs.filter(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 11) / F.lit(float(2**53)) < F.try_element_at(share, "lang"))
@@ -91,40 +92,50 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     by_gram = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("e"))  # as many as there are languages
     totals = {r["lang"]: r["n"] for r in counts.filter("gram = 0").collect()}
     if not totals:
-        return names, np.zeros(SLOTS, U)
+        return names, empty_filter(len(names))
     total = F.create_map(*[c for i, n in totals.items() for c in (F.lit(i), F.lit(n))])
     rate = lambda x: x["n"] / F.try_element_at(total, x["lang"])
     mean = F.aggregate("e", F.lit(0.0), lambda s, x: s + rate(x)) / len(totals)
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"])
     often = lambda x: (rate(x) >= LEAST_SHARE) & (rate(x) >= OFTEN * F.col("mean"))
-    masks = by_gram.filter("gram != 0").withColumn("mean", mean)
-    masks = masks.select("gram", F.aggregate(F.filter("e", often), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x))).alias("mask"))
+    held = by_gram.filter("gram != 0").withColumn("mean", mean).select("gram", F.explode(F.filter("e", often)["lang"]).alias("lang"))
     place = F.explode(F.array(*[F.shiftrightunsigned("gram", 20 * i).bitwiseAND(F.lit(SLOTS - 1)) for i in range(HASHES)]))
-    table = masks.filter("mask != 0").select(place.alias("slot"), "mask").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()  # SLOTS rows at most
-    filter_ = np.zeros(SLOTS, U)
-    filter_[table["slot"].to_numpy(np.int64)] = table["mask"].to_numpy(np.int64).view(U)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lang") % WORD)
+    words = held.select(place.alias("slot"), F.floor(F.col("lang") / WORD).alias("word"), bit.alias("bit"))
+    table = words.groupBy("slot", "word").agg(F.bit_or("bit").alias("mask")).toPandas()  # SLOTS rows for each 64 languages at most
+    filter_ = empty_filter(len(names))
+    filter_[table["slot"].to_numpy(np.int64), table["word"].to_numpy(np.int64)] = table["mask"].to_numpy(np.int64).view(U)
     return names, filter_
 
 
+def empty_filter(n: int) -> np.ndarray:
+    return np.zeros((SLOTS, max(1, -(-n // WORD))), U)
+
+
+def counts(masks: np.ndarray, n: int) -> np.ndarray:
+    """How many of the masks have each of n languages."""
+    return np.array([np.count_nonzero(masks[:, i // WORD] & U(1 << i % WORD)) for i in range(n)])
+
+
 def scores(h: np.ndarray, filter_: np.ndarray, n: int, chance: np.ndarray) -> np.ndarray:
     """The corrected share of n-grams for each of n languages."""
-    mask = ~U(0)
-    for s in slots(h):
-        mask = mask & filter_[s]
-    held = np.array([np.count_nonzero(mask & U(1 << i)) for i in range(n)]) / len(h)
+    first, *others = slots(h)
+    masks = filter_[first]
+    for s in others:
+        masks &= filter_[s]
+    held = counts(masks, n) / len(h)
     return np.clip((held - chance) / np.maximum(1e-9, 1 - chance), 0, 1)
 
 
 def predict(docs: DataFrame, names: list[str], filter_: np.ndarray) -> DataFrame:
     """docs without text, with lang_pred and score."""
-    model = docs.sparkSession.sparkContext.broadcast(filter_)  # 8 bytes for each of SLOTS slots
+    model = docs.sparkSession.sparkContext.broadcast(filter_)  # 8 bytes for each of SLOTS slots and 64 languages
     docs = docs.drop("lang_pred", "score")
     at = docs.columns.index("text")
     schema = T.StructType([f for f in docs.schema if f.name != "text"]).add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = model.value
-        full = np.array([np.count_nonzero(filter_ & U(1 << i)) for i in range(len(names))]) / SLOTS
+        full = counts(filter_, len(names)) / SLOTS
         for batch in batches:
             pred, score = [], []
             for start in range(0, batch.num_rows, 256):

@@ -9,12 +9,12 @@ Each unit is sent once by a task to the bucket of its anchor, which keeps the fi
 settled there. So a passage that a third of all documents hold costs one row for each task, not one for each copy, and no pair of
 copies is ever listed.
 
-Contents are compared by 64-bit hashes.
+Contents are compared by 128 bits: two polynomial hashes modulo 2**64 with bases of their own over 64-bit symbols. Anchors only bring
+contents together, so 64 bits (32 on the way) are enough for them.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storygraph.llm.common import mix, scratch_path, stored
+from storygraph.llm.common import bucketed, mix, stored
 
 #: Bytes of text in a chunk, and in a bucket of the chunks' table.
 CHUNK, BUCKET = 2 << 20, 32 << 20
@@ -80,31 +80,31 @@ def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     docs, size = keyed(docs)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET + 1)
-    name = f"storygraph_chunks_{uuid.uuid4().hex}"
     rows = docs.mapInArrow(_pack, "chunk long, ids array<long>, doc_ids array<long>, texts array<string>")
-    rows.write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, "chunks")).bucketBy(parts, "chunk").saveAsTable(name)
-    return spark.table(name), parts
+    return spark.table(bucketed(rows, "chunks", ("chunk",), parts)), parts
 
 
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2**64 and their inverses."""
-    if len(_powers.get("up", ())) < n:
-        base = 0x9E3779B97F4A7C15
-        for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
+    if len(_powers.get(base, ((),))[0]) < n:
+        made = []
+        for b in (base, pow(base, -1, 1 << 64)):
             steps = np.full(max(n, 1 << 16), b, U)
             steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=U)
-    return _powers["up"], _powers["down"]
+            made.append(np.cumprod(steps, dtype=U))
+        _powers[base] = tuple(made)
+    return _powers[base]
 
 
 class Hashes:
     """Hashes of any range of an array of 64-bit symbols."""
 
-    def __init__(self, symbols: np.ndarray):
-        up, self.down = powers(len(symbols) + 1)
+    def __init__(self, symbols: np.ndarray, base: int = BASES[0]):
+        up, self.down = powers(base, len(symbols) + 1)
         self.sums = np.zeros(len(symbols) + 1, U)
         np.cumsum(symbols * up[: len(symbols)], out=self.sums[1:], dtype=U)
 
@@ -133,6 +133,7 @@ class Slice:
         self.docs, self.bases = np.array(docs, np.int64), np.array(bases, np.int64)
         self.symbols = np.concatenate(symbols) if symbols else np.empty(0, U)
         self.hashes, self.win = Hashes(self.symbols), win
+        self.second = Hashes(self.symbols, BASES[1])
 
     def starts_of(self, width: int) -> np.ndarray:
         """Which positions start a run of `width` symbols of one document."""
@@ -147,10 +148,10 @@ class Slice:
         return self.docs[at], p - self.starts[at] + self.bases[at]
 
     def units(self, width: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-        """(anchor, content, doc, position, length): an anchor is the least hash of `width` symbols in a run, among the allowed ones."""
+        """(anchor, content, second content, doc, position, length): an anchor is the least hash of `width` symbols in a run, among the allowed ones."""
         ok = self.starts_of(self.win)
         if not ok.any():
-            return tuple(np.empty(0, t) for t in (U, U, np.int64, np.int64, np.int64))
+            return tuple(np.empty(0, t) for t in (U, U, U, np.int64, np.int64, np.int64))
         k = self.hashes.every(width)
         v = (k & U(0xFFFFFFFF00000000)) | np.arange(len(k), dtype=U)
         if allowed is not None:
@@ -164,8 +165,9 @@ class Slice:
         last[:-1] &= ~ok[1:] | new[1:]
         p1, p2 = np.flatnonzero(new), np.flatnonzero(last) + 1
         anchor = at[p1]
-        content = mix(self.hashes.of(p1, p2 - 1 + self.win) + (anchor - p1).astype(U) * U(0xA24BAED4963EE407))
-        return k[anchor], content, *self.place(p1), p2 - p1
+        at = (anchor - p1).astype(U) * U(0xA24BAED4963EE407)
+        content, second = (mix(h.of(p1, p2 - 1 + self.win) + at) for h in (self.hashes, self.second))
+        return k[anchor], content, second, *self.place(p1), p2 - p1
 
 
 def slices(symbols: Callable[[int], np.ndarray], n: int, win: int) -> Iterator[Slice]:
@@ -190,8 +192,16 @@ def _bytes(*columns: np.ndarray) -> bytes:
     return b"".join(c.tobytes() for c in columns)
 
 
-#: A packed unit's columns: low half of the anchor, content, document of the chunk, position, length.
-_UNIT = ((0, "<u4"), (1, "<u8"), (2, "<u2"), (3, "<u4"), (4, "<u4"))
+def _later(whole: np.ndarray, start: np.ndarray, content: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of units by content and place, and which units have the content of one before."""
+    order = np.lexsort((start, whole, second, content))
+    later = np.zeros(len(order), bool)
+    later[order[1:]] = (content[order[1:]] == content[order[:-1]]) & (second[order[1:]] == second[order[:-1]])
+    return order, later
+
+
+#: A packed unit's columns: low half of the anchor, both contents, document of the chunk, position, length.
+_UNIT = ((0, "<u4"), (1, "<u8"), (2, "<u8"), (3, "<u2"), (4, "<u4"), (5, "<u4"))
 _UNIT_BYTES = sum(np.dtype(t).itemsize for _, t in _UNIT)
 _FOUND = "chunk long, later binary, rest binary"
 
@@ -217,23 +227,21 @@ def exchanged(rows: DataFrame, find: Callable[[dict], Iterator[tuple]], buckets:
         names, ids, held, count = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, content, doc, start, size, chunk = (np.concatenate([h[i] for h in held]) for i in range(6))
+            key, content, second, doc, start, size, chunk = (np.concatenate([h[i] for h in held]) for i in range(7))
             base = np.cumsum([0] + [len(x) for x in ids[:-1]])
             whole = np.concatenate(ids)[base[chunk] + doc]
-            order = np.lexsort((start, whole, content))
-            later = np.zeros(len(order), bool)
-            later[order[1:]] = content[order[1:]] == content[order[:-1]]
+            _, later = _later(whole, start, content, second)
             bucket = ((key >> U(32)) % U(buckets)).astype(np.int64)
             sent = np.flatnonzero(~later)
             sent = sent[np.lexsort((bucket[sent], chunk[sent]))]
             group = chunk[sent] * buckets + bucket[sent]
             cuts = np.flatnonzero(np.diff(group, prepend=-1))
-            columns = (key, content, doc, start, size)
+            columns = (key, content, second, doc, start, size)
             out = []
             for part in np.split(sent, cuts[1:]) if len(sent) else []:
                 c = int(chunk[part[0]])
                 used, at = np.unique(doc[part], return_inverse=True)
-                body = _bytes(*((at if i == 2 else columns[i][part] & U(0xFFFFFFFF) if i == 0 else columns[i][part]).astype(t) for i, t in _UNIT))
+                body = _bytes(*((at if i == 3 else columns[i][part] & U(0xFFFFFFFF) if i == 0 else columns[i][part]).astype(t) for i, t in _UNIT))
                 out.append((int(bucket[part[0]]), names[c], _bytes(ids[c][used], used.astype("<u4")), body, None))
             own = np.flatnonzero(later)
             for c in np.unique(chunk[own]).tolist():
@@ -270,14 +278,12 @@ def exchanged(rows: DataFrame, find: Callable[[dict], Iterator[tuple]], buckets:
                 at += n * np.dtype(t).itemsize
             d = len(directory) // 12
             whole, place = np.frombuffer(directory, "<i8", d), np.frombuffer(directory, "<u4", d, 8 * d)
-            parts.append((got[0], got[1], whole[got[2]], place[got[2]], got[3], got[4], np.full(n, len(names), np.int64)))
+            parts.append((*got[:3], whole[got[3]], place[got[3]], *got[4:], np.full(n, len(names), np.int64)))
             names.append(c)
         if not parts:
             return done
-        key, content, whole, doc, start, size, chunk = (np.concatenate([p[i] for p in parts]) for i in range(7))
-        order = np.lexsort((start, whole, content))
-        later = np.zeros(len(order), bool)
-        later[order[1:]] = content[order[1:]] == content[order[:-1]]
+        key, content, second, whole, doc, start, size, chunk = (np.concatenate([p[i] for p in parts]) for i in range(8))
+        order, later = _later(whole, start, content, second)
         first = order[~later[order]]
         first = first[np.argsort(key[first], kind="stable")]
         same = key[first[1:]] == key[first[:-1]]
@@ -326,8 +332,8 @@ def repeats(chunks: DataFrame, parts: int, symbols: Callable[[str], np.ndarray],
             h = symbols(row["texts"][d])
             start = np.concatenate([np.arange(a, a + n) for _, a, n in own])
             base, size = int(start.min()), int(start.max()) + win
-            value = Hashes(h[base:size]).of(start - base, start - base + win)
-            yield value, value, np.full(len(start), d, np.int64), start, np.ones(len(start), np.int64)
+            value, second = (Hashes(h[base:size], b).of(start - base, start - base + win) for b in BASES)
+            yield value, value, second, np.full(len(start), d, np.int64), start, np.ones(len(start), np.int64)
 
     again = exchanged(chunks.join(gathered(found, "rest"), "chunk"), runs, parts)
     return chunks.join(gathered(found, "later"), "chunk", "left").join(gathered(again, "later").withColumnRenamed("later", "also"), "chunk", "left")

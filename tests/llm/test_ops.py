@@ -336,6 +336,32 @@ def test_language(spark, data):
     assert [r["lang_pred"] for r in language_id.predict(odd, names, f).orderBy("doc_id").collect()] == ["und", "und", "und", "en"]
 
 
+def test_more_than_64_languages(spark):
+    """70 languages with alphabets of their own, and the filter against exact sets of n-grams."""
+    rnd = random.Random(4)
+
+    def text(k):
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(12)]
+        return " ".join("".join(rnd.choices(letters, k=4)) for _ in range(20))
+
+    rows = [(12 * k + i, text(k), f"l{k:02}") for k in range(70) for i in range(12)]
+    names, f = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(names) == 70 and f.shape[1] == 2
+    held = spark.createDataFrame([(k, text(k)) for k in range(70)], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language_id.predict(held, names, f).orderBy("doc_id").collect()] == names
+    learned = collections.defaultdict(set)
+    for _, t, lang in rows:
+        for g in set(language_id.grams(t).tolist()):
+            learned[lang, g].add(t)
+    least = 12 * language_id.LEAST_SHARE
+    for k in (0, 63, 64, 69):
+        h = language_id.grams(rows[12 * k][1])
+        masks = f[language_id.slots(h)[0]] & f[language_id.slots(h)[1]] & f[language_id.slots(h)[2]]
+        exact = [len(learned[names[k], g]) >= least for g in h.tolist()]
+        got = (masks[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)
+        assert all(b for a, b in zip(exact, got, strict=True) if a)
+
+
 def water(sizes):
     """Targets by sharing again and again."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
