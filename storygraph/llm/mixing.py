@@ -1,12 +1,12 @@
 """Mixing sources to target weights, with DataFrame operations alone.
 
-The words of a source, its documents one after the other, are packed into blocks of a fixed length. Output shards of SHARD slots draw
-a multinomial number of slots for each source; the slots of a source are numbered across the shards, and a keyed pseudorandom
-permutation of the source's blocks, another in each epoch, turns a slot's number into a block, which is joined by its index. Slots
-beyond a source's quota are dropped and the ones it lacks are made up in pseudorandom shards, so each source meets its target to half
-a block and no block is used more than ceil(target / size) times, which is at most MOST.
-
-Block length: BLOCK words, or less where a source would have fewer than LEAST blocks, so that small sources meet their targets too.
+The words of a source, its documents one after the other, are packed into blocks of BLOCK words; what is left over is its tail, a last
+shorter block. Output shards of SHARD slots draw a multinomial number of slots for each source; the slots of a source are numbered across
+the shards in a pseudorandom order, and a keyed pseudorandom permutation of the source's blocks, another in each epoch, turns a slot's
+number into a block, which is joined by its index. Slots beyond a source's quota are dropped, wherever they are, and the ones it lacks are
+made up in pseudorandom shards. An epoch takes all blocks and the tail; the last, unfinished epoch takes whole blocks and, in its last
+slot, as many words of one more block (or of the tail) as the target lacks. So each source meets its target to half a word, and no
+word is taken more than ceil(target / size) times, which is at most MOST.
 
 Defined cases: a null text has no words (size 0, taken 0); a null source is a source of its own, the last; rows that repeat are
 documents of their own; null doc_ids are allowed; an empty table, or one without words, gives taken 0 for each row.
@@ -22,10 +22,10 @@ from storygraph.llm.common import n_words, once, prefix_sum, stored, unwrapped,
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-BLOCK, LEAST, SHARD = 512, 256, 1024
+BLOCK, SHARD = 512, 1024
 SEED = 20
-#: Parts of (0, 1) by which draws are joined with the sources' shares, chunks of prefix sums, rounds of the permutation.
-PARTS, CHUNKS, ROUNDS = 4096, 4096, 24
+#: Parts of (0, 1) by which draws are joined with the sources' shares, chunks of prefix sums, rounds of the permutation; slots made up at once.
+PARTS, CHUNKS, ROUNDS, MADE = 4096, 4096, 24, 1024
 
 
 def with_targets(sources: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -52,12 +52,17 @@ def with_targets(sources: DataFrame, weights: tuple = WEIGHTS, most: int = MOST)
     )
 
 
-def with_blocks(sources: DataFrame, block: int = BLOCK, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """Adds block_len, n_blocks and quota (blocks that the mix takes)."""
-    length = F.greatest(F.lit(1), F.least(F.lit(block), F.ceil(F.col("source_size") / least))).cast("long")
-    blocks = sources.withColumn("block_len", length).withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block_len")))
-    quota = F.least(most * F.col("n_blocks"), F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")).cast("long"))
-    return blocks.withColumn("quota", F.when(F.col("source_size") > 0, quota).otherwise(F.lit(0).cast("long")))
+def with_blocks(sources: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Adds what the mix takes of each source: n_full blocks and perhaps a tail make the n_slots of an epoch; epochs are whole, `more`
+    blocks follow, and `part` words of one more. quota is the number of slots of all that."""
+    size = F.col("source_size")
+    words_ = F.round("target").cast("long")
+    out = sources.withColumn("block_len", F.lit(block).cast("long")).withColumn("n_full", F.floor(size / block))
+    out = out.withColumn("n_slots", F.col("n_full") + (size % block > 0).cast("long"))
+    out = out.withColumn("epochs", F.when(size > 0, F.floor(words_ / size)).otherwise(0).cast("long"))
+    rest = F.when(size > 0, words_ - F.col("epochs") * size).otherwise(0)
+    out = out.withColumn("more", F.floor(rest / block)).withColumn("part", (rest % block).cast("long"))
+    return out.withColumn("quota", F.col("epochs") * F.col("n_slots") + F.col("more") + (F.col("part") > 0).cast("long"))
 
 
 def permuted(x: Column, n: Column, *keys: Column, rounds: int = ROUNDS) -> Column:
@@ -70,14 +75,11 @@ def permuted(x: Column, n: Column, *keys: Column, rounds: int = ROUNDS) -> Colum
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x.cast("long"), step)
 
 
-def plan(sources: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """(shard, slot, sid, epoch, block): the mix. sources: with_blocks(), a few columns for each source."""
-    total = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("n"))
-    shards = total.filter("n > 0").select("n", F.ceil(F.col("n") / shard).cast("long").alias("n_shards"))
-    shards = shards.select("n", "n_shards", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_shards") - 1)).alias("shard")).repartition("shard")
-    slots = shards.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(shard), F.col("n") - F.col("shard") * shard) - 1)).alias("slot"))
+def _draws(sources: DataFrame, n: int, shard: int, seed: int) -> DataFrame:
+    """(sid, shard, slot): the source that each of n slots draws, by the sources' shares of all quotas."""
+    slots = sources.sparkSession.range(-(-n // shard)).withColumnRenamed("id", "shard")
+    slots = slots.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(shard), n - F.col("shard") * shard) - 1)).alias("slot"))
     slots = slots.withColumn("_u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "shard", "slot"), 11) / F.lit(float(2**53)))
-
     by = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
     share = sources.filter("quota > 0").withColumn("_to", F.sum("quota").over(by) / F.sum("quota").over(Window.partitionBy()))
     share = share.withColumn("_from", F.coalesce(F.lag("_to").over(Window.orderBy("sid")), F.lit(0.0)))
@@ -85,22 +87,32 @@ def plan(sources: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     share = share.select("sid", "_from", "_to", F.explode(F.sequence(part(F.col("_from")), part(F.col("_to")))).alias("_part"))
     slots = slots.withColumn("_part", part(F.col("_u")))
     drawn = slots.join(share, (slots["_part"] == share["_part"]) & (F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to")))
-    drawn = drawn.select("sid", "shard", "slot")
+    return drawn.select("sid", "shard", "slot")
+
+
+def plan(sources: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+    """(shard, slot, sid, epoch, block, cut): the mix; cut: how many words of a block are taken, null for all of it.
 
-    counts = drawn.groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("_n")).withColumn("_chunk", F.floor(F.col("shard") / shard))
-    starts = prefix_sum(counts, ["sid"], "_chunk", ["shard"], "_n", "_start").select("sid", "shard", "_start")
-    within = F.row_number().over(Window.partitionBy("sid", "shard").orderBy("slot")) - 1
-    numbered = drawn.join(starts, ["sid", "shard"]).withColumn("_j", F.col("_start") + within).select("sid", "shard", "slot", "_j")
-    have = counts.groupBy("sid").agg(F.sum("_n").alias("_have"))
+    sources: with_blocks(), a few columns for each source. The driver sees the number of slots.
+    """
+    n = sources.agg(F.sum("quota")).first()[0] or 0
+    drawn = _draws(sources, n, shard, seed).withColumn("_h", F.xxhash64(F.lit(seed), "sid", "shard", "slot", F.lit("order")))
+    drawn = drawn.withColumn("_chunk", F.pmod("_h", F.lit(CHUNKS))).withColumn("_one", F.lit(1).cast("long"))
+    numbered = prefix_sum(drawn, ["sid"], "_chunk", ["_h", "shard", "slot"], "_one", "_j").select("sid", "shard", "slot", "_j")
+
+    have = drawn.groupBy("sid").agg(F.count(F.lit(1)).alias("_have"))
     short = sources.join(have, "sid", "left").withColumn("_have", F.coalesce("_have", F.lit(0))).filter("_have < quota")
-    short = short.crossJoin(F.broadcast(total)).select(  # total is one row
-        "sid", F.explode(F.sequence(F.col("_have").cast("long"), F.col("quota") - 1)).alias("_j"), F.ceil(F.col("n") / shard).alias("_shards")
-    )
-    made_up = short.select("sid", F.pmod(F.xxhash64(F.lit(seed), "sid", "_j"), "_shards").alias("shard"), (shard + F.col("_j")).alias("slot"), "_j")
-    slots = numbered.unionByName(made_up).join(sources.select("sid", "quota", "n_blocks"), "sid").filter("_j < quota")
-    slots = slots.withColumn("epoch", F.floor(F.col("_j") / F.col("n_blocks")))
-    at = F.col("_j") - F.col("epoch") * F.col("n_blocks")
-    return slots.select("shard", "slot", "sid", "epoch", permuted(at, F.col("n_blocks"), F.lit(seed), F.col("sid"), F.col("epoch")).alias("block"))
+    runs = F.explode(F.sequence(F.col("_have").cast("long"), F.col("quota") - 1, F.lit(MADE).cast("long")))
+    short = short.select("sid", "quota", runs.alias("_run")).repartition("sid", "_run")
+    short = short.select("sid", F.explode(F.sequence(F.col("_run"), F.least(F.col("quota"), F.col("_run") + MADE) - 1)).alias("_j"))
+    made_up = short.select("sid", F.pmod(F.xxhash64(F.lit(seed), "sid", "_j"), F.lit(max(1, -(-n // shard)))).alias("shard"), (shard + F.col("_j")).alias("slot"), "_j")
+    slots = numbered.unionByName(made_up).join(sources.select("sid", "quota", "n_full", "n_slots", "epochs", "more", "part"), "sid").filter("_j < quota")
+    slots = slots.withColumn("epoch", F.floor(F.col("_j") / F.col("n_slots")))
+    slots = slots.withColumn("_at", F.col("_j") - F.col("epoch") * F.col("n_slots"))
+    whole = permuted(F.col("_at"), F.greatest(F.lit(1), F.col("n_full")), F.lit(seed), F.col("sid"), F.col("epoch"))
+    block = F.when(F.col("_at") < F.col("n_full"), whole).otherwise(F.col("n_full"))
+    last = (F.col("epoch") == F.col("epochs")) & (F.col("_at") == F.col("more"))
+    return slots.select("shard", "slot", "sid", "epoch", block.alias("block"), F.when(last, F.col("part")).alias("cut"))
 
 
 def sized(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,13 +139,20 @@ def pieces(rows: DataFrame) -> DataFrame:
     return out.withColumn("start", start).withColumn("end", end)
 
 
+def _within_cut() -> Column:
+    """How many words of a piece are among the first `cut` ones of its block; null without a cut."""
+    before = F.col("offset") + F.col("start") - F.col("block") * F.col("block_len")
+    return F.when(F.col("cut").isNotNull(), F.greatest(F.lit(0), F.least(F.col("end") - F.col("start"), F.col("cut") - before)))
+
+
 def taken(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for each row of docs."""
     rows, sources = sized(docs)
-    uses = plan(sources).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("uses"))
+    uses = plan(sources).groupBy("sid", "block").agg(F.sum(F.col("cut").isNull().cast("long")).alias("uses"), F.max("cut").alias("cut"))
     keys = ["sid", "offset", "doc_id", "source", "size", "source_size", "target"]
-    have = pieces(rows).join(uses, ["sid", "block"], "left")
-    have = have.groupBy(*keys).agg(F.sum(F.coalesce("uses", F.lit(0)) * (F.col("end") - F.col("start"))).alias("taken"))
+    have = pieces(rows).join(uses.hint("merge"), ["sid", "block"], "left")
+    got = F.coalesce("uses", F.lit(0)) * (F.col("end") - F.col("start")) + F.coalesce(_within_cut(), F.lit(0))
+    have = have.groupBy(*keys).agg(F.sum(got).alias("taken"))
     none = rows.filter("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
     return have.unionByName(none).drop("sid", "offset")
 
@@ -149,7 +168,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     keyed = wrapped(docs, "doc_id", "source", "text").select("*", *hashes)
     rows, sources = sized(keyed.select("doc_id", "source", "text", "_key1", "_key2"))
     rows = rows.select("*", nth)
-    got = pieces(rows).join(plan(sources).select("sid", "block", "epoch"), ["sid", "block"])
+    got = pieces(rows).join(plan(sources).select("sid", "block", "epoch", "cut").hint("merge"), ["sid", "block"])
+    got = got.withColumn("end", F.when(F.col("cut").isNull(), F.col("end")).otherwise(F.col("start") + _within_cut())).filter("end > start")
     keys = ["_key1", "_key2", "_key3"]
     got = got.groupBy(*keys, "epoch", "size").agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"),  # bounded by the document's own length

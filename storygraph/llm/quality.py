@@ -1,13 +1,16 @@
 """Quality rules: base rules, then robust multivariate outliers by minimum-covariance-determinant estimates, DataFrame operations alone.
 
 Each document has a vector of transformed statistics. For each language and source, the estimate of centre and scatter is that of the
-half of the documents (H of them) whose scatter has the least determinant. It is sought by concentration steps from a start that a
-few wild vectors cannot move: every step takes the documents nearest to the last centre by Mahalanobis distance and estimates anew. A document
-whose squared distance from the final, reweighted estimate exceeds CUTOFF is rejected.
+half of the documents (H of them) whose scatter has the least determinant. It is sought by concentration steps: every step takes the
+documents nearest to the last centre by Mahalanobis distance and estimates anew, until no determinant changes any more, or STEPS are
+done. Four starts are followed side by side: medians and quartiles, which a few wild vectors cannot move, all documents, and two halves of
+them dealt by hash; the one that ends at the least determinant is taken. A document whose squared distance from the final, reweighted
+estimate exceeds CUTOFF is rejected.
 
 A step is one pass over the table of vectors: rows are summed (count, sums, sums of products) by group and distance bin, and a running
 count over a group's bins, of which there are at most BINS, finds the nearest half. So a step moves groups x BINS rows, whatever the
-number of documents, and no task holds a group's rows. Bins are 1/32 of a doubling of the squared distance wide.
+number of documents, and no task holds a group's rows. Bins are 1/32 of a doubling of the squared distance wide; of the bin in which
+the half is full only the share that it lacks counts.
 
 FLOOR is a documented parameter: the least standard deviation of each statistic, added to every scatter. A statistic that is the same in
 most documents of a group (no symbols, no repeated line) has no scatter of its own; with the floor the scatter stays regular.
@@ -37,7 +40,9 @@ FLOOR = {"x_words": 1.0, "x_length": 0.03, "x_symbols": 0.15, "x_lines": 0.45, "
 X = list(FLOOR)
 PAIRS = [(i, j) for i in range(len(X)) for j in range(i + 1)]
 #: The share of rows taken in concentration steps, and rows besides it; steps; bins of distances; documents that the language's scatter counts as.
-H, MORE, STEPS, BINS, PRIOR = 0.5, 1, 4, 2048, 10
+H, MORE, STEPS, BINS, PRIOR = 0.5, 1, 12, 2048, 10
+#: Determinants that differ by less than this share are the same.
+SAME = 1e-6
 #: The squared distance of five independent normal values is below this for all but about 1 in 100,000.
 CUTOFF = 30.86
 #: Rows within this squared distance (all but 1 in 40 normal ones) count in the reweighted estimate.
@@ -124,13 +129,13 @@ def _start(rows: DataFrame) -> DataFrame:
 
 
 def distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance; estimate holds the scatter's Cholesky factor."""
+    """rows with d2, the squared Mahalanobis distance; estimate holds the scatter's Cholesky factor. With several starts a row comes once for each."""
     out = rows.join(estimate, "grp", "left")
     for i, x in enumerate(X):
         off = sum((F.col(f"l{i}{j}") * F.col(f"z{j}") for j in range(i)), F.lit(0.0))
         out = out.withColumn(f"z{i}", (F.col(x) - F.col(f"m{i}") - off) / F.col(f"l{i}{i}"))
     d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(len(X))), F.lit(0.0))
-    return out.withColumn("d2", d2).drop(*[c for c in estimate.columns if c != "grp"], *[f"z{i}" for i in range(len(X))])
+    return out.withColumn("d2", d2).drop(*[c for c in estimate.columns if c not in ("grp", "start")], *[f"z{i}" for i in range(len(X))])
 
 
 def _sums() -> list[Column]:
@@ -141,8 +146,8 @@ def _sums() -> list[Column]:
     ]
 
 
-def _estimate(sums: DataFrame, short: float, share: float, prior: DataFrame | None) -> DataFrame:
-    """Centre and Cholesky factor of the scatter, from sums by group, of a share of its rows; prior has the languages' scatters."""
+def _estimate(sums: DataFrame, short: float, share: float, prior: DataFrame | None, keys: tuple = ("grp",)) -> DataFrame:
+    """Centre, Cholesky factor and determinant of the scatter, from sums by group, of a share of its rows; prior has the languages' scatters."""
     mean = [F.col(f"s{i}") / F.col("n") for i in range(len(X))]
     floor = list(FLOOR.values())
     scatter = {(i, j): (F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]) * short + (floor[i] ** 2 if i == j else 0.0) for i, j in PAIRS}
@@ -150,26 +155,51 @@ def _estimate(sums: DataFrame, short: float, share: float, prior: DataFrame | No
         sums = sums.join(prior.select("grp", *[F.col(f"l{i}{j}").alias(f"_l{i}{j}") for i, j in PAIRS]), "grp")
         w = F.col("n") / (F.col("n") + PRIOR * share)
         scatter = {(i, j): w * v + (1 - w) * sum((F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j + 1)), F.lit(0.0)) for (i, j), v in scatter.items()}
-    out = sums.select("grp", *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[v.alias(f"p{i}{j}") for (i, j), v in scatter.items()])
+    out = sums.select(*keys, *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[v.alias(f"p{i}{j}") for (i, j), v in scatter.items()])
     for i, j in PAIRS:  # row by row
         own = F.col(f"p{i}{j}")
         rest = own - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
         out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floor[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("grp", *[f"m{i}" for i in range(len(X))], *[f"l{i}{j}" for i, j in PAIRS])
+    out = out.select(*keys, *[f"m{i}" for i in range(len(X))], *[f"l{i}{j}" for i, j in PAIRS])
+    return out.withColumn("det", _determinant())
+
+
+def _determinant() -> Column:
+    out = F.lit(1.0)
+    for i in range(len(X)):
+        out = out * F.col(f"l{i}{i}") * F.col(f"l{i}{i}")
+    return out
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(grp, start, ...): the estimates that concentration steps begin with."""
+    halves = rows.groupBy("grp", F.pmod(F.xxhash64(*X), F.lit(2)).alias("start")).agg(*_sums())
+    names = [c for c in halves.columns if c not in ("grp", "start")]
+    whole = halves.groupBy("grp").agg(*[F.sum(c).alias(c) for c in names]).withColumn("start", F.lit(3).cast("long"))
+    sums = halves.withColumn("start", F.col("start") + 1).unionByName(whole)
+    made = _estimate(sums, 1.0, 1.0, None, ("grp", "start"))
+    return made.unionByName(_start(rows).withColumn("start", F.lit(0).cast("long")).withColumn("det", _determinant()))
 
 
 def estimates(rows: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """The reweighted minimum-covariance-determinant estimate of each group. rows: (grp, x_...) of documents that the base rules pass;
     prior: an estimate for each group, whose scatter counts as that of PRIOR rows."""
-    now = stored(_start(rows), "quality-step")  # a few hundred bytes a group
-    by = Window.partitionBy("grp")
+    keys = ("grp", "start")
+    now = stored(_starts(rows), "quality-step")  # a few hundred bytes for each group and start
+    by = Window.partitionBy(*keys)
     for _ in range(STEPS):
         bins = F.least(F.lit(BINS - 1), F.floor(32 * F.log2(1 + F.col("d2")))).cast("int")
-        sums = distance(rows, now).withColumn("bin", bins).groupBy("grp", "bin").agg(*_sums())
+        sums = distance(rows, now).withColumn("bin", bins).groupBy(*keys, "bin").agg(*_sums())
         before = F.coalesce(F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        near = sums.withColumn("_before", before).withColumn("_all", F.sum("n").over(by)).filter(F.col("_before") < H * F.col("_all") + MORE)
-        near = near.groupBy("grp").agg(*[F.sum(c).alias(c) for c in sums.columns if c not in ("grp", "bin")])
-        now = stored(_estimate(near, SHORT_HALF, H, prior), "quality-step")
+        near = sums.withColumn("_before", before).withColumn("_half", F.least(F.sum("n").over(by), F.floor(H * F.sum("n").over(by)) + MORE))
+        near = near.filter("_before < _half").withColumn("_share", F.least(F.lit(1.0), (F.col("_half") - F.col("_before")) / F.col("n")))
+        near = near.groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("_share")).alias(c) for c in sums.columns if c not in (*keys, "bin")])
+        last, now = now, stored(_estimate(near, SHORT_HALF, H, prior, keys), "quality-step")
+        both = now.join(last.select(*keys, F.col("det").alias("_det")), list(keys))
+        if both.filter(F.abs(F.col("det") - F.col("_det")) > SAME * F.col("_det")).isEmpty():
+            break
+    nth = F.row_number().over(Window.partitionBy("grp").orderBy("det", "start"))
+    now = stored(now.withColumn("_nth", nth).filter("_nth = 1").drop("_nth", "start"), "quality-step")
     near = distance(rows, now).filter(F.col("d2") <= REWEIGHT).groupBy("grp").agg(*_sums())
     out = _estimate(near, SHORT_REWEIGHTED, 1.0, prior)
     if prior is None:

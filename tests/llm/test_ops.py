@@ -148,6 +148,37 @@ def test_quality_estimate_by_hand(spark):
     assert all(r["d2"] > quality.CUTOFF for r in far if r["x_words"] > 8.5)
 
 
+def test_quality_least_determinant(spark):
+    """Two clouds: from the medians alone, steps may end between them; the determinant found is about as small as that of a plain search
+    from many starts, and smaller halves are never preferred to it."""
+    rnd = np.random.default_rng(5)
+    x = np.concatenate([rnd.normal([5, 1.6, 0.5, 0.4, 0.3], [0.9, 0.2, 0.3, 0.4, 0.4], (420, 5)), rnd.normal([8, 2.5, 2, 3, 3], [0.9, 0.2, 0.5, 0.6, 0.6], (380, 5))])
+    floor, h = np.diag(np.square(list(quality.FLOOR.values()))), len(x) // 2 + 1
+
+    def scatter(part):
+        return np.cov(part.T, bias=True) * quality.SHORT_HALF + floor
+
+    def search(part):
+        for _ in range(30):
+            d = part.mean(0)
+            z = x - d
+            part = x[np.argsort(np.einsum("ij,jk,ik->i", z, np.linalg.inv(scatter(part)), z))[:h]]
+        return part
+
+    best = min((search(x[rnd.choice(len(x), 12, replace=False)]) for _ in range(40)), key=lambda p: np.linalg.det(scatter(p)))
+    rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "grp string, " + ", ".join(f"{c} double" for c in quality.X))
+    seen = []
+    whole = quality._estimate
+    quality._estimate = lambda *a: seen.append(whole(*a)) or seen[-1]
+    try:
+        quality.estimates(rows)
+    finally:
+        quality._estimate = whole
+    found = min((r for r in seen[-2].collect()), key=lambda r: r["det"])  # the last step; what follows is reweighted
+    assert found["det"] <= 1.02 * np.linalg.det(scatter(best))
+    assert np.allclose([found[f"m{i}"] for i in range(5)], best.mean(0), atol=0.02)
+
+
 def brute_runs(seqs, win):
     seen, out = set(), {}
     for i in sorted(seqs):
@@ -401,10 +432,26 @@ def test_mixing(spark, odder, data):
             by[r["source"]].append(r)
         for s, rs in by.items():
             assert sum(r["size"] for r in rs) == rs[0]["source_size"]
-            assert abs(sum(r["taken"] for r in rs) - rs[0]["target"]) <= 1 + 0.02 * rs[0]["source_size"], s
+            assert abs(sum(r["taken"] for r in rs) - rs[0]["target"]) <= 0.5 + 1e-6, s
         assert sum(r["taken"] for r in rows) == sum(len(re.findall(WORD, r["text"] or "")) for r in mixing.mixed(docs).select("text").collect())
 
 
+def test_shards_of_the_mix(spark):
+    """Slots of a source are spread over shards as multinomial draws are, also where some were dropped or made up; blocks by epoch once."""
+    sources = spark.createDataFrame([("a", 512 * 9000 + 100), ("b", 512 * 2000), ("c", 300)], "source string, source_size long")
+    made = mixing.with_blocks(mixing.with_targets(sources, (1, 5, 2)))
+    rows, made = mixing.plan(made).collect(), {r["sid"]: r for r in made.collect()}
+    by = collections.Counter((r["sid"], r["shard"]) for r in rows)
+    n_shards = max(s for _, s in by) + 1
+    for sid in (0, 1):
+        counts = np.array([by[sid, k] for k in range(n_shards - 1)])
+        assert len(counts) >= 8 and counts.min() > 0.8 * counts.mean() and counts.max() < 1.2 * counts.mean()
+    for sid, m in made.items():
+        own = [r for r in rows if r["sid"] == sid]
+        assert len(own) == m["quota"] and len({(r["epoch"], r["block"]) for r in own}) == len(own)
+        assert all(0 <= r["block"] < m["n_slots"] for r in own) and sum(r["cut"] is not None for r in own) == (m["part"] > 0)
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit("k")).alias("x")).collect()
