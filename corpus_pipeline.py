@@ -8,32 +8,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storygraph.llm import bpe, line_dedup, mixing, near_dedup, quality
-from storygraph.llm.common import stored
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the outlier test keep."""
+    from storygraph.llm import quality
+
     return quality.kept(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many of them share; n_chars follows."""
+    from storygraph.llm import line_dedup
+
     return _counted(line_dedup.clean(docs).select(*docs.columns))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of smallest doc_id."""
+    """One document of each group of near copies, the one of smallest doc_id; every row that goes has one of its group that stays."""
+    from storygraph.llm import near_dedup
+
     return near_dedup.kept(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: a row for each document and epoch that takes any of its words; n_chars follows."""
+    from storygraph.llm import mixing
+
     return _counted(mixing.mixed(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, text, and the text's ids (packed), their number and what they decode to."""
+    from storygraph.llm import bpe
+
     return bpe.encoded(docs.select("doc_id", "source", "text"))
 
 
@@ -45,6 +52,8 @@ STAGES = [("quality rules", quality_rules), ("line dedup", dedup_lines), ("MinHa
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storygraph.llm.common import stored
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
