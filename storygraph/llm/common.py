@@ -50,13 +50,14 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, keys: tuple[str, ...], buckets: int | None = None, sort: bool = False) -> str:
-    """Writes df as a table of the catalog, bucketed by keys (and sorted by them), and returns its name."""
+def bucketed(df: DataFrame, name: str, keys: tuple[str, ...], buckets: int | None = None, sort: bool = False, part: str | None = None) -> str:
+    """Writes df as a table of the catalog, bucketed by keys (and sorted by them, and partitioned by part), and returns its name."""
     spark = df.sparkSession
     table = f"storygraph_{name}_{uuid.uuid4().hex}"
     writer = df.write.format("parquet").option("compression", "zstd")
     writer = writer.bucketBy(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
-    (writer.sortBy(*keys) if sort else writer).saveAsTable(table)
+    writer = writer.sortBy(*keys) if sort else writer
+    (writer.partitionBy(part) if part else writer).saveAsTable(table)
     _made_tables.append(table)
     return table
 

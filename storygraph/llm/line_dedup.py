@@ -1,8 +1,8 @@
 """Line dedup: levelled sorted runs of line hashes, compacted now and then; each batch merge-anti-joins the runs and adds its own.
 
 A line's key is the line without white space at its ends, A-Z lower-cased, known by a 128-bit hash. Documents come in batches. A batch's
-hashes, with the number of its documents that hold each, are merge-anti-joined with all runs. What no run holds is new and becomes a run of
-level 0; what some run holds goes, with its numbers, to the counts. FANOUT runs of a level are merged into one of the next, so a hash is
+hashes, with the number of its documents that hold each, are merge-joined with all runs, which splits them in two: what no run holds (the
+anti-join) is new and becomes a run of level 0; what some run holds goes, with its numbers, to the counts. Both are written at once. FANOUT runs of a level are merged into one of the next, so a hash is
 rewritten only log(batches) times, and no hash is in two runs. Runs are tables bucketed and sorted by hash, so that joins with them move
 and sort the other side alone. A key's documents are its number in its run and its numbers in the counts: only keys that more than one
 batch holds have to be added up. Keys that enough documents hold lose all their lines; the others stay.
@@ -87,57 +87,62 @@ class LineStore:
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[str]] = []
-        self.counts: list[str] = []
+        self.batches: list[str] = []
+        self.merged: list[str] = []
 
-    def _run(self, rows: DataFrame) -> str:
-        return bucketed(rows.select(*self.KEY, "n_docs"), "lines", self.KEY, sort=True)
+    def _write(self, rows: DataFrame) -> str:
+        return bucketed(rows.select(*self.KEY, "n_docs", "known"), "lines", self.KEY, sort=True, part="known")
 
-    def _push(self, run: str, level: int) -> None:
+    def run(self, name: str) -> DataFrame:
+        return self.spark.table(name).filter("NOT known").drop("known")
+
+    def _push(self, name: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(run)
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            merged = self.spark.table(full[0])
-            for name in full[1:]:
-                merged = merged.unionByName(self.spark.table(name))
-            self._push(self._run(merged.repartition(*self.KEY)), level + 1)
-            drop_tables(self.spark, full)
+            rows = self.run(full[0])
+            for other in full[1:]:
+                rows = rows.unionByName(self.run(other))
+            self.merged.append(self._write(rows.repartition(*self.KEY).withColumn("known", F.lit(False))))
+            self._push(self.merged[-1], level + 1)
 
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
+    def split(self, batch: DataFrame) -> DataFrame:
+        """A batch with `known`: whether a run holds the hash. One merge join with each run, whose side is neither shuffled nor collected."""
+        known = F.lit(False)
+        for i, name in enumerate(self.runs()):
+            batch = batch.join(self.run(name).select(*self.KEY, F.lit(True).alias(f"_in{i}")).hint("merge"), list(self.KEY), "left")
+            known |= F.coalesce(F.col(f"_in{i}"), F.lit(False))
+        return batch.withColumn("known", known).drop(*[f"_in{i}" for i in range(len(self.runs()))])
+
     def unseen(self, batch: DataFrame) -> DataFrame:
-        """The rows of a batch whose hash no run holds: an anti-join with each run, merging sorted sides."""
-        for name in self.runs():
-            batch = batch.join(self.spark.table(name).hint("merge"), list(self.KEY), "left_anti")
-        return batch
+        """The rows of a batch whose hash no run holds."""
+        return self.split(batch).filter("NOT known").drop("known")
 
     def add(self, batch: DataFrame) -> None:
-        """Adds a batch (h1, h2), a row for each document that holds the line: new hashes as a run, numbers of known ones to the counts."""
-        own = self._run(batch.groupBy(*self.KEY).agg(F.count(F.lit(1)).alias("n_docs")))
-        if not self.runs():
-            self._push(own, 0)
-            return
-        table = self.spark.table(own)
-        new = self._run(self.unseen(table))
-        self.counts.append(self._run(table.join(self.spark.table(new).hint("merge"), list(self.KEY), "left_anti")))
-        self._push(new, 0)
-        drop_tables(self.spark, [own])
+        """Adds a batch (h1, h2), a row for each document that holds the line: new hashes as a run, numbers of known ones as counts."""
+        name = self._write(self.split(batch.groupBy(*self.KEY).agg(F.count(F.lit(1)).alias("n_docs"))))
+        self.batches.append(name)
+        self._push(name, 0)
 
     def frequent(self, min_docs: int) -> DataFrame:
         """Hashes that at least min_docs documents of all batches hold."""
         out = more = self.spark.createDataFrame([], "h1 long, h2 long, n_docs long")
-        for name in self.counts:
-            more = more.unionByName(self.spark.table(name))
+        for name in self.batches:
+            more = more.unionByName(self.spark.table(name).filter("known").drop("known"))
         more = stored(more.groupBy(*self.KEY).agg(F.sum("n_docs").alias("_more")), "line-counts")
         for name in self.runs():
-            out = out.unionByName(self.spark.table(name).join(more, list(self.KEY), "left").select(*self.KEY, (F.col("n_docs") + F.coalesce("_more", F.lit(0))).alias("n_docs")))
+            held = self.run(name).join(more, list(self.KEY), "left")
+            out = out.unionByName(held.select(*self.KEY, (F.col("n_docs") + F.coalesce("_more", F.lit(0))).alias("n_docs")))
         return out.filter(F.col("n_docs") >= min_docs).select(*self.KEY)
 
     def drop(self) -> None:
-        drop_tables(self.spark, self.runs() + self.counts)
-        self.levels, self.counts = [], []
+        drop_tables(self.spark, self.batches + self.merged)
+        self.levels, self.batches, self.merged = [], [], []
 
 
 def clean(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:

@@ -40,7 +40,7 @@ FLOOR = {"x_words": 1.0, "x_length": 0.03, "x_symbols": 0.15, "x_lines": 0.45, "
 X = list(FLOOR)
 PAIRS = [(i, j) for i in range(len(X)) for j in range(i + 1)]
 #: The share of rows taken in concentration steps, and rows besides it; steps; bins of distances; documents that the language's scatter counts as.
-H, MORE, STEPS, BINS, PRIOR = 0.5, 1, 12, 2048, 10
+H, MORE, STEPS, BINS, PRIOR = 0.5, 1, 4, 2048, 10
 #: Determinants that differ by less than this share are the same.
 SAME = 1e-6
 #: The squared distance of five independent normal values is below this for all but about 1 in 100,000.
@@ -194,12 +194,12 @@ def estimates(rows: DataFrame, prior: DataFrame | None = None) -> DataFrame:
         near = sums.withColumn("_before", before).withColumn("_half", F.least(F.sum("n").over(by), F.floor(H * F.sum("n").over(by)) + MORE))
         near = near.filter("_before < _half").withColumn("_share", F.least(F.lit(1.0), (F.col("_half") - F.col("_before")) / F.col("n")))
         near = near.groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("_share")).alias(c) for c in sums.columns if c not in (*keys, "bin")])
-        last, now = now, stored(_estimate(near, SHORT_HALF, H, prior, keys), "quality-step")
-        both = now.join(last.select(*keys, F.col("det").alias("_det")), list(keys))
-        if both.filter(F.abs(F.col("det") - F.col("_det")) > SAME * F.col("_det")).isEmpty():
+        made = _estimate(near, SHORT_HALF, H, prior, keys).join(now.select(*keys, F.col("det").alias("_last")), list(keys))
+        now = stored(made.withColumn("_settled", F.abs(F.col("det") - F.col("_last")) <= SAME * F.col("_last")).drop("_last"), "quality-step")
+        if now.filter("NOT _settled").isEmpty():
             break
     nth = F.row_number().over(Window.partitionBy("grp").orderBy("det", "start"))
-    now = stored(now.withColumn("_nth", nth).filter("_nth = 1").drop("_nth", "start"), "quality-step")
+    now = stored(now.withColumn("_nth", nth).filter("_nth = 1").drop("_nth", "start", "_settled"), "quality-step")
     near = distance(rows, now).filter(F.col("d2") <= REWEIGHT).groupBy("grp").agg(*_sums())
     out = _estimate(near, SHORT_REWEIGHTED, 1.0, prior)
     if prior is None:

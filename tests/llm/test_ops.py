@@ -562,14 +562,14 @@ def test_line_store(spark):
         batch = spark.createDataFrame([(h, h) for h in (1, 2, 2, 10 + i)], "h1 long, h2 long")
         assert sorted({r["h1"] for r in store.unseen(batch).collect()}) == ([1, 2, 10] if i == 0 else [10 + i])
         store.add(batch)
-    assert [len(x) for x in store.levels] == [1, 0, 1] and len(store.counts) == 4
+    assert [len(x) for x in store.levels] == [1, 0, 1] and len(store.batches) == 5
     assert sorted(r["h1"] for r in store.frequent(5).collect()) == [1, 2]
     assert [r["h1"] for r in store.frequent(6).collect()] == [2]
-    held = sorted(r["h1"] for name in store.runs() for r in spark.table(name).collect())
+    held = sorted(r["h1"] for name in store.runs() for r in store.run(name).collect())
     assert held == [1, 2, 10, 11, 12, 13, 14]
-    plan = store.unseen(spark.table(store.counts[0]))._jdf.queryExecution().executedPlan().toString()
+    plan = store.unseen(spark.table(store.batches[0]).drop("known"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "SortMergeJoin" in plan
-    names = store.runs() + store.counts
+    names = store.batches + store.merged
     store.drop()
     assert not any(spark.catalog.tableExists(n) for n in names)
 
