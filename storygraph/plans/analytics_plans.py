@@ -130,11 +130,6 @@ def shared_sections(spark, d):
 
 
 def of_section(spark, d):
-    t = trade(spark, d)
-    return A.of_section(t["mentions"], t["entities"], t["sections"].filter("idx < 20"))
-
-
-def of_all_sections(spark, d):
     t = trade(spark, d)
     return A.of_section(t["mentions"], t["entities"], t["sections"])
 
@@ -227,19 +222,12 @@ def _variants(spark, d):
     return A.raw_variants(t["entities"], t["mentions"])
 
 
-def _merge_clusters(spark, d, groups):
+def merge_clusters(spark, d):
+    groups = aliases(spark, d)
     groups = groups.select(F.col("key").alias("raw"), F.col("canonical").alias("cluster")).unionByName(groups.select(F.col("canonical").alias("raw"), F.col("canonical").alias("cluster")))
     return R.merge_clusters(_variants(spark, d), groups)
 
 
-def merge_clusters(spark, d):
-    return _merge_clusters(spark, d, aliases(spark, d).filter("length(canonical) < 8"))
-
-
-def all_merge_clusters(spark, d):
-    return _merge_clusters(spark, d, aliases(spark, d))
-
-
 def collision_buckets(spark, d):
     return R.collision_buckets(_variants(spark, d), "(?i)ring", "the")
 
@@ -253,7 +241,7 @@ QUERIES = {
     "analytics_passage_entities": passage_entities, "analytics_labelled_clues": labelled_clues, "analytics_tagged": tagged, "analytics_citations": citations,
     "reconcile_canonical": canonical_entities, "reconcile_normalised": normalised_candidates, "reconcile_suffixes": suffix_candidates, "reconcile_split_counts": split_counts,
     "reconcile_cross_references": cross_references, "reconcile_nested_references": nested_references, "reconcile_cases": cases, "reconcile_documents": document_catalogue,
-    "reconcile_merge_clusters": merge_clusters, "reconcile_all_merge_clusters": all_merge_clusters, "analytics_of_all_sections": of_all_sections, "reconcile_collisions": collision_buckets,
+    "reconcile_merge_clusters": merge_clusters, "reconcile_collisions": collision_buckets,
 }
 
 T, M, C = with_(TRADE), with_(MOVES), with_(CONV)
@@ -300,8 +288,7 @@ UNION ALL SELECT 'events', sum(event_count)::BIGINT FROM w UNION ALL SELECT 'men
     "analytics_naming": T + "SELECT DISTINCT s.story, s.id, CASE WHEN length(text) > 90 THEN left(text, 87) || '…' ELSE text END AS snippet FROM (SELECT story, unnest(sentence_ids) AS id FROM t_mentions WHERE regexp_matches(entity, '^(Mr )?Part.1[0-9]$')) m JOIN t_sentences s USING (story, id)",
     "analytics_appearances": T + "SELECT story, sum(len(sentence_ids))::BIGINT AS n FROM t_mentions WHERE regexp_matches(entity, '^(Mr )?Part.1[0-9]$') GROUP BY 1",
     "analytics_shared_sections": T + ", b AS (SELECT story, section, bool_or(regexp_matches(entity, '1$')) AS a, bool_or(regexp_matches(entity, '2$')) AS b FROM t_mentions GROUP BY 1, 2) SELECT story, count(*) AS n FROM b WHERE a AND b GROUP BY 1",
-    "analytics_of_section": T + "SELECT DISTINCT m.story, section, e.id, type, label FROM t_mentions m JOIN t_entities e ON e.story = m.story AND e.id = m.entity WHERE idx < 20",
-    "analytics_of_all_sections": T + "SELECT DISTINCT m.story, section, e.id, type, label FROM t_mentions m JOIN t_entities e ON e.story = m.story AND e.id = m.entity",
+    "analytics_of_section": T + "SELECT DISTINCT m.story, section, e.id, type, label FROM t_mentions m JOIN t_entities e ON e.story = m.story AND e.id = m.entity",
     "analytics_variants": T + "SELECT DISTINCT id FROM t_entities WHERE regexp_matches(id, 'Part.1[0-9]$')",
     "analytics_passage_sentences": T + _PS + "SELECT ps.story, ps.id, position, coalesce(list(entity ORDER BY entity) FILTER (entity IS NOT NULL), []) AS entities FROM ps LEFT JOIN nd USING (story, id) GROUP BY ALL",
     "analytics_passage_events": T + _PS + "SELECT story, event, list(id ORDER BY id) AS source_nodes FROM ce GROUP BY 1, 2",
@@ -316,7 +303,6 @@ UNION ALL SELECT 'events', sum(event_count)::BIGINT FROM w UNION ALL SELECT 'men
     "reconcile_nested_references": T + ", h AS (SELECT entity, arg_min(label, m.story_ord) AS label FROM t_mentions m JOIN t_entities e ON e.story = m.story AND e.id = m.entity GROUP BY 1) SELECT entity, label, count(*)::INT AS n, md5(string_agg(story || ' ' || section, ',' ORDER BY story, section)) AS body FROM t_mentions JOIN h USING (entity) GROUP BY 1, 2",
     "reconcile_cases": T + "SELECT story, id, label, (ord % 2 = 0)::INT AS n, CASE WHEN ord % 2 = 0 THEN 'o_' || id END AS object FROM t_entities WHERE type = 'case'",
     "reconcile_documents": T + "SELECT id, label, story AS source FROM t_entities WHERE type = 'document'",
-    "reconcile_merge_clusters": T + _VAR + ", g AS (SELECT *, regexp_replace(raw, '^mr_', '') AS cluster FROM vr WHERE length(regexp_replace(raw, '^mr_', '')) < 8) SELECT cluster, (row_number() OVER (PARTITION BY cluster ORDER BY mentions DESC, story, id))::INT AS rank, story, id, label, mentions, (sum(mentions) OVER (PARTITION BY cluster))::BIGINT AS total FROM g",
-    "reconcile_all_merge_clusters": T + _VAR + ", g AS (SELECT *, regexp_replace(raw, '^mr_', '') AS cluster FROM vr) SELECT cluster, (row_number() OVER (PARTITION BY cluster ORDER BY mentions DESC, story, id))::INT AS rank, story, id, label, mentions, (sum(mentions) OVER (PARTITION BY cluster))::BIGINT AS total FROM g",
+    "reconcile_merge_clusters": T + _VAR + ", g AS (SELECT *, regexp_replace(raw, '^mr_', '') AS cluster FROM vr) SELECT cluster, (row_number() OVER (PARTITION BY cluster ORDER BY mentions DESC, story, id))::INT AS rank, story, id, label, mentions, (sum(mentions) OVER (PARTITION BY cluster))::BIGINT AS total FROM g",
     "reconcile_collisions": T + _VAR + r", s AS (SELECT *, trim(regexp_replace(regexp_replace(lower(label), '[^a-z\s]', '', 'g'), '\s+', ' ', 'g')) AS stem FROM vr WHERE contains(lower(label), 'ring')) SELECT CASE WHEN type = 'location' THEN 'loc:' || stem WHEN starts_with(stem, 'the') THEN 'char:the' ELSE 'char:' || stem END AS bucket, count(*) AS variants, sum(mentions)::BIGINT AS mentions FROM s GROUP BY 1",
 }

@@ -140,12 +140,6 @@ def met_so_far(spark, d):
 
 
 def listed_stories(spark, d):
-    c, n, _ = _conv(spark, d)
-    order = c["stories"].filter("story_ord % 3 = 0 AND story_ord < 60").select("story", (-F.col("story_ord")).alias("ord"))
-    return P.listed_stories(n, order)
-
-
-def all_listed_stories(spark, d):
     c, n, _ = _conv(spark, d)
     return P.listed_stories(n, c["stories"].select("story", (-F.col("story_ord")).alias("ord")))
 
@@ -189,7 +183,7 @@ def prompts(spark, d):
 def dossier(spark, d):
     m, _, e = _moves(spark, d)
     events = G.event_positions(m["events"], m["sections"]).select("story", "id", "pos", "participants", F.array().cast("array<string>").alias("recipients"))
-    keys = m["entities"].filter("id IN ('user_8', 'place_view', 'user_46')").select("story", F.col("id").alias("entity"), F.lit(5).alias("n"))
+    keys = m["entities"].select("story", F.col("id").alias("entity"), F.lit(5).alias("n"))
     none = lambda s: spark.createDataFrame([], s)
     return P.dossier(keys, events, e, none("story string, entity string, section string, idx int"), none("story string, object string, case string, discovered_by string, idx int"), none("story string, character string, organisation string, valid_from_section int"))
 
@@ -206,7 +200,7 @@ QUERIES = {
     "graph_checked_edges": checked_edges, "graph_dropped_counts": dropped_counts, "graph_totals": graph_totals, "graph_key_violations": key_violations, "graph_skipped_entities": skipped_entities,
     "perspective_knowledge_cube": knowledge_cube, "perspective_facts": knowledge_facts, "perspective_events": event_shapes, "perspective_entities": entity_shapes,
     "perspective_context": context, "perspective_context_problems": context_problems, "perspective_visible_events": visible_events, "perspective_documents": document_knowledge,
-    "perspective_knows_via": knows_via, "perspective_met_so_far": met_so_far, "perspective_listed_stories": listed_stories, "perspective_all_listed_stories": all_listed_stories, "perspective_numbered_states": numbered_states,
+    "perspective_knows_via": knows_via, "perspective_met_so_far": met_so_far, "perspective_listed_stories": listed_stories, "perspective_numbered_states": numbered_states,
     "perspective_mentions": payload_mentions, "perspective_state_at": state_at, "perspective_present": present, "perspective_readable": readable, "perspective_prompts": prompts,
     "perspective_dossier": dossier, "perspective_subgraph": subgraph, "objective_state_windows": state_windows,
 }
@@ -248,8 +242,7 @@ SELECT s.story, character, section, id, modality, description FROM f JOIN c_sect
     "perspective_knows_via": C + _EDGES + """SELECT e.story, CASE rel_type WHEN 'TOLD_TO' THEN to_id ELSE from_id END AS character, v.id AS event, v.label AS name, v.ord AS pos, rel_type AS knows_via
 FROM e JOIN c_events v ON v.story = e.story AND v.id = CASE rel_type WHEN 'TOLD_TO' THEN from_id ELSE to_id END""",
     "perspective_met_so_far": C + _NODES + "SELECT story, kind, id, name, pos FROM n WHERE kind IN ('entity', 'event') AND (pos IS NULL OR pos <= 2)",
-    "perspective_listed_stories": C + "SELECT story, name, -story_ord AS ord FROM c_stories WHERE story_ord % 3 = 0 AND story_ord < 60",
-    "perspective_all_listed_stories": C + "SELECT story, name, -story_ord AS ord FROM c_stories",
+    "perspective_listed_stories": C + "SELECT story, name, -story_ord AS ord FROM c_stories",
     "perspective_numbered_states": M + "SELECT story, 'state_' || (row_number() OVER (PARTITION BY story ORDER BY from_id, to_id, rel_type, valid_from_section, valid_to_section NULLS FIRST) - 1) AS id, from_id, to_id, rel_type, valid_from_section, valid_to_section FROM m_state",
     "perspective_mentions": T + "SELECT story, entity, section, idx AS pos, mention_count, sentence_ids FROM t_mentions",
     "perspective_state_at": M + """SELECT s.story, s.from_id AS entity, n::INT AS n, rel_type, to_id AS target_id, replace(to_id, '_', ' ') AS target_label FROM m_state s, unnest([0, 7, 14, 29]) AS u(n)
@@ -263,7 +256,7 @@ FROM k LEFT JOIN f ON f.story = k.story AND f.character = k.character AND pos <=
 SELECT story, character, section, md5(coalesce(w, '  (none)')) AS witnessed, md5(coalesce(o, '  (none)')) AS observed, md5(coalesce(t, '  (none)')) AS told FROM o""",
     "perspective_dossier": M + """, p AS (SELECT story, "from" AS entity, section_idx AS pos, event AS ref, 'event' AS facet FROM m_all
 UNION ALL SELECT story, from_id, valid_from_section, from_id || ' ' || rel_type || ' ' || to_id, 'state from' FROM m_state UNION ALL SELECT story, to_id, valid_from_section, from_id || ' ' || rel_type || ' ' || to_id, 'state to' FROM m_state)
-SELECT story, entity, 5 AS n, facet, ref FROM p WHERE entity IN ('user_8', 'place_view', 'user_46') AND pos <= 5""",
+SELECT story, entity, 5 AS n, facet, ref FROM p WHERE pos <= 5""",
     "perspective_subgraph": C + """, w AS (SELECT s.story, s.section, s.idx, p.who, p.id FROM c_sections s JOIN c_part p ON p.story = s.story AND p.ord <= s.idx)
 SELECT DISTINCT a.story, a.section, 'state' AS kind, a.who AS source, b.who AS target FROM w a JOIN w b ON a.story = b.story AND a.section = b.section AND a.who < b.who
 UNION SELECT story, section, 'participation', who, id FROM w UNION SELECT s.story, s.section, 'comm', v.speaker, t.who FROM c_sections s JOIN c_told t ON t.story = s.story AND t.ord <= s.idx JOIN c_events v ON v.story = t.story AND v.id = t.id""",

@@ -135,12 +135,6 @@ def mention_positions(spark, d):
 
 
 def entity_positions(spark, d):
-    c, _, pos = _tl(spark, d)
-    none = c["sections"].select("story", F.lit("").alias("entity"), "section", F.lit(0).alias("pos")).limit(0)
-    return TL.entity_positions(c["events"], pos, none)
-
-
-def mentioned_positions(spark, d):
     c, r, pos = _tl(spark, d)
     return TL.entity_positions(c["events"], pos, TL.mention_positions(E.mentions(answers(spark, d)), c["sentences"], r))
 
@@ -340,7 +334,7 @@ QUERIES = {
     "extract_registry": registry, "extract_healed": healed, "extract_memberships": memberships, "extract_states": parsed_states, "extract_section_stats": section_stats, "extract_ingest_totals": ingest_totals,
     "validate_forbidden": forbidden_terms, "validate_unsourced": unsourced, "validate_references": bad_references,
     "timeline_section_ranges": section_ranges, "timeline_current_section": current_section, "timeline_event_positions": event_positions, "timeline_mention_positions": mention_positions,
-    "timeline_entity_positions": entity_positions, "timeline_mentioned_positions": mentioned_positions, "perspective_whole_dossier": whole_dossier, "timeline_events": timeline_events, "timeline_character_events": timeline_character_events, "timeline_mentions": timeline_mentions,
+    "timeline_entity_positions": entity_positions, "perspective_whole_dossier": whole_dossier, "timeline_events": timeline_events, "timeline_character_events": timeline_character_events, "timeline_mentions": timeline_mentions,
     "timeline_entities": timeline_entities, "timeline_states": timeline_states, "timeline_clues": timeline_clues, "timeline_entering": timeline_entering, "timeline_section_events": timeline_section_events,
     "timeline_snapshot": timeline_snapshot, "quality_counts": counts, "quality_checked_counts": checked_counts, "quality_orphan_edges": orphan_edges, "quality_self_edges": self_edges,
     "quality_stray_nodes": stray_nodes, "quality_unreachable": unreachable, "quality_story_count": story_count, "quality_digests": digest_sizes, "quality_mismatches": manifest_mismatches,
@@ -389,7 +383,7 @@ UNION SELECT story, 'member of no organisation', 'organisation_talk' FROM ok UNI
 SELECT story, p, section, idx FROM a WHERE rn = 1""",
     "timeline_event_positions": C + "SELECT story, id, CASE WHEN ord % 6 = 4 THEN 0 ELSE ord END::BIGINT AS pos FROM c_events",
     "timeline_mention_positions": T + _MP + "SELECT story, entity, section, pos::BIGINT AS pos FROM mp",
-    "timeline_mentioned_positions": C + _OK + "SELECT story, who AS id, min(ord)::BIGINT AS pos FROM (SELECT story, who, ord FROM c_part UNION ALL SELECT story, who, ord FROM c_told UNION ALL SELECT story, 'object_' || speaker, ord FROM ok) GROUP BY 1, 2",
+    "timeline_entity_positions": C + _OK + "SELECT story, who AS id, min(ord)::BIGINT AS pos FROM (SELECT story, who, ord FROM c_part UNION ALL SELECT story, who, ord FROM c_told UNION ALL SELECT story, 'object_' || speaker, ord FROM ok) GROUP BY 1, 2",
     "perspective_whole_dossier": C + _OK + _HEAD.format("c_sentences") + """, k AS (SELECT story, entity, p AS n FROM h JOIN (SELECT story, id AS entity FROM c_entities UNION ALL SELECT story, 'object_' || id FROM c_entities
 UNION ALL SELECT story, unnest(['object_key', 'case_one', 'organisation_talk', 'location_0']) FROM c_stories) USING (story)),
 mb AS (SELECT story, speaker, min(ord) AS pos FROM ok GROUP BY 1, 2), ck AS (SELECT story, ord AS pos, coalesce(list_sort(recipients)[1], '') AS who FROM ok WHERE ord % 2 = 0),
@@ -399,7 +393,6 @@ UNION ALL SELECT story, 'object_' || speaker, ord, section, 'mention' FROM ok
 UNION ALL SELECT story, 'case_one', pos, 'object_key', 'clue case' FROM ck UNION ALL SELECT story, 'object_key', pos, 'object_key', 'clue object' FROM ck UNION ALL SELECT story, who, pos, 'object_key', 'clue discovered_by' FROM ck
 UNION ALL SELECT story, speaker, pos, speaker || ' in organisation_talk', 'member character' FROM mb UNION ALL SELECT story, 'organisation_talk', pos, speaker || ' in organisation_talk', 'member organisation' FROM mb)
 SELECT story, entity, n, facet, ref FROM k JOIN f USING (story, entity) WHERE pos <= n""",
-    "timeline_entity_positions": C + _EP + "SELECT story, id, pos::BIGINT AS pos FROM ep",
     "timeline_events": C + _HEAD.format("c_sentences") + "SELECT h.story, p, id FROM h JOIN c_events USING (story) WHERE ord <= p",
     "timeline_character_events": C + _HEAD.format("c_sentences") + "SELECT h.story, p, id FROM h JOIN c_events USING (story) WHERE ord <= p AND (list_contains(participants, 'assistant') OR list_contains(recipients, 'assistant'))",
     "timeline_mentions": T + _MP + _RNG + _HEAD.format("t_sentences") + ", cs AS (SELECT h.story, p, arg_min(section, idx) AS here FROM h JOIN rng USING (story) WHERE p < start + count GROUP BY 1, 2) SELECT cs.story, p, entity, count(*)::INT AS n, bool_or(section = here) AS here FROM cs JOIN mp USING (story) WHERE pos <= p GROUP BY 1, 2, 3",
