@@ -1,9 +1,11 @@
 """PII surrogates with DataFrame operations alone.
 
-Entities are found by one pattern, and each distinct one (type, normal form) gets a surrogate from a keyed hash: a value of the same type
+Entities are found by one pattern, and each distinct one (type, normal form) gets a surrogate from an HMAC-SHA-256 under the caller's key: a value of the same type
 and format. Letters become letters and digits digits, of the same case and in the same places; card numbers keep passing their check
 digit and other numbers of that length are left alone; addresses stay addresses; a name is replaced by one of its title's gender and its
-own script. One entity has one surrogate in all documents and spellings (coreference), and two entities never share one (distinctness):
+own script (Latin, Cyrillic or Greek; names in other scripts get Latin ones). Given names and surnames are entities of their own, so that
+Mr John Smith and Mr Smith keep one surname, in all documents; where a document has Mr John Smith, John Smith without a title is replaced
+too (the counts hold the titled ones alone). One entity has one surrogate in all documents and spellings (coreference), and two entities never share one (distinctness):
 surrogates that collide with each other or with a real entity are drawn again until none does. From draw LONGER on, each draw of a
 name, address or secret is longer by a syllable or a letter, so there are always more surrogates than entities. The other types have
 10^9 values of a format or more; where these are as good as used up, MOST_DRAWS draws end in an error that names the types.
@@ -19,37 +21,54 @@ table gives an empty result; other columns are kept but for the names of the cou
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storygraph.llm.common import ascii_lower, once, stored, unwrapped, wrapped
 
-KEY = "storygraph"
+#: The key of the registered query alone, whose results anyone may repeat; pass a secret one to pseudonymized().
+QUERY_KEY = "storygraph"
 TYPES = ("email", "secret", "ip", "iban", "card", "id", "phone", "name")
 #: The first draw that makes longer values; draws after which a type counts as used up.
 LONGER, MOST_DRAWS = 2, 100
-#: Titles by gender, given names and surname parts by script and gender.
-TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "госпожа")}
+#: Titles by gender (n: either), given names and surname parts by script and gender.
+TITLES = {
+    "m": ("Mr", "Herr", "Monsieur", "Señor", "господин"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "госпожа"),
+    "n": ("Dr", "Prof"),
+}
+SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "latin": ""}
 GIVEN = {
     ("latin", "m"): ("Adam", "Bruno", "Carl", "Daniel", "Emil", "Felix", "Henry", "Jonas"),
     ("latin", "f"): ("Alma", "Berta", "Clara", "Diana", "Emma", "Flora", "Helen", "Julia"),
     ("cyrillic", "m"): ("Антон", "Борис", "Виктор", "Глеб", "Егор", "Иван", "Лев", "Олег"),
     ("cyrillic", "f"): ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Лидия", "Мария", "Ольга"),
+    ("greek", "m"): ("Αλέξης", "Γιάννης", "Δημήτρης", "Κώστας", "Μάνος", "Νίκος", "Πέτρος", "Στέφανος"),
+    ("greek", "f"): ("Άννα", "Βασιλική", "Δήμητρα", "Ελένη", "Ζωή", "Ιωάννα", "Μαρία", "Σοφία"),
 }
 STEMS = {
     "latin": ("Bar", "Cor", "Del", "Fen", "Gar", "Hol", "Kel", "Lan", "Mar", "Nor", "Pel", "Ros", "San", "Tor", "Val", "Win"),
     "cyrillic": ("Бар", "Вол", "Гор", "Дол", "Кар", "Лоб", "Мар", "Нор", "Пол", "Род", "Сав", "Тор", "Фед", "Хол", "Чер", "Шум"),
+    "greek": ("Αλεξ", "Βασ", "Γεωρ", "Δημ", "Ζαχ", "Θεοδ", "Καρ", "Λαμπ", "Μαρκ", "Νικ", "Παπ", "Ραλ", "Σταυρ", "Τριαντ", "Φωτ", "Χριστ"),
+}
+MIDDLES = {
+    "latin": ("a", "e", "i", "o", "en", "er", "in", "on"),
+    "cyrillic": ("а", "е", "и", "о", "ан", "ер", "ин", "он"),
+    "greek": ("α", "ε", "ι", "ο", "αν", "ερ", "ιν", "ον"),
 }
-MIDDLES = {"latin": ("a", "e", "i", "o", "en", "er", "in", "on"), "cyrillic": ("а", "е", "и", "о", "ан", "ер", "ин", "он")}
 ENDS = {
     ("latin", "m"): ("berg", "dale", "feld", "ford", "land", "man", "sen", "ton"),
     ("latin", "f"): ("berg", "dale", "feld", "ford", "land", "man", "sen", "ton"),
     ("cyrillic", "m"): ("ев", "ов", "ин", "кин", "нов", "ров", "ский", "цев"),
     ("cyrillic", "f"): ("ева", "ова", "ина", "кина", "нова", "рова", "ская", "цева"),
+    ("greek", "m"): ("άκης", "ίδης", "όπουλος", "ούδης", "άτος", "έλης", "ίνης", "ώτης"),
+    ("greek", "f"): ("άκη", "ίδου", "οπούλου", "ούδη", "άτου", "έλη", "ίνη", "ώτη"),
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_TITLE = "(?:" + "|".join(TITLES["m"] + TITLES["f"]) + ")"
+_TITLE = "(?:" + "|".join(t for of in TITLES.values() for t in of) + ")"
 _PATTERNS = (
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     r"""(?<=(?i:token|secret|password|passwd|api_key|apikey)\s{0,3}[=:]\s{0,3}["']{0,1})[A-Za-z0-9_-]{8,}""",
@@ -91,19 +110,35 @@ def kind(s: Column) -> Column:
 
 def normal(s: Column, of: Column) -> Column:
     """What all spellings of an entity share; a name's holds its gender."""
-    gender = F.when(s.rlike("^(?:" + "|".join(TITLES["f"]) + r")\.? "), "f").otherwise("m")
+    titled = lambda g: s.rlike("^(?:" + "|".join(TITLES[g]) + r")\.? ")
+    gender = F.when(titled("f"), "f").when(titled("n"), "n").otherwise("m")
     name = F.concat(gender, F.lit(" "), F.lower(F.regexp_replace(s, rf"^{_TITLE}\.? ", "")))
     return F.when(of.isin("card", "id", "phone"), _digits(s)).when(of == "name", name).when(of == "ip", s).otherwise(ascii_lower(s))
 
 
+def parts(of: Column, norm: Column) -> Column:
+    """The entities (kind, norm) that a match stands for: of a name with a blank the given name and the surname, else itself."""
+    entity = lambda k, n: F.struct(k.alias("kind"), n.alias("norm"))
+    word = lambda i: F.concat_ws(" ", F.split_part(norm, F.lit(" "), F.lit(1)), F.split_part(norm, F.lit(" "), F.lit(i)))
+    return F.when((of == "name") & (F.size(F.split(norm, " ")) > 2), F.array(entity(F.lit("given"), word(2)), entity(of, word(3)))).otherwise(F.array(entity(of, norm)))
+
+
+def hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA-256 of a string, in hex."""
+    secret = key.encode()
+    secret = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in secret)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
 def _pick(values: tuple, n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
 
 
-def surrogate(of: Column, norm: Column, attempt: Column, key: str = KEY) -> Column:
+def surrogate(of: Column, norm: Column, attempt: Column, key: str) -> Column:
     """A value of the same type and shape, from a keyed hash; names, addresses and secrets grow from draw LONGER on."""
-    seed = F.concat_ws("|", F.lit(key), of, norm, attempt.cast("string"))
-    stream = F.concat(*[F.sha2(F.concat_ws("|", seed, F.lit(str(i))), 256) for i in range(4)])
+    seed = F.concat_ws("|", of, norm, attempt.cast("string"))
+    stream = F.concat(*[hmac(key, F.concat_ws("|", seed, F.lit(str(i)))) for i in range(4)])
 
     def made(h: Column) -> Column:
         byte = lambda i: F.conv(F.substring(h, i % 128 * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -121,18 +156,23 @@ def surrogate(of: Column, norm: Column, attempt: Column, key: str = KEY) -> Colu
         ip = F.concat_ws(".", (byte(F.lit(0)) % 223 + 1).cast("string"), *[byte(F.lit(i)).cast("string") for i in (1, 2, 3)])
 
         def named(script: str, gender: str) -> Column:
-            first, last = GIVEN[script, gender], F.concat(_pick(STEMS[script], byte(F.lit(1))), _pick(MIDDLES[script], byte(F.lit(2))), _pick(STEMS[script], byte(F.lit(5))), _pick(ENDS[script, gender], byte(F.lit(3))))
-            syllables = F.transform(extra, lambda i: F.concat(_pick(STEMS[script], byte(4 + 2 * i)), _pick(MIDDLES[script], byte(5 + 2 * i))))
-            last = F.concat(F.array_join(syllables, ""), last)
-            last = F.concat(F.substring(last, F.lit(1), F.lit(1)), F.lower(F.substring(last, F.lit(2), F.length(last))))
-            return F.when(norm.rlike("^. .*[ -]"), F.concat_ws(" ", _pick(first, byte(F.lit(4))), last)).otherwise(last)
-
-        female, cyrillic = norm.startswith("f "), norm.rlike(r"\p{IsCyrillic}")
-        name = F.when(cyrillic & female, named("cyrillic", "f")).when(cyrillic, named("cyrillic", "m")).when(female, named("latin", "f")).otherwise(named("latin", "m"))
+            own = "m" if gender == "n" else gender
+            syllable = lambda i: F.concat(_pick(STEMS[script], byte(i)), _pick(MIDDLES[script], byte(i + 1)))
+            longer = F.array_join(F.transform(extra, lambda i: syllable(8 + 2 * i)), "")
+            end = lambda i: _pick(ENDS[script, own], byte(F.lit(i)))
+            first = GIVEN[script, "m"] + GIVEN[script, "f"] if gender == "n" else GIVEN[script, gender]
+            last = F.initcap(F.concat(longer, syllable(F.lit(1)), _pick(STEMS[script], byte(F.lit(5))), end(3)))
+            double = F.concat_ws("-", F.initcap(F.concat(syllable(F.lit(6)), end(4))), last)
+            return F.when(of == "given", F.concat(_pick(first, byte(F.lit(4))), F.lower(longer))).when(norm.contains("-"), double).otherwise(last)
+
+        name = F.lit(None).cast("string")
+        for script, letters_of in SCRIPTS.items():
+            for gender in TITLES:
+                name = F.coalesce(name, F.when(norm.startswith(f"{gender} ") & norm.rlike(letters_of), named(script, gender)))
         return (
             F.when(of == "ip", ip)
             .when(of == "card", card)
-            .when(of == "name", name)
+            .when(of.isin("name", "given"), name)
             .when(of == "email", F.concat(letters, shaped(stem(norm)), F.regexp_extract(norm, r"\.[^.]*$", 0)))
             .when(of == "phone", keep(F.greatest(F.lit(0), F.length(norm) - 10)))
             .when(of == "iban", keep(F.lit(2)))
@@ -164,7 +204,7 @@ def rendered(s: Column, of: Column, value: Column) -> Column:
 def may_hold(text: Column) -> Column:
     """A cheap test that every text with an entity passes: a digit, an @, an access key's start, a hash of letters alone, a word before a secret, or a title and a blank."""
     near = [F.lower(text).contains(w) for w in ("token", "secret", "passw", "api_key", "apikey")]
-    titles = [text.contains(f"{t}{end}") for t in TITLES["m"] + TITLES["f"] for end in (" ", ". ")]
+    titles = [text.contains(f"{t}{end}") for of in TITLES.values() for t in of for end in (" ", ". ")]
     out = text.rlike("[0-9@]|AKIA|[0-9A-Fa-f]{32}")
     for c in near + titles:
         out |= c
@@ -177,9 +217,9 @@ def found(text: Column) -> Column:
     return F.transform(typed, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), normal(x["s"], x["kind"]).alias("norm")))
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, value) for distinct entities (kind, norm): no two share a value and no value is a real entity."""
-    real = entities.select("kind", F.when(F.col("kind") == "name", F.substring("norm", 3, 1000)).otherwise(F.col("norm")).alias("_plain")).distinct()
+    real = entities.select("kind", F.when(F.col("kind").isin("name", "given"), F.substring("norm", 3, 1000)).otherwise(F.col("norm")).alias("_plain")).distinct()
     drawn = entities.withColumn("attempt", F.lit(0))
     for _ in range(MOST_DRAWS):
         drawn = stored(drawn.select("kind", "norm", "attempt", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key).alias("value")), "surrogates")
@@ -195,8 +235,8 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise ValueError(f"no surrogates are left for some entities of {used_up} after {MOST_DRAWS} draws")
 
 
-def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with its texts' entities replaced, and n_<type> counts."""
+def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
+    """docs with its texts' entities replaced under a secret key, and n_<type> counts."""
     none = F.array().cast("array<struct<s:string,kind:string,norm:string>>")
     count = lambda t: F.size(F.filter(F.coalesce("_found", none), lambda x: x["kind"] == t)).cast("long")
     counts = {f"n_{t}": count(t) for t in TYPES}
@@ -206,14 +246,20 @@ def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
     seen = stored(docs.filter(may_hold(F.col("text"))).select("*", *hashes, found(F.col("text")).alias("_found")), "entity-texts")
     some = F.coalesce(F.exists("_found", lambda x: x["kind"].isNotNull()), F.lit(False))
     having = seen.filter(some)
-    each = stored(having.select("_k1", "_k2", F.explode(F.array_distinct(F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), x["norm"].alias("norm"))))).alias("e")).filter("e.kind IS NOT NULL").select("_k1", "_k2", "e.*"), "entities")
+    entities = F.flatten(F.transform("_found", lambda x: parts(x["kind"], x["norm"])))
+    each = stored(having.select("_k1", "_k2", F.explode(F.array_distinct(entities)).alias("e")).filter("e.kind IS NOT NULL").select("_k1", "_k2", "e.*"), "entities")
     values = surrogates(each.select("kind", "norm").distinct(), key)
     own = each.join(values, ["kind", "norm"]).groupBy("_k1", "_k2").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "norm").alias("k"), "value"))).alias("_own"))  # a document's own entities
+    value = lambda x: F.array_join(F.transform(parts(x["kind"], x["norm"]), lambda e: F.try_element_at("_own", F.concat_ws(":", e["kind"], e["norm"]))), " ")
+    full = F.filter("_found", lambda x: (x["kind"] == "name") & (F.size(F.split(x["norm"], " ")) > 2))
+    untitled = F.array_distinct(F.transform(full, lambda x: F.struct(F.regexp_replace(x["s"], rf"^{_TITLE}\.? ", "").alias("s"), value(x).alias("value"))))
+    mention = lambda s: F.concat(F.lit(r"(?<!\p{L})"), s, F.lit(r"(?!\p{L})"))
+    between = lambda text: F.aggregate("_names", text, lambda t, n: F.regexp_replace(t, mention(n["s"]), n["value"]))
     replaced = F.transform(
         F.arrays_zip(F.split("text", PATTERN, -1).alias("before"), F.col("_found").alias("x")),
-        lambda z: F.concat(z["before"], F.when(z["x"].isNull(), F.lit("")).when(z["x"]["kind"].isNull(), z["x"]["s"]).otherwise(rendered(z["x"]["s"], z["x"]["kind"], F.try_element_at("_own", F.concat_ws(":", z["x"]["kind"], z["x"]["norm"]))))),
+        lambda z: F.concat(between(z["before"]), F.when(z["x"].isNull(), F.lit("")).when(z["x"]["kind"].isNull(), z["x"]["s"]).otherwise(rendered(z["x"]["s"], z["x"]["kind"], value(z["x"])))),
     )
-    out = having.join(own, ["_k1", "_k2"]).withColumn("text", F.array_join(replaced, "")).withColumns(counts)
+    out = having.join(own, ["_k1", "_k2"]).withColumn("_names", untitled).withColumn("text", F.array_join(replaced, "")).withColumns(counts)
     rest = docs.filter(~may_hold(F.col("text"))).select("_doc", "text").unionByName(seen.filter(~some).select("_doc", "text"))
     rest = rest.withColumns({n: F.lit(0).cast("long") for n in counts})
     made = ["_doc", "text", *counts]
@@ -221,4 +267,4 @@ def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymized(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return pseudonymized(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), QUERY_KEY)

@@ -57,7 +57,7 @@ def empty(spark):
 
 OPERATORS = {
     "bpe": bpe.encoded, "quality": quality.judged, "quality kept": quality.kept, "words": word_dedup.deduplicated, "near": near_dedup.linked, "near kept": near_dedup.kept,
-    "language": lambda d: language_id.predict(d, *language_id.learn(d)), "mixing": mixing.taken, "mixed": mixing.mixed, "pii": pii.pseudonymized, "bytes": bytes_dedup.deduplicated, "lines": line_dedup.clean,
+    "language": lambda d: language_id.predict(d, *language_id.learn(d)), "mixing": mixing.taken, "mixed": mixing.mixed, "pii": lambda d: pii.pseudonymized(d, "a key"), "bytes": bytes_dedup.deduplicated, "lines": line_dedup.clean,
 }
 
 
@@ -470,7 +470,7 @@ PII = [
 
 def test_pii(spark):
     docs = spark.createDataFrame(PII, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pii.pseudonymized(docs).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymized(docs, "a key").collect()}
     text = {i: r["text"] for i, r in got.items()}
     assert text[4] is None and text[5] == "" and text[6] == PII[5][1]
     for secret in ("a.b@ex", "4111 1111", "4111-1111", "Anna", "Smith", "555-0100", "10.20.30.40", "0a1b2c3d", "Иванова"):
@@ -493,7 +493,7 @@ def test_pii_collisions(spark):
     """Three-letter mails leave few surrogates: all stay distinct, and none is a real one."""
     real = [f"{a}@{b}.io" for a in "abcdefgh" for b in "xyzw"]
     rows = spark.createDataFrame([("email", m) for m in real], "kind string, norm string")
-    values = [r["value"] for r in pii.surrogates(rows).collect()]
+    values = [r["value"] for r in pii.surrogates(rows, "a key").collect()]
     assert len(set(values)) == len(real) and not set(values) & set(real)
 
 
@@ -502,7 +502,7 @@ def test_pii_more_entities_than_short_surrogates(spark):
     names = [("name", f"m {''.join(chr(97 + i // 26**k % 26) for k in range(4))}") for i in range(20000)]
     mails = [("email", f"{chr(97 + i)}@{chr(97 + j)}.com") for i in range(26) for j in range(26)]
     rows = names + mails + [("secret", f"{i}_______") for i in range(10)] + [("email", "%@-.-")]
-    got = pii.surrogates(spark.createDataFrame(rows, "kind string, norm string")).collect()
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, norm string"), "a key").collect()
     real = {(k, n.removeprefix("m ")) for k, n in rows}
     values = {(r["kind"], r["value"].lower()) for r in got}
     assert len(got) == len(rows) == len(values) and not values & real
@@ -512,16 +512,41 @@ def test_pii_longer_surrogates_in_texts(spark):
     """All mails and secrets of a short form: each is replaced by one of its own, in all its spellings."""
     texts = [f"write to {chr(97 + i)}@{chr(97 + j)}.de or {chr(65 + i)}@{chr(97 + j)}.de, token: {i % 10}_______" for i in range(26) for j in range(26)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = [re.fullmatch(r"write to (\S+@\w\.de) or (\S+@\w\.de), token: (\w+)", r["text"]).groups() for r in pii.pseudonymized(docs).orderBy("doc_id").collect()]
+    got = [re.fullmatch(r"write to (\S+@\w\.de) or (\S+@\w\.de), token: (\w+)", r["text"]).groups() for r in pii.pseudonymized(docs, "a key").orderBy("doc_id").collect()]
     assert all(a == b.lower() for a, b, _ in got) and len({a for a, _, _ in got}) == 676 and not {a for a, _, _ in got} & {t.split()[2] for t in texts}
     assert len({c for _, _, c in got}) == 10 and not {c for _, _, c in got} & {f"{i}_______" for i in range(10)}
 
 
+def test_pii_names_of_one_document(spark):
+    """One surname with and without its given name, mentions without a title, titles of no gender, scripts; a key of one's own."""
+    texts = [
+        "Mr John Smith met us. John Smith left. Mr Smith too; John Smithson stays.",
+        "Mr Κώστας Παππάς and Dr Иванов and Frau Müller-Schmidt and Prof. Ada Byron, Ada Byron",
+        "Mr John Smith again",
+        "John Smith stays where no title names him",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pii.pseudonymized(docs, "a key").orderBy("doc_id").collect()]
+    given, last = re.fullmatch(r"Mr (\w+) (\w+) met us\. \1 \2 left\. Mr \2 too; John Smithson stays\.", got[0]).groups()
+    assert given in pii.GIVEN["latin", "m"] and last != "Smith" and got[2] == f"Mr {given} {last} again" and got[3] == texts[3]
+    assert re.fullmatch(r"Mr [\u0370-\u03ff]+ [\u0370-\u03ff]+ and Dr [а-яА-Я]+ and Frau [A-Z][a-z]+-[A-Z][a-z]+ and Prof\. (\w+ \w+), \1", got[1])
+    assert not any(w in got[1] for w in ("Παππάς", "Иванов", "Schmidt", "Byron"))
+    assert got != [r["text"] for r in pii.pseudonymized(docs, "another key").orderBy("doc_id").collect()]
+
+
+def test_pii_hmac(spark):
+    import hmac
+
+    for key in ("k", "ключ" * 40):
+        got = spark.createDataFrame([("a|Ж",)], "s string").select(pii.hmac(key, F.col("s")).alias("h")).first()["h"]
+        assert got == hmac.new(key.encode(), "a|Ж".encode(), "sha256").hexdigest()
+
+
 def test_pii_placeholders_and_keys_without_digits(spark):
     key, lower, upper = "AKIA" + "BCDEFGHIJKLMNOPQ", "abcdef" * 6, "FEDCBA" * 6
     texts = ["Password: ________", "token: --------", f"the key {key} here", f"the hash {lower} here", f"the hash {upper} here", "password: 1-------"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pii.pseudonymized(docs).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymized(docs, "a key").collect()}
     assert [got[i]["text"] for i in (0, 1)] == texts[:2] and [got[i]["n_secret"] for i in range(6)] == [0, 0, 1, 1, 1, 1]
     assert all(s not in got[i]["text"] for i, s in ((2, key), (3, lower), (4, upper), (5, "1-------")))
 
