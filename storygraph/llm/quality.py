@@ -20,7 +20,7 @@ documents say little of a scatter, so the language's scatter makes up PRIOR / (n
 nothing. The nearest half has one document more than half of them: up to 3 that is all, and none of so few can be told to be the outlier.
 
 Defined cases: a null text has no words and fails the base rules; a null language or source is a group of its own; rows that
-repeat count each; null doc_ids are allowed; an empty table gives an empty result; other columns are kept but for names used here.
+repeat count each; null doc_ids are allowed; an empty table gives an empty result; other columns are kept but for those of MADE.
 """
 
 from __future__ import annotations
@@ -128,57 +128,58 @@ def _start(rows: DataFrame) -> DataFrame:
     return out.select("*", *[F.lit(0.0).alias(f"l{i}{j}") for i, j in PAIRS if i != j])
 
 
-def distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance; estimate holds the scatter's Cholesky factor. With several starts a row comes once for each."""
-    out = rows.join(estimate, "grp", "left")
-    for i, x in enumerate(X):
-        off = sum((F.col(f"l{i}{j}") * F.col(f"z{j}") for j in range(i)), F.lit(0.0))
-        out = out.withColumn(f"z{i}", (F.col(x) - F.col(f"m{i}") - off) / F.col(f"l{i}{i}"))
-    d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(len(X))), F.lit(0.0))
-    return out.withColumn("d2", d2).drop(*[c for c in estimate.columns if c not in ("grp", "start")], *[f"z{i}" for i in range(len(X))])
+def _number(x: float) -> str:
+    return f"{x!r}D"
+
+
+def _total(terms: list[str]) -> str:
+    return " + ".join(terms) or "0.0D"
+
+
+#: d2 of a row joined with its estimate, z by z; columns named by the select that they stand in.
+_DISTANCE = [f"({x} - m{i} - ({_total([f'l{i}{j} * z{j}' for j in range(i)])})) / l{i}{i} AS z{i}" for i, x in enumerate(X)]
+_DISTANCE.append(_total([f"z{i} * z{i}" for i in range(len(X))]) + " AS d2")
+_SUMS = ["count(1) AS n", *[f"sum({x}) AS s{i}" for i, x in enumerate(X)], *[f"sum({X[i]} * {X[j]}) AS p{i}{j}" for i, j in PAIRS]]
+_NAMES = ["n", *[f"s{i}" for i in range(len(X))], *[f"p{i}{j}" for i, j in PAIRS]]
+_FIT = [*[f"m{i}" for i in range(len(X))], *[f"l{i}{j}" for i, j in PAIRS]]
+_DET = " * ".join(f"l{i}{i} * l{i}{i}" for i in range(len(X)))
+
+
+def distance(rows: DataFrame, estimate: DataFrame, *more: str) -> DataFrame:
+    """rows with d2, the squared Mahalanobis distance; estimate holds the scatter's Cholesky factor. With several starts a row comes once for
+    each. more: columns of the estimate to keep."""
+    own = [c for c in rows.columns if c != "d2"]
+    out = rows.select(*own).join(estimate.select("grp", *_FIT, *more), "grp", "left").selectExpr(*own, *more, *_DISTANCE)
+    return out.select(*own, *more, "d2")
 
 
 def _sums() -> list[Column]:
-    return [
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)],
-        *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p{i}{j}") for i, j in PAIRS],
-    ]
+    return [F.expr(e) for e in _SUMS]
 
 
-def _estimate(sums: DataFrame, short: float, share: float, prior: DataFrame | None, keys: tuple = ("grp",)) -> DataFrame:
+def _estimate(sums: DataFrame, short: float, share: float, prior: DataFrame | None, keys: tuple = ("grp",), more: tuple = ()) -> DataFrame:
     """Centre, Cholesky factor and determinant of the scatter, from sums by group, of a share of its rows; prior has the languages' scatters."""
-    mean = [F.col(f"s{i}") / F.col("n") for i in range(len(X))]
-    floor = list(FLOOR.values())
-    scatter = {(i, j): (F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]) * short + (floor[i] ** 2 if i == j else 0.0) for i, j in PAIRS}
+    floor = [v**2 for v in FLOOR.values()]
+    made = [f"s{i} / n AS m{i}" for i in range(len(X))]
+    scatter = {(i, j): f"((p{i}{j} / n - m{i} * m{j}) * {_number(short)} + {_number(floor[i] if i == j else 0.0)})" for i, j in PAIRS}
     if prior is not None:
         sums = sums.join(prior.select("grp", *[F.col(f"l{i}{j}").alias(f"_l{i}{j}") for i, j in PAIRS]), "grp")
-        w = F.col("n") / (F.col("n") + PRIOR * share)
-        scatter = {(i, j): w * v + (1 - w) * sum((F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j + 1)), F.lit(0.0)) for (i, j), v in scatter.items()}
-    out = sums.select(*keys, *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[v.alias(f"p{i}{j}") for (i, j), v in scatter.items()])
+        made.append(f"n / (n + {_number(PRIOR * share)}) AS w")
+        of_language = {(i, j): _total([f"_l{i}{k} * _l{j}{k}" for k in range(j + 1)]) for i, j in PAIRS}
+        scatter = {(i, j): f"(w * {v} + (1 - w) * ({of_language[i, j]}))" for (i, j), v in scatter.items()}
     for i, j in PAIRS:  # row by row
-        own = F.col(f"p{i}{j}")
-        rest = own - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floor[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    out = out.select(*keys, *[f"m{i}" for i in range(len(X))], *[f"l{i}{j}" for i, j in PAIRS])
-    return out.withColumn("det", _determinant())
-
-
-def _determinant() -> Column:
-    out = F.lit(1.0)
-    for i in range(len(X)):
-        out = out * F.col(f"l{i}{i}") * F.col(f"l{i}{i}")
-    return out
+        rest = f"({scatter[i, j]} - ({_total([f'l{i}{k} * l{j}{k}' for k in range(j)])}))"
+        made.append(f"sqrt(greatest({rest}, {_number(floor[i] / 4)})) AS l{i}{j}" if i == j else f"{rest} / l{j}{j} AS l{i}{j}")
+    return sums.selectExpr(*keys, *more, *made).selectExpr(*keys, *more, *_FIT, f"{_DET} AS det")
 
 
 def _starts(rows: DataFrame) -> DataFrame:
     """(grp, start, ...): the estimates that concentration steps begin with."""
     halves = rows.groupBy("grp", F.pmod(F.xxhash64(*X), F.lit(2)).alias("start")).agg(*_sums())
-    names = [c for c in halves.columns if c not in ("grp", "start")]
-    whole = halves.groupBy("grp").agg(*[F.sum(c).alias(c) for c in names]).withColumn("start", F.lit(3).cast("long"))
+    whole = halves.groupBy("grp").agg(*[F.sum(c).alias(c) for c in _NAMES]).withColumn("start", F.lit(3).cast("long"))
     sums = halves.withColumn("start", F.col("start") + 1).unionByName(whole)
     made = _estimate(sums, 1.0, 1.0, None, ("grp", "start"))
-    return made.unionByName(_start(rows).withColumn("start", F.lit(0).cast("long")).withColumn("det", _determinant()))
+    return made.unionByName(_start(rows).withColumn("start", F.lit(0).cast("long")).withColumn("det", F.expr(_DET)))
 
 
 def estimates(rows: DataFrame, prior: DataFrame | None = None) -> DataFrame:
@@ -189,12 +190,13 @@ def estimates(rows: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     by = Window.partitionBy(*keys)
     for _ in range(STEPS):
         bins = F.least(F.lit(BINS - 1), F.floor(32 * F.log2(1 + F.col("d2")))).cast("int")
-        sums = distance(rows, now).withColumn("bin", bins).groupBy(*keys, "bin").agg(*_sums())
+        sums = distance(rows, now, "start", "det").withColumn("bin", bins).groupBy(*keys, "bin").agg(*_sums(), F.min("det").alias("_last"))
         before = F.coalesce(F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        near = sums.withColumn("_before", before).withColumn("_half", F.least(F.sum("n").over(by), F.floor(H * F.sum("n").over(by)) + MORE))
-        near = near.filter("_before < _half").withColumn("_share", F.least(F.lit(1.0), (F.col("_half") - F.col("_before")) / F.col("n")))
-        near = near.groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("_share")).alias(c) for c in sums.columns if c not in (*keys, "bin")])
-        made = _estimate(near, SHORT_HALF, H, prior, keys).join(now.select(*keys, F.col("det").alias("_last")), list(keys))
+        half = F.least(F.sum("n").over(by), F.floor(H * F.sum("n").over(by)) + MORE)
+        near = sums.withColumns({"_before": before, "_half": half}).filter("_before < _half")
+        near = near.withColumn("_share", F.least(F.lit(1.0), (F.col("_half") - F.col("_before")) / F.col("n")))
+        near = near.groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("_share")).alias(c) for c in _NAMES], F.min("_last").alias("_last"))
+        made = _estimate(near, SHORT_HALF, H, prior, keys, ("_last",))
         now = stored(made.withColumn("_settled", F.abs(F.col("det") - F.col("_last")) <= SAME * F.col("_last")).drop("_last"), "quality-step")
         if now.filter("NOT _settled").isEmpty():
             break
@@ -210,13 +212,16 @@ def estimates(rows: DataFrame, prior: DataFrame | None = None) -> DataFrame:
 
 def judged(docs: DataFrame) -> DataFrame:
     """docs without text, with the statistics, d2 and kept. The vectors are stored once and read in each step."""
-    rows = stored(vectors(statistics(docs)), "quality-vectors")
+    own = [c for c in docs.columns if c not in ("text", *MADE)]
+    whole = docs.select("lang", "source", "text", F.struct(*own).alias("_doc"))  # names of our own meet none of theirs
+    rows = stored(vectors(statistics(whole)), "quality-vectors")
     fit = stored(rows.filter("NOT base_failed").select("_lang", "grp", *X), "quality-fit")
     languages = estimates(fit.select(F.col("_lang").alias("grp"), *X)).withColumnRenamed("grp", "_lang")
     prior = stored(fit.select("grp", "_lang").distinct().join(languages, "_lang").drop("_lang"), "quality-languages")
     out = distance(rows, estimates(fit.drop("_lang"), prior))
     passed = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
-    return out.withColumn("kept", passed).drop("grp", "_lang", *X)
+    made = [c for c in MADE if c not in ("kept", "grp")]
+    return out.select(*[F.col("_doc").getField(c).alias(c) for c in own], *made, passed.alias("kept"))
 
 
 def kept(docs: DataFrame) -> DataFrame:
