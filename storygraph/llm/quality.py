@@ -41,6 +41,8 @@ X = list(FLOOR)
 PAIRS = [(i, j) for i in range(len(X)) for j in range(i + 1)]
 #: The share of rows taken in concentration steps, and rows besides it; steps; bins of distances; documents that the language's scatter counts as.
 H, MORE, STEPS, BINS, PRIOR = 0.5, 1, 4, 2048, 10
+#: Groups whose estimates one task makes: at most so many x starts x BINS rows of sums. Their table has a file for each such task.
+GROUPS = 64
 #: Determinants that differ by less than this share are the same.
 SAME = 1e-6
 #: The squared distance of five independent normal values is below this for all but about 1 in 100,000.
@@ -182,11 +184,17 @@ def _starts(rows: DataFrame) -> DataFrame:
     return made.unionByName(_start(rows).withColumn("start", F.lit(0).cast("long")).withColumn("det", F.expr(_DET)))
 
 
+def _kept_apart(estimate: DataFrame, groups: int) -> DataFrame:
+    """The estimates of so many groups as a stored table. In a file for each shuffle partition it would be mostly footers, too large to broadcast."""
+    return stored(estimate.coalesce(groups // GROUPS + 1), "quality-step")
+
+
 def estimates(rows: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """The reweighted minimum-covariance-determinant estimate of each group. rows: (grp, x_...) of documents that the base rules pass;
     prior: an estimate for each group, whose scatter counts as that of PRIOR rows."""
     keys = ("grp", "start")
-    now = stored(_starts(rows), "quality-step")  # a few hundred bytes for each group and start
+    groups = rows.select("grp").distinct().count()
+    now = _kept_apart(_starts(rows), groups)  # a few hundred bytes for each group and start
     by = Window.partitionBy(*keys)
     for _ in range(STEPS):
         bins = F.least(F.lit(BINS - 1), F.floor(32 * F.log2(1 + F.col("d2")))).cast("int")
@@ -197,17 +205,18 @@ def estimates(rows: DataFrame, prior: DataFrame | None = None) -> DataFrame:
         near = near.withColumn("_share", F.least(F.lit(1.0), (F.col("_half") - F.col("_before")) / F.col("n")))
         near = near.groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("_share")).alias(c) for c in _NAMES], F.min("_last").alias("_last"))
         made = _estimate(near, SHORT_HALF, H, prior, keys, ("_last",))
-        now = stored(made.withColumn("_settled", F.abs(F.col("det") - F.col("_last")) <= SAME * F.col("_last")).drop("_last"), "quality-step")
+        settled = F.abs(F.col("det") - F.col("_last")) <= SAME * F.col("_last")
+        now = _kept_apart(made.withColumn("_settled", settled).drop("_last"), groups)
         if now.filter("NOT _settled").isEmpty():
             break
     nth = F.row_number().over(Window.partitionBy("grp").orderBy("det", "start"))
-    now = stored(now.withColumn("_nth", nth).filter("_nth = 1").drop("_nth", "start", "_settled"), "quality-step")
+    now = _kept_apart(now.withColumn("_nth", nth).filter("_nth = 1").drop("_nth", "start", "_settled"), groups)
     near = distance(rows, now).filter(F.col("d2") <= REWEIGHT).groupBy("grp").agg(*_sums())
     out = _estimate(near, SHORT_REWEIGHTED, 1.0, prior)
     if prior is None:
-        return stored(out, "quality-step")
+        return _kept_apart(out, groups)
     # A group without any row near its centre keeps the last step's estimate.
-    return stored(out.unionByName(now.join(near, "grp", "left_anti")), "quality-step")
+    return _kept_apart(out.unionByName(now.join(near, "grp", "left_anti")), groups)
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -217,7 +226,8 @@ def judged(docs: DataFrame) -> DataFrame:
     rows = stored(vectors(statistics(whole)), "quality-vectors")
     fit = stored(rows.filter("NOT base_failed").select("_lang", "grp", *X), "quality-fit")
     languages = estimates(fit.select(F.col("_lang").alias("grp"), *X)).withColumnRenamed("grp", "_lang")
-    prior = stored(fit.select("grp", "_lang").distinct().join(languages, "_lang").drop("_lang"), "quality-languages")
+    pairs = fit.select("grp", "_lang").distinct()
+    prior = _kept_apart(pairs.join(languages, "_lang").drop("_lang"), pairs.count())
     out = distance(rows, estimates(fit.drop("_lang"), prior))
     passed = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     made = [c for c in MADE if c not in ("kept", "grp")]
