@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storygraph.llm import bpe, bytes_dedup, collocations, language_id, line_dedup, mixing, near_dedup, pii, quality, top_k, word_dedup
+from storygraph.llm import bpe, bytes_dedup, collocations, conversations, language_id, line_dedup, mixing, near_dedup, pii, quality, top_k, word_dedup
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ QUERIES = {
     "op9_top_k": top_k.op9_top_k,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op12_collocations": collocations.op12_collocations,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 ORACLES = {
     "op3_substring_dedup": word_dedup.ORACLE,
@@ -32,4 +33,5 @@ ORACLES = {
     "op9_top_k": top_k.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
     "op12_collocations": collocations.ORACLE,
+    "op13_conversation_repair": conversations.ORACLE,
 }
