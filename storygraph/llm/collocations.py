@@ -31,7 +31,7 @@ TOP = 2000
 #: A phrase goes if a longer candidate that holds it has this percentage of its occurrences.
 INSIDE = 80
 SHARDS = 3
-#: Bytes of the filter, whatever the size of the data; more would only make it more selective.
+#: Bytes of the filter (a power of 2), whatever the size of the data; more would only make it more selective.
 FILTER = 1 << 24
 NEVER = 255
 #: Occurrences that a task counts before it hands them on.
@@ -79,8 +79,8 @@ class _Slice:
         return b" ".join(self.text[self.starts[i] : self.ends[i + length - 1]].split())
 
 
-def _places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    m = np.uint64(FILTER - 1)
+def _places(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    m = np.uint64(size - 1)
     return key & m, (key >> np.uint64(32)) & m
 
 
@@ -94,7 +94,7 @@ def _phrases(s: _Slice, scan: int, reached: np.ndarray) -> Iterator[tuple[int, n
         begin = np.zeros(len(key), np.int16) if since is None else np.maximum(since[:-1], since[1:]) + np.int16(1)
         begin[~valid] = NEVER + 1
         now = np.flatnonzero(begin <= scan)
-        a, b = _places(key[now])
+        a, b = _places(key[now], len(reached))
         since = np.full(len(key), NEVER, np.int16)
         since[now] = np.maximum(np.maximum(reached[a], reached[b]).astype(np.int16), begin[now])
         yield length, key, begin, since
@@ -168,7 +168,7 @@ def _reader(scan: int, reached) -> Callable:
 
 def _learned(reached: np.ndarray, keys: DataFrame, scan: int) -> int:
     """Puts keys into the filter; returns how many of its places are theirs. The driver sees places of the filter, FILTER at most."""
-    place = lambda key: key.bitwiseAND(F.lit(FILTER - 1)).cast("int")
+    place = lambda key: key.bitwiseAND(F.lit(len(reached) - 1)).cast("int")
     places = keys.select(F.explode(F.array(place(F.col("key")), place(F.shiftrightunsigned("key", 32)))).alias("p")).distinct().toArrow()
     at = places.column("p").to_numpy()
     at = at[reached[at] == NEVER]

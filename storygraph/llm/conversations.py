@@ -174,8 +174,8 @@ def _digest(lines: Iterator[str], started: bool, sha) -> bool:
 PIECES = "conv_id {id}, whole boolean, part int, place long, illegal long, head string, tail string, cost long, audit string, sha string, n long, ways array<struct<q:int,r:int,cost:long,audit:string>>, rows array<struct<role:string,text:string,copies:int>>"
 
 
-def _cut(kind: str):
-    """Pieces of the sorted rows (part, conv_id, turn, role, text, copies, fault) of one task: solved ones of conversations that lie inside it, ways of others."""
+def _cut(kind: str, most: int):
+    """Pieces of at most `most` of the sorted rows (part, conv_id, turn, role, text, copies, fault) of one task: solved ones of conversations that lie inside it, ways of others."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -196,7 +196,7 @@ def _cut(kind: str):
         now, rows, place, part, first = None, [], 0, 0, True
         for batch in batches:
             for part, conv, role, text, copies, fault in zip(*(batch.column(c).to_pylist() for c in ("part", "conv_id", "role", "text", "copies", "fault")), strict=True):
-                if rows and (conv != now or len(rows) >= PIECE):
+                if rows and (conv != now or len(rows) >= most):
                     # What begins the task's rows, or goes on, may have rows elsewhere.
                     yield piece(now, part, place, rows, conv != now and place == 0 and not first)
                     first, place = first and conv == now, place + 1 if conv == now else 0
@@ -297,7 +297,7 @@ def solved(rows: DataFrame) -> DataFrame:
     order = [F.asc_nulls_first(c) for c in ("conv_id", "turn", "role", "text")]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*order)
-    pieces = dealt.select("part", "conv_id", "role", "text", F.col("copies").cast("int").alias("copies"), "fault").mapInArrow(_cut(kind), PIECES.format(id=kind))
+    pieces = dealt.select("part", "conv_id", "role", "text", F.col("copies").cast("int").alias("copies"), "fault").mapInArrow(_cut(kind, PIECE), PIECES.format(id=kind))
     pieces = stored(pieces, "conversation-pieces")
     return pieces.filter("whole").select("conv_id", "illegal", "cost", "audit", "sha").unionByName(_long(pieces.filter("NOT whole")))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storygraph.llm import bpe, bytes_dedup, collocations, conversations, language_id, line_dedup, mixing, near_dedup, pii, quality, top_k, word_dedup
+from storygraph.llm import bpe, bytes_dedup, collocations, conversations, language_id, line_dedup, mixing, near_dedup, ngram_join, pii, quality, top_k, word_dedup
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_suffix_dedup": bytes_dedup.op8_suffix_dedup,
     "op9_top_k": top_k.op9_top_k,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
     "op12_collocations": collocations.op12_collocations,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }
@@ -32,6 +33,7 @@ ORACLES = {
     "op8_suffix_dedup": bytes_dedup.ORACLE,
     "op9_top_k": top_k.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_ngram_join": ngram_join.ORACLE,
     "op12_collocations": collocations.ORACLE,
     "op13_conversation_repair": conversations.ORACLE,
 }
