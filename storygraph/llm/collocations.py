@@ -32,7 +32,7 @@ TOP = 2000
 INSIDE = 80
 SHARDS = 3
 #: Bytes of the filter (a power of 2), whatever the size of the data; more would only make it more selective.
-FILTER = 1 << 24
+FILTER = 1 << 22
 NEVER = 255
 #: Occurrences that a task counts before it hands them on.
 FLUSH = 2_000_000
@@ -199,6 +199,7 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
         counts = part if active is None else active.unionByName(part)
         counts = counts.groupBy("length", "begin", "key").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
         counts = stored(counts.withColumn("since", F.coalesce("since", F.when(F.col("n") >= least, scan))), "phrase-counts", "snappy")
+        shared.destroy()
         reached = reached.copy()
         if _learned(reached, counts.filter((F.col("since") == scan) & (F.col("length") < LONGEST)), scan):
             last = scan
@@ -211,7 +212,9 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     _learned(reached, longest[0], scan)
     shared = spark.sparkContext.broadcast(reached)
     read = shards.select("lang", "text").mapInArrow(_reader(scan, shared), "lang string, length short, phrase string, n long")
-    return stored(read.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("length") == 0)), "phrases")
+    phrases = stored(read.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("length") == 0)), "phrases")
+    shared.destroy()
+    return phrases
 
 
 def scored(phrases: DataFrame) -> DataFrame:
