@@ -36,6 +36,8 @@ FILTER = 1 << 22
 NEVER = 255
 #: Occurrences that a task counts before it hands them on.
 FLUSH = 2_000_000
+#: Phrases whose words a task remembers.
+KNOWN = 200_000
 
 #: Ends of pieces become \n, tabs spaces.
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
@@ -144,24 +146,36 @@ def _counter(scan: int, reached) -> Callable:
 def _reader(scan: int, reached) -> Callable:
     """(lang, length, phrase, n) of the phrases in the filter, and for each language, with a null phrase, the number of words."""
 
+    def added(texts: dict[int, tuple[bytes, int, bytes | None]], held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, at, np.concatenate([n for _, n in held]))
+        langs, lengths, phrases = zip(*map(texts.__getitem__, keys.tolist()), strict=True)
+        made = [pa.array(langs, pa.binary()).cast(pa.string()), pa.array(lengths, pa.int16()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n)]
+        yield pa.RecordBatch.from_arrays(made, ["lang", "length", "phrase", "n"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        texts, held, size = {}, [], 0
         for batch in batches:
             names = {xxhash.xxh64_intdigest(x, 5): x for x in batch.column(0).cast(pa.binary()).unique().to_pylist()}
             for s in _sliced([batch]):
-                lang, n = np.unique(s.lang, return_counts=True)
-                langs, lengths, phrases, counts = [names[x] for x in lang.tolist()], [0] * len(lang), [None] * len(lang), n.tolist()
-                for length, key, _, since in _phrases(s, scan, reached.value):
-                    at = np.flatnonzero(since < NEVER)
-                    _, first, n = np.unique(key[at], return_index=True, return_counts=True)
-                    starts = at[first]
-                    langs += [names[x] for x in s.lang[starts].tolist()]
-                    lengths += [length] * len(starts)
-                    phrases += [s.phrase(i, length) for i in starts.tolist()]
-                    counts += n.tolist()
-                made = [pa.array(langs, pa.binary()).cast(pa.string()), pa.array(lengths, pa.int16()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
-                yield pa.RecordBatch.from_arrays(made, ["lang", "length", "phrase", "n"])
+                found = [(0, s.lang, np.arange(len(s.lang)))]  # a language's words have its hash as their key
+                found += [(length, key, np.flatnonzero(since < NEVER)) for length, key, _, since in _phrases(s, scan, reached.value)]
+                for length, key, at in found:
+                    keys, first, n = np.unique(key[at], return_index=True, return_counts=True)
+                    for k, i in zip(keys.tolist(), at[first].tolist(), strict=True):
+                        if k not in texts:
+                            texts[k] = names[int(s.lang[i])], length, s.phrase(i, length) if length else None
+                    if len(keys):
+                        held.append((keys, n))
+                        size += len(keys)
+                if len(texts) > KNOWN or size > FLUSH:
+                    yield from added(texts, held)
+                    texts, held, size = {}, [], 0
+        if held:
+            yield from added(texts, held)
 
     return read
 
