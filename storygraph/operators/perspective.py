@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storygraph.operators.graph import union
+from storygraph.operators.intervals import interval_join
 from storygraph.schemas import STATES
 
 
@@ -112,11 +113,10 @@ def met_so_far(nodes: DataFrame, n: int) -> DataFrame:
 
 
 def state_at(edges: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
-    """Q11: what holds for each key (story, entity, n): an equi-join on (story, entity), then the window."""
+    """Q11: what holds for each key (story, entity, n): the windows of (story, entity) that n lies in."""
     s = edges.filter(F.col("rel_type").isin(*STATES)).withColumnRenamed("from_id", "entity")
-    holds = (F.col("valid_from_section") <= F.col("n")) & (F.col("valid_to_section").isNull() | (F.col("valid_to_section") > F.col("n")))
     t = nodes.select("story", F.col("id").alias("to_id"), F.col("name").alias("target_label"))
-    return keys.join(s, ["story", "entity"]).filter(holds).join(t, ["story", "to_id"]).select("story", "entity", "n", "rel_type", F.col("to_id").alias("target_id"), F.coalesce("target_label", F.lit("")).alias("target_label"))
+    return interval_join(keys, s, ["story", "entity"], "n", "valid_from_section", "valid_to_section").join(t, ["story", "to_id"]).select("story", "entity", "n", "rel_type", F.col("to_id").alias("target_id"), F.coalesce("target_label", F.lit("")).alias("target_label"))
 
 
 def listed_stories(nodes: DataFrame, order: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storygraph.operators.graph import union
+from storygraph.operators.intervals import interval_join, reached
 
 
 def section_ranges(sections: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -21,10 +22,13 @@ def section_ranges(sections: DataFrame, sentences: DataFrame) -> DataFrame:
 
 def current_section(playheads: DataFrame, ranges: DataFrame) -> DataFrame:
     """TL2: the first section that ends after the playhead, else the last one."""
-    r = playheads.join(ranges, "story")
-    ends = F.col("p") < F.col("start") + F.col("count")
-    keys = playheads.columns
-    return r.groupBy(*keys).agg(F.coalesce(F.min(F.when(ends, F.struct("idx", "section"))), F.max(F.struct("idx", "section"))).alias("s")).select(*keys, "s.section", "s.idx")
+    # Sections follow one another without gaps, so a playhead lies in one of them at most, and the ones before it end before it.
+    keys, ends = playheads.columns, ranges.groupBy("story").agg(F.min(F.struct("idx", "section")).alias("_first"), F.max(F.struct("idx", "section")).alias("_last"))
+    spans = ranges.select("story", F.struct("idx", "section").alias("_in"), "start", (F.col("start") + F.col("count")).alias("_end"))
+    held = interval_join(playheads.distinct(), spans, ["story"], "p", "start", "_end").select(*[F.col(k).alias(f"_{k}") for k in keys], "_in")
+    out = playheads.distinct().join(ends, "story").join(held, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    s = F.when(F.col("p") < 0, F.col("_first")).otherwise(F.coalesce("_in", "_last")).alias("s")
+    return out.select(*keys, s).select(*keys, "s.section", "s.idx")
 
 
 def first_positions(items: DataFrame, sentences: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -59,7 +63,7 @@ def entity_positions(events: DataFrame, event_pos: DataFrame, mention_pos: DataF
 
 def visible_events(playheads: DataFrame, events: DataFrame, event_pos: DataFrame) -> DataFrame:
     """TL5: events reached; with a character in playheads, the ones it takes part in or is told."""
-    e = playheads.join(events.join(event_pos, ["story", "id"]), "story").filter(F.col("pos") <= F.col("p"))
+    e = reached(playheads, events.join(event_pos, ["story", "id"]))
     if "character" in playheads.columns:
         told = F.array_contains("communicates.recipients", F.col("character")) if "communicates" in events.columns else F.lit(False)
         e = e.filter(F.col("character").isNull() | F.array_contains("participants", F.col("character")) | F.coalesce(told, F.lit(False)))
@@ -68,7 +72,7 @@ def visible_events(playheads: DataFrame, events: DataFrame, event_pos: DataFrame
 
 def mentions_reached(playheads: DataFrame, mention_pos: DataFrame, current: DataFrame) -> DataFrame:
     """TL6: (story, p, entity, sections, here): the sections where an entity's mention is reached, and whether the current one is."""
-    m = playheads.select("story", "p").distinct().join(mention_pos, "story").filter(F.col("pos") <= F.col("p"))
+    m = reached(playheads.select("story", "p").distinct(), mention_pos)
     m = m.join(current.select("story", "p", F.col("section").alias("_here")), ["story", "p"])
     return m.groupBy("story", "p", "entity").agg(F.array_sort(F.collect_list("section")).alias("sections"), F.bool_or(F.col("section") == F.col("_here")).alias("here"))
 
@@ -76,7 +80,7 @@ def mentions_reached(playheads: DataFrame, mention_pos: DataFrame, current: Data
 def visible_entities(playheads: DataFrame, entities: DataFrame, entity_pos: DataFrame, seen_events: DataFrame, types: list[str] | None = None) -> DataFrame:
     """TL7: entities reached; with a character, only itself and those that take part in the events it can see."""
     e = entities.filter(F.col("type").isin(*types)) if types else entities
-    out = playheads.join(e.join(entity_pos, ["story", "id"]), "story").filter(F.col("pos") <= F.col("p"))
+    out = reached(playheads, e.join(entity_pos, ["story", "id"]))
     if "character" not in playheads.columns:
         return out
     keys = ["story", "p", "character"]
@@ -90,18 +94,19 @@ def active_edges(playheads: DataFrame, edges: DataFrame, event_pos: DataFrame, s
     a = event_pos.select("story", F.col("id").alias("valid_from"), F.col("pos").alias("_from"))
     b = event_pos.select("story", F.col("id").alias("valid_until"), F.col("pos").alias("_until"))
     e = edges.join(a, ["story", "valid_from"], "left").join(b, ["story", "valid_until"], "left").withColumn("_from", F.coalesce("_from", F.lit(0)))
-    e = playheads.select("story", "p").distinct().join(e, "story").filter(F.col("_from") <= F.col("p"))
+    heads = playheads.select("story", "p").distinct()
+    e = reached(heads, e, "_from") if past else interval_join(heads, e, ["story"], "p", "_from", "_until")
     for end in ("from", "to"):
         e = e.join(seen.select("story", "p", F.col("id").alias(end)).distinct(), ["story", "p", end], "left_semi")
     e = e.withColumn("active", F.col("_until").isNull() | (F.col("p") < F.col("_until"))).drop("_from", "_until")
-    return e if past else e.filter("active")
+    return e
 
 
 def visible_clues(playheads: DataFrame, clues: DataFrame, sentences: DataFrame, ranges: DataFrame, seen: DataFrame) -> DataFrame:
     """TL9: clues (story, object, case, discovered_in_section, source_nodes) reached, with both ends in view."""
     items = clues.select("story", F.to_json(F.struct("object", "case", "source_nodes")).alias("key"), F.col("discovered_in_section").alias("section"), F.col("source_nodes").alias("ids")).distinct()
     c = first_positions(items, sentences, ranges).select("story", F.get_json_object("key", "$.object").alias("object"), F.get_json_object("key", "$.case").alias("case"), "pos")
-    c = playheads.select("story", "p").distinct().join(c, "story").filter(F.col("pos") <= F.col("p"))
+    c = reached(playheads.select("story", "p").distinct(), c)
     for end in ("object", "case"):
         c = c.join(seen.select("story", "p", F.col("id").alias(end)).distinct(), ["story", "p", end], "left_semi")
     return c

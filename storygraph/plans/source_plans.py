@@ -10,6 +10,7 @@ from storygraph.operators import graph as G
 from storygraph.plans.sql import CONV, DOCS, with_
 from storygraph.sources import io
 from storygraph.sources.projections import conversations, documents
+from storygraph.sources.snapshots import GraphStore
 from storygraph.streaming import ingest
 
 
@@ -33,6 +34,20 @@ def written_graph(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("from_id string, to_id string, rel_type string, story string").parquet(path).groupBy("story", "rel_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def published_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes and edges published together, some stories again with edges of another name, and a writer that died before its rename."""
+    c = conversations(spark, d)
+    nodes = c["events"].select("story", "id", "section").unionByName(c["entities"].select("story", "id", F.lit(None).cast("string").alias("section")))
+    edges = G.event_edges(c["events"]).select("story", "from_id", "to_id", "rel_type")
+    store, some = GraphStore(spark, _folder(spark)), F.col("story").endswith("3")
+    store.publish(nodes, edges)
+    store.publish(nodes.filter(some & F.col("section").isNotNull()), edges.filter(some).withColumn("rel_type", F.lower("rel_type")))
+    store._write("nodes", nodes.filter(F.col("story").endswith("5")), "died")
+    g = store.read()
+    rows = g["nodes"].select("story", F.when(F.col("section").isNull(), "entity").otherwise("event").alias("kind")).unionByName(g["edges"].select("story", F.col("rel_type").alias("kind")))
+    return rows.groupBy("story", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as text files, a folder for each source, and read back whole."""
     path = _folder(spark)
@@ -56,11 +71,16 @@ def streamed_answers(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("story string, section string, events int, parse_ok boolean").parquet(f"{path}/out")
 
 
-QUERIES = {"source_written_graph": written_graph, "source_texts": texts, "source_streamed_answers": streamed_answers}
+QUERIES = {"source_written_graph": written_graph, "source_published_graph": published_graph, "source_texts": texts, "source_streamed_answers": streamed_answers}
 ORACLES = {
     "source_written_graph": with_(CONV)
     + """, e AS (SELECT story, 'PARTICIPATED_IN' AS rel_type FROM c_part UNION ALL SELECT story, 'PERFORMED' FROM c_events UNION ALL SELECT story, 'SPOKE_IN' FROM c_events UNION ALL SELECT story, 'TOLD_TO' FROM c_told)
 SELECT story, CASE WHEN story LIKE '%3' THEN lower(rel_type) ELSE rel_type END AS rel_type, count(*) AS n FROM e GROUP BY 1, 2""",
+    "source_published_graph": with_(CONV)
+    + """, e AS (SELECT story, 'PARTICIPATED_IN' AS kind FROM c_part UNION ALL SELECT story, 'PERFORMED' FROM c_events UNION ALL SELECT story, 'SPOKE_IN' FROM c_events UNION ALL SELECT story, 'TOLD_TO' FROM c_told),
+k AS (SELECT story, CASE WHEN story LIKE '%3' THEN lower(kind) ELSE kind END AS kind FROM e UNION ALL SELECT story, 'event' FROM c_events
+      UNION ALL SELECT story, 'entity' FROM c_entities WHERE story NOT LIKE '%3')
+SELECT story, kind, count(*) AS n FROM k GROUP BY 1, 2""",
     "source_texts": with_(DOCS) + "SELECT work, count(*) AS texts, sum(length(text))::BIGINT AS length FROM d_raw WHERE length(text) > 0 GROUP BY 1",
     "source_streamed_answers": with_(CONV) + "SELECT story, section, 1 AS events, true AS parse_ok FROM c_events",
 }
