@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storygraph.operators import graph as G
-from storygraph.plans.sql import CONV, DOCS, with_
+from storygraph.operators import incremental
+from storygraph.plans.sql import CONV, DOCS, MOVES, with_
 from storygraph.sources import io
-from storygraph.sources.projections import conversations, documents
+from storygraph.sources.projections import conversations, documents, moves
 from storygraph.sources.snapshots import GraphStore
-from storygraph.streaming import ingest
+from storygraph.streaming import ingest, state
 
 
 def _folder(spark: SparkSession) -> str:
@@ -71,8 +72,32 @@ def streamed_answers(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("story string, section string, events int, parse_ok boolean").parquet(f"{path}/out")
 
 
-QUERIES = {"source_written_graph": written_graph, "source_published_graph": published_graph, "source_texts": texts, "source_streamed_answers": streamed_answers}
+def merged_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The log of changes in three parts, of which the later ones fall between the earlier ones; each is merged into what is published."""
+    changes = moves(spark, d)["state_changes"]
+    store, part = GraphStore(spark, _folder(spark), ("windows",)), F.pmod(F.xxhash64("caused_by_event"), F.lit(3))
+    for i in range(3):
+        incremental.publish_changes(store, changes.filter(part == i), f"part-{i}")
+    return store.read()["windows"].select("story", "from", "to", "type", "valid_from", "valid_until")
+
+
+def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """X9 as a stream: changes come as files, later days first, and are merged batch by batch."""
+    path, changes = _folder(spark), moves(spark, d)["state_changes"]
+    changes = changes.withColumn("ord", F.unix_micros(F.col("ord.ts").cast("timestamp"))).repartitionByRange(4, F.desc("section_idx"))
+    changes.write.json(f"{path}/in")
+    store = GraphStore(spark, f"{path}/out", ("windows",))
+    stream = spark.readStream.schema(state.CHANGES).option("maxFilesPerTrigger", 2).json(f"{path}/in")
+    state.stream_windows(stream, store, f"{path}/log").awaitTermination()
+    return incremental.state_edges(store.read()["windows"]).select("story", "id", "from", "to", "type", "valid_from", "valid_until")
+
+
+QUERIES = {"source_merged_windows": merged_windows, "source_streamed_windows": streamed_windows, "source_written_graph": written_graph, "source_published_graph": published_graph, "source_texts": texts, "source_streamed_answers": streamed_answers}
 ORACLES = {
+    "source_merged_windows": with_(MOVES) + 'SELECT story, "from", "to", type, valid_from, valid_until FROM m_edges',
+    "source_streamed_windows": with_(MOVES)
+    + """, g AS (SELECT *, min((section_idx, ts, event_id)) OVER (PARTITION BY story, "from", type) AS f FROM m_edges)
+SELECT story, 'state_' || row_number() OVER (PARTITION BY story ORDER BY f, section_idx, ts, event_id) AS id, "from", "to", type, valid_from, valid_until FROM g""",
     "source_written_graph": with_(CONV)
     + """, e AS (SELECT story, 'PARTICIPATED_IN' AS rel_type FROM c_part UNION ALL SELECT story, 'PERFORMED' FROM c_events UNION ALL SELECT story, 'SPOKE_IN' FROM c_events UNION ALL SELECT story, 'TOLD_TO' FROM c_told)
 SELECT story, CASE WHEN story LIKE '%3' THEN lower(rel_type) ELSE rel_type END AS rel_type, count(*) AS n FROM e GROUP BY 1, 2""",

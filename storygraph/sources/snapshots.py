@@ -14,19 +14,20 @@ A version lists all stories, a row each; its batches are pruned by directory, an
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("nodes", "edges")
 LISTED = "story string, batch string"
 #: Times that a writer tries again after another has taken its number.
 TRIES = 20
 
 
 class GraphStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, tables: tuple[str, ...] = ("nodes", "edges")):
+        """tables: what is published together; each has a column story."""
+        self.spark, self.root, self.tables = spark, root.rstrip("/"), tables
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -58,13 +59,13 @@ class GraphStore:
         stories = self.stories(version)
         batches = [r[0] for r in stories.select("batch").distinct().collect()]  # no more than publications since the last compaction
         out = {}
-        for table in TABLES:
+        for table in self.tables:
             rows = self.spark.read.option("basePath", f"{self.root}/{table}").option("mergeSchema", True).parquet(*[f"{self.root}/{table}/batch={b}" for b in batches])
             out[table] = rows.withColumn("batch", F.col("batch").cast("string")).join(stories, ["story", "batch"], "left_semi").drop("batch")
         return out
 
     def _write(self, table: str, rows: DataFrame, batch: str) -> None:
-        salt = F.pmod(F.xxhash64(*[c for c in ("id", "from_id", "to_id") if c in rows.columns]), F.lit(8))  # a long story fills several tasks
+        salt = F.pmod(F.xxhash64(*[c for c in ("id", "from_id", "to_id", "from", "type") if c in rows.columns]), F.lit(8))  # a long story fills several tasks
         rows.repartition("story", salt).sortWithinPartitions("story").write.mode("overwrite").parquet(f"{self.root}/{table}/batch={batch}")
 
     def _published(self, batch: str) -> int | None:
@@ -85,18 +86,19 @@ class GraphStore:
             raise
         return True
 
-    def publish(self, nodes: DataFrame, edges: DataFrame, stories: DataFrame | None = None, batch: str | None = None) -> int:
-        """Replaces the stories of nodes and edges (or `stories`, so that one may lose all its rows) and returns the version that has them.
+    def publish(self, *rows: DataFrame, stories: DataFrame | None = None, batch: str | None = None) -> int:
+        """Replaces the stories of rows, one for each table (or `stories`, so that one may lose all its rows) and returns the version that has them.
 
         batch: a name for this publication, such as a stream's batch number; the same name is published once.
         """
         name = batch or uuid.uuid4().hex
         if batch and (done := self._published(batch)):
             return done
-        for table, rows in zip(TABLES, (nodes, edges), strict=True):
-            self._write(table, rows, name)
+        for table, df in zip(self.tables, rows, strict=True):
+            self._write(table, df, name)
         if stories is None:
-            stories = self._rows(name, "nodes").select("story").unionByName(self._rows(name, "edges").select("story"))
+            written = [self._rows(name, table).select("story") for table in self.tables]
+            stories = reduce(DataFrame.unionByName, written)
         return self._list(stories.select("story").distinct().withColumn("batch", F.lit(name)), name)
 
     def _rows(self, batch: str, table: str) -> DataFrame:
@@ -117,7 +119,7 @@ class GraphStore:
     def compact(self) -> int:
         """Publishes the latest version again as one batch."""
         rows, batch = self.read(), uuid.uuid4().hex
-        for table in TABLES:
+        for table in self.tables:
             self._write(table, rows[table], batch)
         return self._list(self.stories().select("story").withColumn("batch", F.lit(batch)), batch)
 
@@ -126,7 +128,7 @@ class GraphStore:
         kept = sorted(self.versions())[-keep:]
         live = {r[0] for v in kept for r in self.stories(v).select("batch").distinct().collect()}
         old = [("versions", n) for n in self._names("versions") if n not in {f"v{v:010d}" for v in kept}]
-        old += [(t, n) for t in TABLES for n in self._names(t) if n.removeprefix("batch=") not in live]
+        old += [(t, n) for t in self.tables for n in self._names(t) if n.removeprefix("batch=") not in live]
         for parts in old:
             path = self._path(*parts)
             path.getFileSystem(self._conf).delete(path, True)
