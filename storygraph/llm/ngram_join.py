@@ -3,9 +3,10 @@
 Rows are classes of documents with the same set of n-grams, columns are n-grams in the order of their hashes; the product counts what two
 rows share. Only counts that reach the bounds set by the rows' sizes are wanted, so columns are taken in blocks:
 
-1. The leading block. A row of n may miss at most S = 15 n / 100 columns of a linked row, so of its first 2 S + 1 columns it shares S + 1
-   with a linked row of its size, and K with one of the least size that may link. Columns of one row alone are dropped; a row with fewer
-   than K others has no link at all and leaves. Rows that stay are posted under their rarest columns of the block, all but K - 1.
+1. The leading block. A row of n may have at most S = 15 n / 100 columns that a linked row has not, so of its first S + S / 3 + 1 columns
+   it shares S / 3 + 1 with a linked row of its size, and K, S / 3 + 1 of the least size that may link, with any. Columns of one row alone
+   are dropped; a row with fewer than K others has no link at all and leaves. Rows that stay are posted under their rarest columns of the
+   block, all but K - 1.
 2. Row blocks. A column's rows are dealt by size, so that only rows whose sizes allow a link meet, and each such list is multiplied with one
    row alone, its hub: n rows of near copies take n overlaps, not n * n. Overlaps are accumulated over the remaining columns, block by
    block, and a pair is discarded as soon as what is left cannot bring it to its bound. What reaches it is a link.
@@ -44,7 +45,7 @@ def slack(n: int) -> int:
 
 def leading(n: int) -> int:
     """The number of columns of the leading block."""
-    return 2 * slack(n) + 1
+    return slack(n) + slack(n) // 3 + 1
 
 
 def _second(sets: np.ndarray) -> int:
@@ -115,10 +116,10 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """(node, first, check, n, doc, lead): a row for each set, stored. node is its hash `first`, or, for sets that share it, one of both hashes."""
-    made = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node", "check")
-    made = stored(made.agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("lead").alias("lead")), "ngram-classes", "snappy")
-    twice = made.groupBy("node").agg(F.min("check").alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    """(node, first, check, n, doc, lead): a row for each set. node is its hash `first`, or, for sets that share it, one of both hashes."""
+    real = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    twice = real.groupBy("node").agg(F.min("check").alias("_least"), F.max("check").alias("_most")).filter("_least != _most").drop("_most")
+    made = real.groupBy("node", "check").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("lead").alias("lead"))
     other = F.col("_least").isNotNull() & (F.col("_least") != F.col("check"))
     out = made.join(twice, "node", "left").withColumn("first", F.col("node"))
     return out.withColumn("node", F.when(other, F.xxhash64("first", "check")).otherwise(F.col("first"))).drop("_least")
@@ -127,12 +128,12 @@ def classes_of(rows: DataFrame) -> DataFrame:
 def postings(classes: DataFrame) -> DataFrame:
     """(column, size, node, common): the lists of step 2, stored. common: how common the columns are that the row was posted under."""
     n = F.col("n")
-    # What the smallest row that may link misses at most, and one: so many leading columns are shared.
-    least = F.floor(F.floor((SIMILAR * n + 99) / 100) * (100 - SIMILAR) / 100) + 1
-    cells = classes.select("node", "n", F.explode("lead").alias("column"))
+    # A third of what the smallest row that may link has on its own at most, and one: so many leading columns are shared.
+    least = F.floor(F.floor(F.floor((SIMILAR * n + 99) / 100) * (100 - SIMILAR) / 100) / 3) + 1
+    cells = classes.select("node", F.explode("lead").alias("column"))
     often = cells.groupBy("column").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    shared = cells.join(often, "column").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "column"))).alias("e"))  # a row's lead at most
-    shared = shared.filter(F.size("e") >= least).select(
+    shared = cells.join(often, "column").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rows", "column"))).alias("e"))  # a row's lead at most
+    shared = shared.join(classes.select("node", "n"), "node").filter(F.size("e") >= least).select(
         "node",
         F.floor(F.log(n.cast("double")) / -np.log(0.84)).cast("int").alias("size"),  # sizes that allow a link differ by one step at most
         F.aggregate("e", F.lit(0.0), lambda s, x: s + F.log2(x["rows"])).alias("common"),
