@@ -189,9 +189,9 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("node", "hub", "set", "hub_set").mapInArrow(_apart, "node long, hub long, n long, diff array<long>")
 
 
-def candidates(apart: DataFrame, roots: DataFrame) -> DataFrame:
-    """(hub, u, v): the pairs of a hub's members in different components that may share enough differences. apart: differences();
-    roots: (node, root)."""
+def difference_postings(apart: DataFrame, roots: DataFrame) -> DataFrame:
+    """(hub, node, root, low, high, is_low, is_high, x), stored: the lists (hub, low, high, x) of differences in which members of a hub meet that
+    may share enough of them. apart: differences(); roots: (node, root)."""
     counts = apart.select("hub", F.explode("diff").alias("x")).groupBy("hub", "x").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     each = apart.select("node", "hub", F.explode("diff").alias("x")).join(counts, ["hub", "x"])
     shared = each.groupBy("node", "hub").agg(F.sort_array(F.collect_list(F.struct("size", "x"))).getField("x").alias("shared"))  # its own differences at most
@@ -210,7 +210,11 @@ def candidates(apart: DataFrame, roots: DataFrame) -> DataFrame:
         (F.col("own") <= F.col("other")).alias("is_low"), (F.col("own") >= F.col("other")).alias("is_high"),
         F.explode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), prefix).cast("int"))).alias("x"),
     )
-    posted = stored(posted, "near-differences")
+    return stored(posted, "near-differences")
+
+
+def meeting(posted: DataFrame) -> DataFrame:
+    """(hub, u, v): the pairs of different components that meet in a list of difference_postings()."""
     key = ["hub", "low", "high", "x"]
     x = posted.filter("is_low").select(*key, F.col("node").alias("u"), F.col("root").alias("_ru"))
     y = posted.filter("is_high").select(*key, F.col("node").alias("v"), F.col("root").alias("_rv"))
@@ -218,6 +222,12 @@ def candidates(apart: DataFrame, roots: DataFrame) -> DataFrame:
     return met.select("hub", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def candidates(apart: DataFrame, roots: DataFrame) -> DataFrame:
+    """(hub, u, v): the pairs of a hub's members in different components that may share enough differences. apart: differences();
+    roots: (node, root)."""
+    return meeting(difference_postings(apart, roots))
+
+
 def _further_links(pairs: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
     """Links (u, v) between members of a hub that the hub's own links have left in different components."""
     at = pairs.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))

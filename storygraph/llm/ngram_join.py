@@ -31,11 +31,13 @@ from pyspark.sql import functions as F
 
 from storygraph.llm.common import mix, stored
 from storygraph.llm.components import components
-from storygraph.llm.near_dedup import SIMILAR, candidates, differences, digest, shingles
+from storygraph.llm.near_dedup import SIMILAR, difference_postings, differences, digest, meeting, shingles
 
 WIDTH = 4
 #: Columns of the remaining matrix are accumulated in so many blocks.
 BLOCKS = 8
+#: Rounds in which a list of differences meets one of its rows alone, at most; they only save work of the step after them.
+ROUNDS = 3
 
 
 def slack(n: int) -> int:
@@ -153,7 +155,7 @@ def products(classes: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = classes.select("node", "first", "check", F.col("doc").alias("doc_id")).join(nodes, "node")
     sets = docs.join(wanted, "doc_id").select("node", "first", "check", "text").mapInArrow(_sets, "node long, set array<long>")
     sets = stored(sets.dropDuplicates(["node"]), "ngram-sets", "snappy")
-    linked, common = F.pandas_udf(_linked, "boolean"), F.pandas_udf(_common, "long")
+    linked = F.pandas_udf(_linked, "boolean")
     both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("set").alias("hub_set")), "hub")
     links = stored(both.filter(linked("set", "hub_set")).select(F.col("node").alias("u"), F.col("hub").alias("v")), "ngram-links")
     # Rows that their hub left in different components.
@@ -161,13 +163,29 @@ def products(classes: DataFrame, docs: DataFrame) -> DataFrame:
     mixed = at.groupBy("hub").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("hub")
     at = stored(at.join(mixed, "hub", "left_semi"), "ngram-rest")
     apart = stored(differences(at, sets), "ngram-differences", "snappy")
-    met = stored(candidates(apart, at.select("node", "root").distinct()), "ngram-pairs")
+    posted, everything = difference_postings(apart, at.select("node", "root").distinct()), links
+    for number in range(ROUNDS):
+        key = ["hub", "low", "high", "x"]
+        pivot = posted.groupBy(*key).agg(F.min(F.struct(F.xxhash64("node", F.lit(number)), F.col("node").alias("v"), F.col("root").alias("other"))).alias("p"))
+        met = posted.join(pivot, key).filter("root != p.other").select("hub", F.greatest("node", "p.v").alias("u"), F.least("node", "p.v").alias("v")).distinct()
+        more = stored(_counted(met, apart), "ngram-links")
+        if more.isEmpty():
+            break
+        everything = everything.unionByName(more)
+        posted = posted.drop("root").join(components(everything), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        posted = stored(posted, "ngram-differences", "snappy")
+    return everything.unionByName(stored(_counted(meeting(posted), apart), "ngram-links"))
+
+
+def _counted(met: DataFrame, apart: DataFrame) -> DataFrame:
+    """The links among pairs (hub, u, v), by their differences to the hub."""
+    common = F.pandas_udf(_common, "long")
     a = apart.select("hub", F.col("node").alias("u"), F.col("n").alias("m"), F.col("diff").alias("a"))
     b = apart.select("hub", F.col("node").alias("v"), "n", F.col("diff").alias("b"))
-    rest = met.join(a, ["hub", "u"]).join(b, ["hub", "v"])
-    rest = rest.select("u", "v", "m", "n", (F.size("a") + F.size("b") - 2 * common("a", "b")).alias("_apart"))
+    both = stored(met, "ngram-pairs").join(a, ["hub", "u"]).join(b, ["hub", "v"])
+    both = both.select("u", "v", "m", "n", (F.size("a") + F.size("b") - 2 * common("a", "b")).alias("_apart"))
     c = (F.col("m") + F.col("n") - F.col("_apart")) / 2
-    return links.unionByName(stored(rest.filter(100 * c >= SIMILAR * (F.col("m") + F.col("n") - c)).select("u", "v").distinct(), "ngram-links"))
+    return both.filter(100 * c >= SIMILAR * (F.col("m") + F.col("n") - c)).select("u", "v").distinct()
 
 
 def joined(docs: DataFrame) -> DataFrame:
