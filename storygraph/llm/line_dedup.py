@@ -50,13 +50,13 @@ def row_key() -> list[Column]:
 
 
 def line_places(text: Column) -> Column:
-    """array of (h1, h2, at): the distinct hashes of a text's non-empty keys, and the places of the lines that have it.
+    """array of (h1, h2, at) (h2 hashes the key under another seed, so it is no function of h1): the distinct hashes of a text's non-empty keys, and the places of the lines that have it.
 
     Sorted by hash, so that equal ones are neighbours: a text of n lines takes n log n steps.
     """
 
     def placed(line: Column, i: Column) -> Column:
-        return once(line_key(line), lambda k: F.when(k != "", F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(k, F.lit("line")).alias("h2"), i.alias("i"))))
+        return once(line_key(line), lambda k: F.when(k != "", F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("line"), k).alias("h2"), i.alias("i"))))
 
     def groups(each: Column) -> Column:
         other = lambda x, i: (i == 0) | (F.get(each, i - 1)["h1"] != x["h1"]) | (F.get(each, i - 1)["h2"] != x["h2"])

@@ -264,3 +264,18 @@ def test_search_is_the_least_of_all_paths():
             for ends in [(e,) for e in range(4)] + [conversations.ENDS]:
                 want = min((p for e in ends for p in paths(steps, 0, q, e, 5)), default=None)
                 assert conversations.cheapest(steps, q, ends) == want
+
+
+def test_line_hashes_are_independent(spark):
+    """Spark seeds a hash with that of the column before: h2 must not be the hash of a constant under h1."""
+    import xxhash
+
+    from storygraph.llm import line_dedup
+
+    keys = [f"line {i}" for i in range(50)]
+    rows = spark.createDataFrame([("\n".join(keys),)], "text string").select(F.explode(line_dedup.line_places(F.col("text"))).alias("h")).select("h.h1", "h.h2", F.element_at("h.at", 1).alias("i")).collect()
+    seed = xxhash.xxh64_intdigest(b"line", 42)
+    for r in rows:
+        h1, h2 = r["h1"] % 2**64, r["h2"] % 2**64
+        assert h1 == xxhash.xxh64_intdigest(keys[r["i"]].encode(), 42) and h2 == xxhash.xxh64_intdigest(keys[r["i"]].encode(), seed)
+        assert h2 != xxhash.xxh64_intdigest(b"line", h1)
