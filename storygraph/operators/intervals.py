@@ -51,6 +51,6 @@ def reached(playheads: DataFrame, items: DataFrame, position: str = "pos") -> Da
     """playheads (story, p, ...) with the items (story, <position>, ...) that they have reached: position <= p.
 
     An item stays reached for ever, so about half of all pairs of a story are the result: a plain join on the story and a filter. Nodes
-    would only multiply the items here (timeline_mentions took about three times as long with them).
+    would only multiply the items here.
     """
     return playheads.join(items, "story").filter(F.col(position) <= F.col("p"))
