@@ -2,10 +2,12 @@
 
 Each document has a vector of transformed statistics. For each language and source, the estimate of centre and scatter is that of the
 half of the documents (H of them) whose scatter has the least determinant. It is sought by concentration steps: every step takes the
-documents nearest to the last centre by Mahalanobis distance and estimates anew, until no determinant changes any more, or STEPS are
-done. Four starts are followed side by side: medians and quartiles, which a few wild vectors cannot move, all documents, and two halves of
-them dealt by hash; the one that ends at the least determinant is taken. A document whose squared distance from the final, reweighted
-estimate exceeds CUTOFF is rejected.
+documents nearest to the last centre by Mahalanobis distance and estimates anew, until its determinant falls no more. Four starts are
+followed side by side: medians and quartiles, which a few wild vectors cannot move, all documents, and two halves of them dealt by hash;
+after FIRST steps the BEST two of each group go on to their end, and the one that ends at the least determinant is taken. What has
+settled takes part in no further step. A step cannot raise the determinant of so large a share of rows, but for the width of the bins, so
+each start ends; STEPS guards against an error there and stops the run. A document whose squared distance from the final, reweighted estimate exceeds CUTOFF is
+rejected.
 
 A step is one pass over the table of vectors: rows are summed (count, sums, sums of products) by group and distance bin, and a running
 count over a group's bins, of which there are at most BINS, finds the nearest half. So a step moves groups x BINS rows, whatever the
@@ -25,6 +27,8 @@ repeat count each; null doc_ids are allowed; an empty table gives an empty resul
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +43,10 @@ MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 FLOOR = {"x_words": 1.0, "x_length": 0.03, "x_symbols": 0.15, "x_lines": 0.45, "x_repeats": 0.45}
 X = list(FLOOR)
 PAIRS = [(i, j) for i in range(len(X)) for j in range(i + 1)]
-#: The share of rows taken in concentration steps, and rows besides it; steps; bins of distances; documents that the language's scatter counts as.
-H, MORE, STEPS, BINS, PRIOR = 0.5, 1, 4, 2048, 10
+#: The share of rows taken in concentration steps, and rows besides it; bins of distances; documents that the language's scatter counts as.
+H, MORE, BINS, PRIOR = 0.5, 1, 2048, 10
+#: Steps that all starts make, and the starts of a group that go on; an error after so many steps.
+FIRST, BEST, STEPS = 2, 2, 500
 #: Groups whose estimates one task makes: at most so many x starts x BINS rows of sums. Their table has a file for each such task.
 GROUPS = 64
 #: Determinants that differ by less than this share are the same.
@@ -147,11 +153,11 @@ _FIT = [*[f"m{i}" for i in range(len(X))], *[f"l{i}{j}" for i, j in PAIRS]]
 _DET = " * ".join(f"l{i}{i} * l{i}{i}" for i in range(len(X)))
 
 
-def distance(rows: DataFrame, estimate: DataFrame, *more: str) -> DataFrame:
+def distance(rows: DataFrame, estimate: DataFrame, *more: str, how: str = "left") -> DataFrame:
     """rows with d2, the squared Mahalanobis distance; estimate holds the scatter's Cholesky factor. With several starts a row comes once for
     each. more: columns of the estimate to keep."""
     own = [c for c in rows.columns if c != "d2"]
-    out = rows.select(*own).join(estimate.select("grp", *_FIT, *more), "grp", "left").selectExpr(*own, *more, *_DISTANCE)
+    out = rows.select(*own).join(estimate.select("grp", *_FIT, *more), "grp", how).selectExpr(*own, *more, *_DISTANCE)
     return out.select(*own, *more, "d2")
 
 
@@ -195,21 +201,29 @@ def estimates(rows: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     keys = ("grp", "start")
     groups = rows.select("grp").distinct().count()
     now = _kept_apart(_starts(rows), groups)  # a few hundred bytes for each group and start
-    by = Window.partitionBy(*keys)
-    for _ in range(STEPS):
+    by, ended = Window.partitionBy(*keys), []
+    nth = F.row_number().over(Window.partitionBy("grp").orderBy("det", "start"))
+    for step in range(1, STEPS + 1):
         bins = F.least(F.lit(BINS - 1), F.floor(32 * F.log2(1 + F.col("d2")))).cast("int")
-        sums = distance(rows, now, "start", "det").withColumn("bin", bins).groupBy(*keys, "bin").agg(*_sums(), F.min("det").alias("_last"))
+        sums = distance(rows, now, "start", "det", how="inner").withColumn("bin", bins).groupBy(*keys, "bin").agg(*_sums(), F.min("det").alias("_last"))
         before = F.coalesce(F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         half = F.least(F.sum("n").over(by), F.floor(H * F.sum("n").over(by)) + MORE)
         near = sums.withColumns({"_before": before, "_half": half}).filter("_before < _half")
         near = near.withColumn("_share", F.least(F.lit(1.0), (F.col("_half") - F.col("_before")) / F.col("n")))
         near = near.groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("_share")).alias(c) for c in _NAMES], F.min("_last").alias("_last"))
         made = _estimate(near, SHORT_HALF, H, prior, keys, ("_last",))
-        settled = F.abs(F.col("det") - F.col("_last")) <= SAME * F.col("_last")
-        now = _kept_apart(made.withColumn("_settled", settled).drop("_last"), groups)
-        if now.filter("NOT _settled").isEmpty():
+        # What a start begins with is no estimate of a half: only later determinants can be compared with the last.
+        settled = (F.col("det") >= (1 - SAME) * F.col("_last")) if step > 1 else F.lit(False)
+        made = made.withColumn("_settled", settled).drop("_last")
+        made = made.withColumn("_nth", nth).filter(F.col("_nth") <= BEST).drop("_nth") if step == FIRST else made
+        made = _kept_apart(made, groups)
+        ended.append(made.filter("_settled"))
+        now = made.filter("NOT _settled")
+        if now.isEmpty():
             break
-    nth = F.row_number().over(Window.partitionBy("grp").orderBy("det", "start"))
+    else:
+        raise RuntimeError(f"estimates have not settled after {STEPS} steps")
+    now = reduce(DataFrame.unionByName, ended)
     now = _kept_apart(now.withColumn("_nth", nth).filter("_nth = 1").drop("_nth", "start", "_settled"), groups)
     near = distance(rows, now).filter(F.col("d2") <= REWEIGHT).groupBy("grp").agg(*_sums())
     out = _estimate(near, SHORT_REWEIGHTED, 1.0, prior)
