@@ -79,6 +79,21 @@ def moves(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     }
 
 
+def tellings(spark: SparkSession, d: str) -> DataFrame:
+    """(story, id, communicates): what is told in the moves. Who clicks or views tells it to the first, second or third user after them in
+    their group; who clicks says besides that they have an item, true or not."""
+    e = table(spark, d, "events").filter(F.col("event_type").isin("click", "view"))
+    u, k = F.col("user_id"), F.get_json_object("props", "$.k").cast("int")
+    name = lambda c: F.concat(F.lit("user_"), c.cast("string"))
+    said = F.when(F.col("event_type") == "click", F.concat(F.lit("User "), u.cast("string"), F.lit(" now has item "), k.cast("string"), F.lit("."))).otherwise(F.lit("Look."))
+    recipient = u - u % 10 + (u % 10 + 1 + k % 3) % 10
+    return e.select(
+        F.concat(F.lit("group_"), F.floor(u / 10).cast("string")).alias("story"),
+        F.concat(F.lit("event_"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("id"),
+        F.struct(name(u).alias("speaker"), F.array(name(recipient)).alias("recipients"), said.alias("content")).alias("communicates"),
+    )
+
+
 def trade(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """A story for each nation; a section and an event for each order, an entity for each part, a sentence for each line number."""
     nation = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("story"))
