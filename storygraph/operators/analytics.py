@@ -249,7 +249,7 @@ def labelled_clues(clues: DataFrame, entities: DataFrame, sentences: DataFrame)
 
 def tagged(sentences: DataFrame, labels: DataFrame) -> DataFrame:
     """(story, id, segments). labels: (story, id, ord, entity, type, label), the entities of each sentence. Longer labels win, case
-    doesn't count, a label's short form without honorific counts too, and of equal labels the later entity is meant."""
+    (of any script) doesn't count, a label's short form without honorific counts too, and of equal labels the later entity is meant."""
     short = F.regexp_replace("label", X.SPAN_HONORIFIC, "")
     forms = F.array(F.struct(F.lit(0).alias("n"), F.col("label").alias("form")), F.struct(F.lit(1).alias("n"), short.alias("form")))
     each = labels.select("story", "id", "ord", "entity", "type", "label", F.explode(forms).alias("f")).filter("f.n = 0 OR (f.form != label AND length(f.form) > 2)")
@@ -261,7 +261,7 @@ def tagged(sentences: DataFrame, labels: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("form", "e"))).alias("_of"),
     )
     s = sentences.select("story", "id", "text").join(sets, ["story", "id"], "left")
-    pattern = F.concat(F.lit("(?i)(?:"), F.col("_any"), F.lit(")"))
+    pattern = F.concat(F.lit("(?iu)(?:"), F.col("_any"), F.lit(")"))
     none = F.lit(None).cast("string")
     plain = lambda t: F.struct(t.alias("text"), none.alias("entity"), none.alias("type"))
     hit = lambda t: F.struct(t.alias("text"), F.try_element_at("_of", F.lower(t))["entity"].alias("entity"), F.try_element_at("_of", F.lower(t))["type"].alias("type"))

@@ -263,7 +263,19 @@ _H = r"""regexp_replace({}, '^(mr\.?\s*|mrs\.?\s*|ms\.?\s*|dr\.?\s*|sir\s+|lady\
 _CAN = ", nm AS (SELECT *, lower(trim(regexp_replace(" + _H.format("label") + r", '\s+', ' ', 'g'))) AS norm FROM t_entities), f0 AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY story_ord, ord) AS rn FROM nm), so AS (SELECT norm, list(story ORDER BY story_ord) AS sources FROM (SELECT DISTINCT norm, story, story_ord FROM nm) GROUP BY 1), cn AS (SELECT f0.norm, id, type, label, sources FROM f0 JOIN so USING (norm) WHERE rn = 1) "
 _PS = ", ps AS (SELECT * FROM t_sentences WHERE position BETWEEN 10 AND 30), nd AS (SELECT DISTINCT m.story, m.entity, m.id FROM (SELECT story, entity, unnest(sentence_ids) AS id FROM t_mentions) m JOIN ps ON ps.story = m.story AND ps.id = m.id), ce AS (SELECT e.story, e.id AS event, e.s AS id FROM (SELECT story, id, unnest(source_nodes) AS s FROM t_events) e JOIN ps ON ps.story = e.story AND ps.id = e.s) "
 _VAR = ", mc AS (SELECT story, entity AS id, sum(mention_count)::BIGINT AS mentions FROM t_mentions GROUP BY 1, 2), vr AS (SELECT e.story, e.id, label, type, regexp_replace(lower(e.id), '[^a-z0-9]+', '_', 'g') AS raw, coalesce(mentions, 0)::BIGINT AS mentions FROM t_entities e LEFT JOIN mc USING (story, id)) "
+_TAG = r""", g_of AS (SELECT story, unnest(sentence_ids) AS id, entity FROM t_mentions),
+g_lab AS (SELECT g.story, g.id, e.ord, g.entity, e.label FROM g_of g JOIN t_entities e ON e.story = g.story AND e.id = g.entity),
+g_short AS (SELECT *, regexp_replace(label, '^(Mr\.?|Mrs\.?|Miss|Dr\.?|Professor|Colonel|Inspector)\s+', '', 'i') AS short FROM g_lab),
+g_form AS (SELECT story, id, lower(form) AS form, arg_max(entity, (ord, n)) AS entity FROM (SELECT story, id, ord, 0 AS n, label AS form, entity FROM g_lab
+  UNION ALL SELECT story, id, ord, 1, short, entity FROM g_short WHERE short <> label AND length(short) > 2) WHERE form <> '' GROUP BY ALL),
+g_any AS (SELECT story, id, string_agg(regexp_replace(form, '([.*+?^${}()|\[\]\\])', '\\\1', 'g'), '|' ORDER BY length(form) DESC, form) AS p FROM g_form GROUP BY ALL),
+g_cut AS (SELECT s.story, s.id, CASE WHEN p IS NULL THEN [text] ELSE string_split_regex(regexp_replace(text, '(' || p || ')', chr(1) || '\1' || chr(1), 'gi'), chr(1)) END AS c
+  FROM t_sentences s LEFT JOIN g_any USING (story, id)),
+g_seg AS (SELECT story, id, unnest(c) AS x, generate_subscripts(c, 1) AS k FROM g_cut)
+SELECT story, id, count(*)::INT AS n, string_agg(x || '<' || coalesce(entity, '') || '>', '' ORDER BY k) AS spans
+FROM (SELECT g.*, f.entity FROM g_seg g LEFT JOIN g_form f ON f.story = g.story AND f.id = g.id AND k % 2 = 0 AND f.form = lower(x)) WHERE x <> '' GROUP BY story, id"""
 ORACLES = {
+    "analytics_tagged": T + _TAG,
     "analytics_canonical_keys": T + "SELECT story, id, type, key FROM t_canon",
     "analytics_pretty_labels": "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS label FROM part",
     "analytics_work_summaries": T + _WORKS + "SELECT * FROM w",
