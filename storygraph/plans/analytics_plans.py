@@ -3,9 +3,12 @@
 from pyspark.sql import functions as F
 
 from storygraph.operators import analytics as A
+from storygraph.operators import clusters as CL
 from storygraph.operators import objective as O
 from storygraph.operators import reconcile as R
+from storygraph.plans.source_plans import _folder
 from storygraph.plans.sql import CONV, MOVES, TRADE, with_
+from storygraph.sources.io import keeper
 from storygraph.sources.projections import aliases, conversations, moves, table, trade
 
 PHRASES = ["red", "small ring", "widget", "green", "zzz"]
@@ -189,6 +192,14 @@ def normalised_candidates(spark, d):
     return R.normalised_candidates(*_canon(spark, d))
 
 
+def alias_clusters(spark, d):
+    """H9 closed: every name of every story with its cluster; the aliases of the characters are the seeds."""
+    n = CL.names(trade(spark, d)["entities"])
+    keep = keeper(spark, _folder(spark))
+    n = keep(n)
+    return CL.clusters(n, CL.links(n, aliases(spark, d).select(F.col("key").alias("a"), F.col("canonical").alias("b"))), keep)
+
+
 def suffix_candidates(spark, d):
     return R.suffix_candidates(_canon(spark, d)[1])
 
@@ -241,7 +252,7 @@ QUERIES = {
     "analytics_passage_entities": passage_entities, "analytics_labelled_clues": labelled_clues, "analytics_tagged": tagged, "analytics_citations": citations,
     "reconcile_canonical": canonical_entities, "reconcile_normalised": normalised_candidates, "reconcile_suffixes": suffix_candidates, "reconcile_split_counts": split_counts,
     "reconcile_cross_references": cross_references, "reconcile_nested_references": nested_references, "reconcile_cases": cases, "reconcile_documents": document_catalogue,
-    "reconcile_merge_clusters": merge_clusters, "reconcile_collisions": collision_buckets,
+    "reconcile_alias_clusters": alias_clusters, "reconcile_merge_clusters": merge_clusters, "reconcile_collisions": collision_buckets,
 }
 
 T, M, C = with_(TRADE), with_(MOVES), with_(CONV)
@@ -263,6 +274,15 @@ _H = r"""regexp_replace({}, '^(mr\.?\s*|mrs\.?\s*|ms\.?\s*|dr\.?\s*|sir\s+|lady\
 _CAN = ", nm AS (SELECT *, lower(trim(regexp_replace(" + _H.format("label") + r", '\s+', ' ', 'g'))) AS norm FROM t_entities), f0 AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY story_ord, ord) AS rn FROM nm), so AS (SELECT norm, list(story ORDER BY story_ord) AS sources FROM (SELECT DISTINCT norm, story, story_ord FROM nm) GROUP BY 1), cn AS (SELECT f0.norm, id, type, label, sources FROM f0 JOIN so USING (norm) WHERE rn = 1) "
 _PS = ", ps AS (SELECT * FROM t_sentences WHERE position BETWEEN 10 AND 30), nd AS (SELECT DISTINCT m.story, m.entity, m.id FROM (SELECT story, entity, unnest(sentence_ids) AS id FROM t_mentions) m JOIN ps ON ps.story = m.story AND ps.id = m.id), ce AS (SELECT e.story, e.id AS event, e.s AS id FROM (SELECT story, id, unnest(source_nodes) AS s FROM t_events) e JOIN ps ON ps.story = e.story AND ps.id = e.s) "
 _VAR = ", mc AS (SELECT story, entity AS id, sum(mention_count)::BIGINT AS mentions FROM t_mentions GROUP BY 1, 2), vr AS (SELECT e.story, e.id, label, type, regexp_replace(lower(e.id), '[^a-z0-9]+', '_', 'g') AS raw, coalesce(mentions, 0)::BIGINT AS mentions FROM t_entities e LEFT JOIN mc USING (story, id)) "
+_CLUSTERS = _CAN + r""", k_n AS (SELECT DISTINCT type || ':' || regexp_replace(lower(id), '[^a-z0-9]+', '_', 'g') AS name, type, regexp_replace(lower(id), '[^a-z0-9]+', '_', 'g') AS raw, norm FROM nm),
+k_h AS (SELECT type, norm, min(name) AS head FROM k_n GROUP BY ALL),
+k_d AS (SELECT a.type, a.norm, a.head, arg_max(b.norm, length(b.norm)) AS next FROM k_h a JOIN k_h b ON a.type = b.type AND a.norm <> b.norm AND length(b.norm) >= 4 AND ends_with(a.norm, b.norm) GROUP BY ALL),
+k_s AS (SELECT min(d.head) AS u, min(h.head) AS v FROM k_d d JOIN k_h h ON h.type = d.type AND h.norm = d.next GROUP BY d.type, d.next HAVING count(*) = 1),
+k_l AS (SELECT name AS u, head AS v FROM k_n JOIN k_h USING (type, norm) UNION SELECT u, v FROM k_s
+  UNION SELECT a.name, b.name FROM k_n a JOIN k_n b ON a.type = b.type AND starts_with(a.raw, 'mr_part_') AND b.raw = substr(a.raw, 4)),
+k_e AS (SELECT u, v FROM k_l UNION SELECT v, u FROM k_l),
+k_r AS (SELECT name, name AS o FROM k_n UNION SELECT r.name, e.v FROM k_r r JOIN k_e e ON e.u = r.o)
+SELECT name, min(o) AS cluster FROM k_r GROUP BY 1"""
 _TAG = r""", g_of AS (SELECT story, unnest(sentence_ids) AS id, entity FROM t_mentions),
 g_lab AS (SELECT g.story, g.id, e.ord, g.entity, e.label FROM g_of g JOIN t_entities e ON e.story = g.story AND e.id = g.entity),
 g_short AS (SELECT *, regexp_replace(label, '^(Mr\.?|Mrs\.?|Miss|Dr\.?|Professor|Colonel|Inspector)\s+', '', 'i') AS short FROM g_lab),
@@ -275,6 +295,7 @@ g_seg AS (SELECT story, id, unnest(c) AS x, generate_subscripts(c, 1) AS k FROM
 SELECT story, id, count(*)::INT AS n, string_agg(x || '<' || coalesce(entity, '') || '>', '' ORDER BY k) AS spans
 FROM (SELECT g.*, f.entity FROM g_seg g LEFT JOIN g_form f ON f.story = g.story AND f.id = g.id AND k % 2 = 0 AND f.form = lower(x)) WHERE x <> '' GROUP BY story, id"""
 ORACLES = {
+    "reconcile_alias_clusters": T.replace("WITH ", "WITH RECURSIVE ", 1) + _CLUSTERS,
     "analytics_tagged": T + _TAG,
     "analytics_canonical_keys": T + "SELECT story, id, type, key FROM t_canon",
     "analytics_pretty_labels": "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS label FROM part",
