@@ -107,6 +107,7 @@ def without_rows(path, keep=()):
 
 def test_first_difference_reads_one_leaf(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(T, "RUN", 8)
+    monkeypatch.setattr(T, "PARTS", 8)
     rows = [(s, i, f"{s}{i}") for s in ("a", "b", "c", None) for i in range(700)]
     other = [(s, i, "x" if (s, i) == ("b", 555) else t) for s, i, t in rows]
     paths = planted(spark, tmp_path, ROWS, rows, other, order=["position"])
@@ -131,6 +132,7 @@ def test_equal_tables_read_no_rows(spark, tmp_path):
 @pytest.mark.parametrize("seed", range(2))
 def test_trees_like_plain_comparisons(spark, tmp_path, monkeypatch, seed):
     monkeypatch.setattr(T, "RUN", 4)
+    monkeypatch.setattr(T, "PARTS", 4)
     rnd = random.Random(seed)
     left = [(s, i, rnd.choice(["u", None, "w"])) for s in "abcd" for i in range(rnd.randint(0, 120))]
     right = list(left)
