@@ -4,10 +4,15 @@ Documents are dealt into SHARDS shards, which are scanned one after the other, a
 A longer phrase is activated once both of its subphrases (without its last and without its first word) have reached `least` in the counts
 so far; it is counted in the next SHARDS scans, one full cycle, and then complete. Scans end when no phrase is active any more.
 
-What phrases have reached `least` is told to the tasks by a filter of a fixed number of bytes, each holding the scan after which the first
-phrase of that place did. A place shared with another phrase only activates a phrase early, and for a full cycle as well. Phrases are
-64-bit hashes while they are counted; a collision can only raise a count. So each phrase found frequent is a superset of what is wanted:
-one last scan reads the words and exact counts of those phrases, and all that follows joins words, not hashes.
+What phrases have reached `least` is told to the tasks by a filter, each byte holding the scan after which the first phrase of that place
+did. A place shared with another phrase only activates a phrase early, and for a full cycle as well. Phrases are 64-bit hashes while they
+are counted; a collision can only raise a count. So each phrase found frequent is a superset of what is wanted: one last scan reads the
+words and exact counts of those phrases, and all that follows joins words, not hashes.
+
+The filter grows when less than ROOM bytes are left for each phrase in it, and the last scan has one of bits, BITS for each phrase, so
+that the share of other phrases they let through does not grow with the data. A grown filter repeats the old one, so that what it says of
+a phrase stays: the scan in which a phrase's counts begin must not change under it. Above MOST bytes (4 and 32 million phrases) they grow
+no more: then more phrases are counted that are dropped later, which costs rows and no results.
 
 Defined cases: a null or empty text has no words; a null lang counts as `und`; rows that repeat count as documents of their own, null ids
 and all other columns are ignored; an empty table gives an empty result. Of equal scores and counts the phrase that sorts first in UTF-8
@@ -17,6 +22,7 @@ bytes goes first.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +37,15 @@ TOP = 2000
 #: A phrase goes if a longer candidate that holds it has this percentage of its occurrences.
 INSIDE = 80
 SHARDS = 3
-#: Bytes of the filter (a power of 2), whatever the size of the data; more would only make it more selective.
-FILTER = 1 << 22
+#: Bytes of the filters at first and at most (powers of 2).
+FILTER, MOST = 1 << 16, 1 << 26
+#: Bytes for each phrase, and for each word of the first scan (longer phrases follow); bits for each phrase, and its places, in the last filter.
+ROOM, ROOM_FIRST, BITS, PLACES = 16, 64, 16, 4
 NEVER = 255
 #: Occurrences that a task counts before it hands them on.
 FLUSH = 2_000_000
 #: Phrases whose words a task remembers.
-KNOWN = 200_000
+KNOWN = 500_000
 
 #: Ends of pieces become \n, tabs spaces.
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
@@ -143,16 +151,45 @@ def _counter(scan: int, reached) -> Callable:
     return count
 
 
-def _reader(scan: int, reached) -> Callable:
+def _held(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether all places of a key are set; bits: 64 places each, a power of 2 of them."""
+    a, b = _places(key, len(bits) * 64)
+    out = np.ones(len(key), bool)
+    for i in range(PLACES):
+        at = np.flatnonzero(out)
+        p = (a[at] + np.uint64(i) * b[at]) & np.uint64(len(bits) * 64 - 1)
+        out[at] = (bits[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) != 0
+    return out
+
+
+def _found(s: _Slice, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, key, at): where phrases of the filter begin whose subphrases are in it too."""
+    inside = None
+    for length in range(1, LONGEST + 1):
+        key, valid = s.keys(length)
+        if not len(key):
+            return
+        at = np.flatnonzero(valid if inside is None else valid & inside[:-1] & inside[1:])
+        at = at[_held(key[at], bits)]
+        inside = np.zeros(len(key), bool)
+        inside[at] = True
+        yield length, key, at
+
+
+def _reader(bits) -> Callable:
     """(lang, length, phrase, n) of the phrases in the filter, and for each language, with a null phrase, the number of words."""
 
-    def added(texts: dict[int, tuple[bytes, int, bytes | None]], held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
         n = np.zeros(len(keys), np.int64)
         np.add.at(n, at, np.concatenate([n for _, n in held]))
-        langs, lengths, phrases = zip(*map(texts.__getitem__, keys.tolist()), strict=True)
-        made = [pa.array(langs, pa.binary()).cast(pa.string()), pa.array(lengths, pa.int16()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n)]
-        yield pa.RecordBatch.from_arrays(made, ["lang", "length", "phrase", "n"])
+        return keys, n
+
+    def rows(texts: dict[int, tuple[bytes, int, bytes | None]], keys: np.ndarray, n: np.ndarray, each: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(keys), each):
+            langs, lengths, phrases = zip(*map(texts.__getitem__, keys[i : i + each].tolist()), strict=True)
+            made = [pa.array(langs, pa.binary()).cast(pa.string()), pa.array(lengths, pa.int16()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n[i : i + each])]
+            yield pa.RecordBatch.from_arrays(made, ["lang", "length", "phrase", "n"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -162,7 +199,7 @@ def _reader(scan: int, reached) -> Callable:
             names = {xxhash.xxh64_intdigest(x, 5): x for x in batch.column(0).cast(pa.binary()).unique().to_pylist()}
             for s in _sliced([batch]):
                 found = [(0, s.lang, np.arange(len(s.lang)))]  # a language's words have its hash as their key
-                found += [(length, key, np.flatnonzero(since < NEVER)) for length, key, _, since in _phrases(s, scan, reached.value)]
+                found += _found(s, bits.value)
                 for length, key, at in found:
                     keys, first, n = np.unique(key[at], return_index=True, return_counts=True)
                     for k, i in zip(keys.tolist(), at[first].tolist(), strict=True):
@@ -171,23 +208,42 @@ def _reader(scan: int, reached) -> Callable:
                     if len(keys):
                         held.append((keys, n))
                         size += len(keys)
-                if len(texts) > KNOWN or size > FLUSH:
-                    yield from added(texts, held)
+                if len(texts) > KNOWN:
+                    yield from rows(texts, *added(held))
                     texts, held, size = {}, [], 0
+                elif size > FLUSH:  # no more keys than texts are left
+                    held, size = [added(held)], 0
         if held:
-            yield from added(texts, held)
+            yield from rows(texts, *added(held))
 
     return read
 
 
-def _learned(reached: np.ndarray, keys: DataFrame, scan: int) -> int:
-    """Puts keys into the filter; returns how many of its places are theirs. The driver sees places of the filter, FILTER at most."""
+def _size(n: int, each: int, least: int) -> int:
+    """A power of 2, `each` for each of n phrases."""
+    return max(least, 1 << max(0, n * each - 1).bit_length())
+
+
+def _learned(reached: np.ndarray, keys: DataFrame, scan: int) -> None:
+    """Puts keys into the filter. The driver sees places of the filter, MOST at most."""
     place = lambda key: key.bitwiseAND(F.lit(len(reached) - 1)).cast("int")
     places = keys.select(F.explode(F.array(place(F.col("key")), place(F.shiftrightunsigned("key", 32)))).alias("p")).distinct().toArrow()
     at = places.column("p").to_numpy()
     at = at[reached[at] == NEVER]
     reached[at] = scan
-    return places.num_rows
+
+
+def _bits(keys: DataFrame, n: int) -> np.ndarray:
+    """The filter of n keys for the last scan, 64 places in each number. The driver sees these numbers, MOST bytes of them at most."""
+    size = min(_size(n, BITS, 1 << 16), MOST * 8)
+    half = lambda key: key.bitwiseAND(F.lit(size - 1))
+    a, b = half(F.col("key")), half(F.shiftrightunsigned("key", 32))
+    places = keys.select(F.explode(F.array(*[half(a + i * b) for i in range(PLACES)])).alias("p"))
+    one = F.expr("shiftleft(1L, CAST(p & 63 AS INT))")
+    made = places.groupBy(F.shiftright("p", 6).cast("int").alias("at")).agg(F.bit_or(one).alias("set")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[made.column("at").to_numpy()] = made.column("set").to_numpy().view(np.uint64)
+    return bits
 
 
 def sharded(docs: DataFrame) -> DataFrame:
@@ -203,7 +259,7 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, length, phrase, n): the phrases of up to LONGEST words that occur `least` times in their language; length 0: all words."""
     spark = docs.sparkSession
     shards, reached = sharded(docs), np.full(FILTER, NEVER, np.uint8)
-    active, longest, scan, last = None, [], 0, -1
+    active, told, longest, n, scan, last = None, [], [], 0, 0, -1
     while scan < SHARDS or scan <= last + SHARDS:  # a phrase activated after scan `last` is counted up to scan last + SHARDS
         if scan >= NEVER - 1:
             raise RuntimeError("phrases of LONGEST words are complete after LONGEST cycles")
@@ -214,18 +270,20 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
         counts = counts.groupBy("length", "begin", "key").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
         counts = stored(counts.withColumn("since", F.coalesce("since", F.when(F.col("n") >= least, scan))), "phrase-counts", "snappy")
         shared.destroy()
-        reached = reached.copy()
-        if _learned(reached, counts.filter((F.col("since") == scan) & (F.col("length") < LONGEST)), scan):
-            last = scan
+        new = counts.filter((F.col("since") == scan) & (F.col("length") < LONGEST)).select("key")
+        if more := new.count():
+            n, last = n + more, scan
+            wanted = min(_size(n, ROOM if told else ROOM_FIRST, len(reached)), max(MOST, len(reached)))
+            reached = np.tile(reached, wanted // len(reached))
+            _learned(reached, new, scan)
+            told.append(new)
         complete = F.col("begin") + (SHARDS - 1) == scan
         longest.append(counts.filter(complete & (F.col("n") >= least) & (F.col("length") == LONGEST)).select("key"))
         active = counts.filter(~complete)
         scan += 1
-    for keys in longest[1:]:
-        longest[0] = longest[0].unionByName(keys)
-    _learned(reached, longest[0], scan)
-    shared = spark.sparkContext.broadcast(reached)
-    read = shards.select("lang", "text").mapInArrow(_reader(scan, shared), "lang string, length short, phrase string, n long")
+    keys = reduce(DataFrame.unionByName, [*told, *longest])
+    shared = spark.sparkContext.broadcast(_bits(keys, keys.count()))
+    read = shards.select("lang", "text").mapInArrow(_reader(shared), "lang string, length short, phrase string, n long")
     phrases = stored(read.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("length") == 0)), "phrases")
     shared.destroy()
     return phrases

@@ -147,6 +147,38 @@ def test_collocations_equal_brute_force(spark, monkeypatch, filter_bytes, top):
     assert got == plain_collocations(rows, 6, top)
 
 
+@pytest.mark.parametrize("most", [1 << 6, 1 << 26])
+def test_collocations_whose_filter_grows_or_tells_nothing(spark, monkeypatch, most):
+    """What a filter says of a phrase must not change while the phrase is counted."""
+    for name, value in {"FILTER": 1 << 6, "MOST": most, "ROOM": 4, "ROOM_FIRST": 1}.items():
+        monkeypatch.setattr(collocations, name, value, raising=False)
+    for seed in (3, 4):
+        rows = phrases_text(seed)
+        docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+        assert sorted(map(tuple, collocations.collocations(docs, least=6).collect())) == plain_collocations(rows, 6, 2000)
+
+
+def test_collocations_read_few_other_phrases_however_many_are_frequent(spark, monkeypatch):
+    """The filter starts far too small for the 1,800 frequent phrases; 24,000 others hold only frequent words."""
+    monkeypatch.setattr(collocations, "FILTER", 1 << 8)
+    rnd, made, plain = random.Random(5), spark.sparkContext.accumulator(0), collocations._reader
+    rows = [("en", " ".join(rnd.sample(["w%d" % i for i in range(400)], 10))) for _ in range(1200)]
+    rows += [("en", f"a{i} b{i} c{i}") for i in range(240) for _ in range(6)]
+
+    def counted(*args):
+        def read(batches):
+            for batch in plain(*args)(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return read
+
+    monkeypatch.setattr(collocations, "_reader", counted)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    found = collocations.frequent(docs, least=6).count()
+    assert found <= made.value < 1.5 * found * collocations.SHARDS * 2
+
+
 def test_collocations_cut_at_the_first_of_equal_scores(spark):
     rows = [("en", "a b c d. x a b. ")] * 7 + [("en", "y")]
     got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string"), least=5).collect()
