@@ -14,6 +14,10 @@ count over a group's bins, of which there are at most BINS, finds the nearest ha
 number of documents, and no task holds a group's rows. Bins are 1/32 of a doubling of the squared distance wide; of the bin in which
 the half is full only the share that it lacks counts.
 
+Steps are many and small. Adaptive planning makes a job, and a thread of the driver, of each of their exchanges; with few groups, whose
+estimates are broadcast, it has nothing to split or to replan, so steps are planned without it, their exchanges in no more partitions
+than the table of vectors is read in.
+
 FLOOR is a documented parameter: the least standard deviation of each statistic, added to every scatter. A statistic that is the same in
 most documents of a group (no symbols, no repeated line) has no scatter of its own; with the floor the scatter stays regular.
 
@@ -27,6 +31,8 @@ repeat count each; null doc_ids are allowed; an empty table gives an empty resul
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,6 +55,8 @@ H, MORE, BINS, PRIOR = 0.5, 1, 2048, 10
 FIRST, BEST, STEPS = 2, 2, 500
 #: Groups whose estimates one task makes: at most so many x starts x BINS rows of sums. Their table has a file for each such task.
 GROUPS = 64
+#: With up to so many groups steps are planned once: their estimates (some 200 bytes for each group and start) are small enough to broadcast.
+PLAIN = 4 * GROUPS
 #: Determinants that differ by less than this share are the same.
 SAME = 1e-6
 #: The squared distance of five independent normal values is below this for all but about 1 in 100,000.
@@ -195,11 +203,32 @@ def _kept_apart(estimate: DataFrame, groups: int) -> DataFrame:
     return stored(estimate.coalesce(groups // GROUPS + 1), "quality-step")
 
 
+@contextmanager
+def _planned_once(rows: DataFrame, groups: int) -> Iterator[None]:
+    """Queries that run inside are one job each, in no more partitions than rows is read in. With more than PLAIN groups nothing changes."""
+    conf = rows.sparkSession.conf
+    tasks = "spark.sql.shuffle.partitions"
+    own = {k: conf.get(k) for k in ("spark.sql.adaptive.enabled", tasks)}
+    try:
+        if groups <= PLAIN:
+            conf.set(tasks, min(int(own[tasks]), max(1, rows.rdd.getNumPartitions())))
+            conf.set("spark.sql.adaptive.enabled", "false")
+        yield
+    finally:
+        for k, v in own.items():
+            conf.set(k, v)
+
+
 def estimates(rows: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """The reweighted minimum-covariance-determinant estimate of each group. rows: (grp, x_...) of documents that the base rules pass;
     prior: an estimate for each group, whose scatter counts as that of PRIOR rows."""
-    keys = ("grp", "start")
     groups = rows.select("grp").distinct().count()
+    with _planned_once(rows, groups):
+        return _settled(rows, prior, groups)
+
+
+def _settled(rows: DataFrame, prior: DataFrame | None, groups: int) -> DataFrame:
+    keys = ("grp", "start")
     now = _kept_apart(_starts(rows), groups)  # a few hundred bytes for each group and start
     by, ended = Window.partitionBy(*keys), []
     nth = F.row_number().over(Window.partitionBy("grp").orderBy("det", "start"))

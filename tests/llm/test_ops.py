@@ -651,3 +651,26 @@ def test_hashes():
     h = WordHashes()
     a, b = h.of([b"a", b"b", b"c", b"d", b"e"]), h.of([b"b", b"a", b"c", b"d", b"e"])
     assert rolling(a, 5)[0] != rolling(b, 5)[0] and len(rolling(a, 6)) == 0
+
+
+def test_quality_steps_are_one_job_each(spark):
+    """A job for each exchange of each step filled the driver with threads and plans."""
+    rows = [(f"s{i % 3}", *[float(np.sin(i * (j + 1))) + j for j in range(len(quality.X))]) for i in range(300)]
+    rows = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{c} double" for c in quality.X)).repartition(2)
+    jobs, own, plain, spans = spark.sparkContext.statusTracker(), spark.conf.get("spark.sql.shuffle.partitions"), quality._kept_apart, []
+
+    def counted(*args):
+        spark.sparkContext.setJobGroup(name := f"step-{len(spans)}", "")
+        spans.append(name)
+        return plain(*args)
+
+    quality._kept_apart = counted
+    try:
+        quality.estimates(rows)
+    finally:
+        quality._kept_apart = plain
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # The steps between the first estimates and the last two; each also asks whether anything is left.
+    assert len(spans) > 5
+    assert max(len(jobs.getJobIdsForGroup(x)) for x in spans[1:-2]) <= 3, [len(jobs.getJobIdsForGroup(x)) for x in spans]
+    assert (spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")) == ("true", own)
