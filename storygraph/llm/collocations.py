@@ -6,10 +6,12 @@ so far; it is counted in the next SHARDS scans, one full cycle, and then complet
 
 What phrases have reached `least` is told to the tasks by a filter, each byte holding the scan after which the first phrase of that place
 did. A place shared with another phrase only activates a phrase early, and for a full cycle as well. Phrases are 64-bit hashes while they
-are counted; a collision can only raise a count. So each phrase found frequent is a superset of what is wanted: one last scan reads the
-words and exact counts of those phrases, and all that follows joins words, not hashes.
+are counted. With each count goes the smallest id of a document that the phrase is in, its witness, and the sum of a second hash over its
+occurrences. The words of a frequent phrase are read from its witness alone, so that each phrase makes one row, however many tasks it
+occurs in; all that follows joins words, not hashes. Where phrases shared a hash, their count is no multiple of one second hash: then
+(with one sum wrong in 2^CHECK such cases) one more scan reads the words and exact counts of all phrases found, a superset of what is wanted.
 
-The filter grows when less than ROOM bytes are left for each phrase in it, and the last scan has one of bits, BITS for each phrase, so
+The filter grows when less than ROOM bytes are left for each phrase in it, and that scan's has BITS for each phrase, so
 that the share of other phrases they let through does not grow with the data. A grown filter repeats the old one, so that what it says of
 a phrase stays: the scan in which a phrase's counts begin must not change under it. Above MOST bytes (4 and 32 million phrases) they grow
 no more: then more phrases are counted that are dropped later, which costs rows and no results.
@@ -21,6 +23,7 @@ bytes goes first.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -44,47 +47,67 @@ ROOM, ROOM_FIRST, BITS, PLACES = 16, 64, 16, 4
 NEVER = 255
 #: Occurrences that a task counts before it hands them on.
 FLUSH = 2_000_000
-#: Phrases whose words a task remembers.
+#: Phrases that a task counts by their words before it hands them on.
 KNOWN = 500_000
+#: Bits of the second hash of a phrase, and of a language: sums over all their occurrences stay below 2^63.
+CHECK, CHECK_LANG = 30, 16
 
 #: Ends of pieces become \n, tabs spaces.
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
-_BASE = 0x9E3779B97F4A7C15
+_BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _own: dict = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of _BASE and of its inverse, modulo 2^64."""
-    if len(_own.get("powers", ((),))[0]) < n:
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of base and of its inverse, modulo 2^64."""
+    if len(_own.get(base, ((),))[0]) < n:
         power = lambda x: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, x, np.uint64))])
-        _own["powers"] = power(_BASE), power(pow(_BASE, -1, 1 << 64))
-    return _own["powers"]
+        _own[base] = power(base), power(pow(base, -1, 1 << 64))
+    return _own[base]
 
 
 class _Slice:
-    """The words of some texts: places, hashes, the hash of the language, and the piece that each lies in."""
-
-    def __init__(self, langs: list[bytes], texts: list[bytes]):
-        import xxhash
+    """The words of some texts: places, hashes, the hash of the language, the text's id, and the piece that each lies in."""
 
+    def __init__(self, langs: list[bytes], texts: list[bytes], ids: list[int]):
         self.text = b"\n".join([*texts, b""]).lower().translate(_ENDS)
-        chars = np.frombuffer(self.text, np.uint8)
-        inside = np.concatenate([[False], (chars != 32) & (chars != 10)])  # the last one is an end
+        self.chars = np.frombuffer(self.text, np.uint8)
+        inside = np.concatenate([[False], (self.chars != 32) & (self.chars != 10)])  # the last one is an end
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.starts, self.ends = edges[::2], edges[1::2]
-        power, inverse = _powers(len(chars) + 1)
-        sums = np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * power[: len(chars)])
+        self.h = self._words(_BASES[0])
+        self.piece = np.cumsum(self.chars == 10)[self.starts]
+        self.langs, self.each = langs, np.diff(np.searchsorted(self.starts, np.cumsum([0] + [len(t) + 1 for t in texts])))
+        self.lang = self._langs(5)
+        self.id = np.repeat(np.array(ids, np.int64), self.each)
+        self._second = None
+
+    def _words(self, base: int) -> np.ndarray:
+        power, inverse = _powers(base, len(self.chars) + 1)
+        sums = np.cumsum((self.chars.astype(np.uint64) + np.uint64(1)) * power[: len(self.chars)])
         before = np.where(self.starts > 0, sums[self.starts - 1], np.uint64(0))
-        self.h = mix((sums[self.ends - 1] - before) * inverse[self.starts])
-        self.piece = np.cumsum(chars == 10)[self.starts]
-        of = np.array([xxhash.xxh64_intdigest(x, 5) for x in langs], np.uint64)
-        self.lang = np.repeat(of, np.diff(np.searchsorted(self.starts, np.cumsum([0] + [len(t) + 1 for t in texts]))))
+        return mix((sums[self.ends - 1] - before) * inverse[self.starts])
+
+    def _langs(self, seed: int) -> np.ndarray:
+        import xxhash
+
+        return np.repeat(np.array([xxhash.xxh64_intdigest(x, seed) for x in self.langs], np.uint64), self.each)
 
     def keys(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """For each word the key of the phrase of that length that it begins, and whether it is one."""
         key = rolling(self.h, length, seed=length)
         return mix(key ^ self.lang[: len(key)]), self.piece[: len(key)] == self.piece[length - 1 :]
 
+    def checks(self, length: int) -> np.ndarray:
+        """For each word the second hash of the phrase of that length that it begins; length 0: of its language."""
+        if self._second is None:
+            self._second = self._words(_BASES[1]), self._langs(6)
+        h, lang = self._second
+        if not length:
+            return (lang >> np.uint64(64 - CHECK_LANG)).astype(np.int64)
+        key = rolling(h, length, seed=LONGEST + length)
+        return (mix(key ^ lang[: len(key)]) >> np.uint64(64 - CHECK)).astype(np.int64)
+
     def phrase(self, i: int, length: int) -> bytes:
         return b" ".join(self.text[self.starts[i] : self.ends[i + length - 1]].split())
 
@@ -111,42 +134,59 @@ def _phrases(s: _Slice, scan: int, reached: np.ndarray) -> Iterator[tuple[int, n
 
 
 def _sliced(batches: Iterator[pa.RecordBatch], bytes_each: int = 1 << 20) -> Iterator[_Slice]:
-    """Texts of (lang, text), in parts of a bounded number of bytes (or one text)."""
+    """Texts of (lang, text, id), in parts of a bounded number of bytes (or one text)."""
     for batch in batches:
-        langs, texts, size = [], [], 0
-        for lang, text in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            langs.append(lang)
-            texts.append(text)
-            size += len(text)
+        rows, size = [], 0
+        for row in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            rows.append(row)
+            size += len(row[1])
             if size > bytes_each:
-                yield _Slice(langs, texts)
-                langs, texts, size = [], [], 0
-        if texts:
-            yield _Slice(langs, texts)
+                yield _Slice(*map(list, zip(*rows, strict=True)))
+                rows, size = [], 0
+        if rows:
+            yield _Slice(*map(list, zip(*rows, strict=True)))
 
 
 def _counter(scan: int, reached) -> Callable:
-    """(length, begin, key, n) of the phrases active in a scan, added up in parts."""
+    """(length, begin, key, n, check, at) of the phrases active in a scan, added up in parts; length 0: the words of each language."""
 
-    def counted(held: dict[tuple[int, int], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for (length, begin), keys in held.items():
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            same = [pa.array(np.full(len(key), x, np.int16)) for x in (length, begin)]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["length", "begin", "key", "n"])
+    def made(length: int, begin: int, key, *rest) -> pa.RecordBatch:
+        same = [pa.array(np.full(len(key), x, np.int16)) for x in (length, begin)]
+        return pa.RecordBatch.from_arrays([*same, pa.array(key.view(np.int64)), *map(pa.array, rest)], ["length", "begin", "key", "n", "check", "at"])
+
+    def counted(held: dict[tuple[int, int], list[tuple]]) -> Iterator[pa.RecordBatch]:
+        for which, parts in held.items():
+            key, check, at = map(np.concatenate, zip(*parts, strict=True))
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.diff(np.append(first, len(key))).astype(np.int64)
+            yield made(*which, key[first], n, np.add.reduceat(check[order], first), np.minimum.reduceat(at[order], first))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
+        held, size, langs = {}, 0, {}
         for s in _sliced(batches):
+            if scan < SHARDS and len(s.h):
+                key, first, n = np.unique(s.lang, return_index=True, return_counts=True)
+                of = s.checks(0)
+                for k, i, m in zip(key.tolist(), first.tolist(), n.tolist(), strict=True):
+                    have = langs.get(k, (0, 0, s.id[i]))
+                    # Sums over words of one language, as if word by word.
+                    langs[k] = have[0] + m, have[1] + int(of[s.lang == np.uint64(k)].sum()), min(have[2], s.id[i])
             for length, key, begin, _ in _phrases(s, scan, reached.value):
+                of = None
                 for since in range(max(0, scan - SHARDS + 1), scan + 1):
-                    active = key[begin == since]
+                    active = np.flatnonzero(begin == since)
                     if len(active):
-                        held.setdefault((length, since), []).append(active)
+                        of = s.checks(length) if of is None else of
+                        held.setdefault((length, since), []).append((key[active], of[active], s.id[active]))
                         size += len(active)
             if size > FLUSH:
                 yield from counted(held)
                 held, size = {}, 0
         yield from counted(held)
+        if langs:
+            yield made(0, 0, np.array(list(langs), np.uint64), *np.array(list(langs.values()), np.int64).T.copy())
 
     return count
 
@@ -176,49 +216,65 @@ def _found(s: _Slice, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.nd
         yield length, key, at
 
 
-def _reader(bits) -> Callable:
-    """(lang, length, phrase, n) of the phrases in the filter, and for each language, with a null phrase, the number of words."""
-
-    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        n = np.zeros(len(keys), np.int64)
-        np.add.at(n, at, np.concatenate([n for _, n in held]))
-        return keys, n
-
-    def rows(texts: dict[int, tuple[bytes, int, bytes | None]], keys: np.ndarray, n: np.ndarray, each: int = 1 << 15) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(keys), each):
-            langs, lengths, phrases = zip(*map(texts.__getitem__, keys[i : i + each].tolist()), strict=True)
-            made = [pa.array(langs, pa.binary()).cast(pa.string()), pa.array(lengths, pa.int16()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n[i : i + each])]
-            yield pa.RecordBatch.from_arrays(made, ["lang", "length", "phrase", "n"])
+def _reader() -> Callable:
+    """(lang, length, phrase, key, of) of the keys that each text of (lang, text, id, keys) is to be read for; of: the second hash."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        texts, held, size = {}, [], 0
         for batch in batches:
-            names = {xxhash.xxh64_intdigest(x, 5): x for x in batch.column(0).cast(pa.binary()).unique().to_pylist()}
+            langs = dict(zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), strict=True))
+            lists = dict(zip(batch.column(2).to_pylist(), batch.column(3), strict=True))
             for s in _sliced([batch]):
-                found = [(0, s.lang, np.arange(len(s.lang)))]  # a language's words have its hash as their key
-                found += _found(s, bits.value)
-                for length, key, at in found:
-                    keys, first, n = np.unique(key[at], return_index=True, return_counts=True)
-                    for k, i in zip(keys.tolist(), at[first].tolist(), strict=True):
-                        if k not in texts:
-                            texts[k] = names[int(s.lang[i])], length, s.phrase(i, length) if length else None
-                    if len(keys):
-                        held.append((keys, n))
-                        size += len(keys)
-                if len(texts) > KNOWN:
-                    yield from rows(texts, *added(held))
-                    texts, held, size = {}, [], 0
-                elif size > FLUSH:  # no more keys than texts are left
-                    held, size = [added(held)], 0
-        if held:
-            yield from rows(texts, *added(held))
+                keys = [(i, lists[i].values.to_numpy()) for i in np.unique(s.id).tolist()]
+                wanted = {(i, k) for i, each in keys for k in each.tolist()}
+                both = np.concatenate([mix(np.full(len(each), i, np.int64).view(np.uint64)) ^ each.view(np.uint64) for i, each in keys] or [np.empty(0, np.uint64)])
+                for length in range(LONGEST + 1):
+                    key, valid = s.keys(length) if length else (s.lang, np.ones(len(s.lang), bool))
+                    if not len(key):
+                        break
+                    at = np.flatnonzero(valid)
+                    at = at[np.isin(mix(s.id[at].view(np.uint64)) ^ key[at], both)]
+                    _, first = np.unique(mix(s.id[at].view(np.uint64)) ^ key[at], return_index=True)
+                    at = at[first]
+                    at = at[np.fromiter(((i, k) in wanted for i, k in zip(s.id[at].tolist(), key[at].view(np.int64).tolist(), strict=True)), bool, len(at))]
+                    made = [pa.array([langs[i] for i in s.id[at].tolist()], pa.string()), pa.array(np.full(len(at), length, np.int16)), pa.array([s.phrase(i, length) if length else None for i in at.tolist()], pa.binary()).cast(pa.string()), pa.array(key[at].view(np.int64)), pa.array(s.checks(length)[at])]
+                    yield pa.RecordBatch.from_arrays(made, ["lang", "length", "phrase", "key", "of"])
 
     return read
 
 
+def _counting_reader(bits) -> Callable:
+    """(lang, length, phrase, n) of the phrases in the filter, told apart by their words, and for each language, with a null phrase, the number of words."""
+
+    def rows(counts: Counter) -> Iterator[pa.RecordBatch]:
+        langs, lengths, phrases = zip(*counts, strict=True)
+        made = [pa.array(langs, pa.binary()).cast(pa.string()), pa.array(lengths, pa.int16()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())]
+        yield from pa.Table.from_arrays(made, ["lang", "length", "phrase", "n"]).to_batches(1 << 15)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counter()
+        for s in _sliced(batches):
+            counts.update({(lang, 0, None): n for lang, n in _by_lang(s).items()})
+            text = np.repeat(np.arange(len(s.langs)), s.each)
+            for length, _, at in _found(s, bits.value):
+                counts.update((s.langs[j], length, s.phrase(i, length)) for i, j in zip(at.tolist(), text[at].tolist(), strict=True))
+            if len(counts) > KNOWN:
+                yield from rows(counts)
+                counts = Counter()
+        if counts:
+            yield from rows(counts)
+
+    return read
+
+
+def _by_lang(s: _Slice) -> Counter:
+    """Words of each language that has any."""
+    out = Counter()
+    for lang, n in zip(s.langs, s.each.tolist(), strict=True):
+        if n:
+            out[lang] += n
+    return out
+
+
 def _size(n: int, each: int, least: int) -> int:
     """A power of 2, `each` for each of n phrases."""
     return max(least, 1 << max(0, n * each - 1).bit_length())
@@ -247,43 +303,54 @@ def _bits(keys: DataFrame, n: int) -> np.ndarray:
 
 
 def sharded(docs: DataFrame) -> DataFrame:
-    """(lang, text, shard), stored by shard."""
+    """(lang, text, id, shard), stored by shard; ids are given as the rows are stored."""
     path = scratch_path(docs.sparkSession, "phrase-shards")
     shard = F.pmod(F.xxhash64("text", "lang"), F.lit(SHARDS)).cast("int")
-    rows = docs.filter("text IS NOT NULL").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", shard.alias("shard"))
+    rows = docs.filter("text IS NOT NULL").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", F.monotonically_increasing_id().alias("id"), shard.alias("shard"))
     rows.write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema("lang string, text string, shard int").parquet(path)
+    return docs.sparkSession.read.schema("lang string, text string, id long, shard int").parquet(path)
 
 
 def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, length, phrase, n): the phrases of up to LONGEST words that occur `least` times in their language; length 0: all words."""
     spark = docs.sparkSession
     shards, reached = sharded(docs), np.full(FILTER, NEVER, np.uint8)
-    active, told, longest, n, scan, last = None, [], [], 0, 0, -1
+    active, ready, n, scan, last = None, [], 0, 0, -1
     while scan < SHARDS or scan <= last + SHARDS:  # a phrase activated after scan `last` is counted up to scan last + SHARDS
         if scan >= NEVER - 1:
             raise RuntimeError("phrases of LONGEST words are complete after LONGEST cycles")
         shared = spark.sparkContext.broadcast(reached)
-        part = shards.filter(F.col("shard") == scan % SHARDS).select("lang", "text").mapInArrow(_counter(scan, shared), "length short, begin short, key long, n long")
-        part = part.withColumn("since", F.lit(None).cast("int"))
+        part = shards.filter(F.col("shard") == scan % SHARDS).select("lang", "text", "id")
+        part = part.mapInArrow(_counter(scan, shared), "length short, begin short, key long, n long, check long, at long").withColumn("since", F.lit(None).cast("int"))
         counts = part if active is None else active.unionByName(part)
-        counts = counts.groupBy("length", "begin", "key").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
+        counts = counts.groupBy("length", "begin", "key").agg(*[F.sum(c).alias(c) for c in ("n", "check")], *[F.min(c).alias(c) for c in ("at", "since")])
         counts = stored(counts.withColumn("since", F.coalesce("since", F.when(F.col("n") >= least, scan))), "phrase-counts", "snappy")
         shared.destroy()
-        new = counts.filter((F.col("since") == scan) & (F.col("length") < LONGEST)).select("key")
+        new = counts.filter((F.col("since") == scan) & F.col("length").between(1, LONGEST - 1)).select("key")
         if more := new.count():
+            wanted = min(_size(n + more, ROOM_FIRST if last < 0 else ROOM, len(reached)), max(MOST, len(reached)))
             n, last = n + more, scan
-            wanted = min(_size(n, ROOM if told else ROOM_FIRST, len(reached)), max(MOST, len(reached)))
             reached = np.tile(reached, wanted // len(reached))
             _learned(reached, new, scan)
-            told.append(new)
         complete = F.col("begin") + (SHARDS - 1) == scan
-        longest.append(counts.filter(complete & (F.col("n") >= least) & (F.col("length") == LONGEST)).select("key"))
+        ready.append(counts.filter(complete & ((F.col("n") >= least) | (F.col("length") == 0))).select("length", "key", "n", "check", "at"))
         active = counts.filter(~complete)
         scan += 1
-    keys = reduce(DataFrame.unionByName, [*told, *longest])
-    shared = spark.sparkContext.broadcast(_bits(keys, keys.count()))
-    read = shards.select("lang", "text").mapInArrow(_reader(shared), "lang string, length short, phrase string, n long")
+    found = reduce(DataFrame.unionByName, ready)
+    witnesses = found.groupBy(F.col("at").alias("id")).agg(F.collect_list("key").alias("keys"))
+    read = shards.select("lang", "text", "id").join(witnesses, "id").select("lang", "text", "id", "keys")
+    read = read.mapInArrow(_reader(), "lang string, length short, phrase string, key long, of long")
+    sure = F.coalesce(F.col("n") * F.col("of") == F.col("check"), F.lit(False))
+    phrases = stored(found.join(read, ["length", "key"], "left").select("lang", "length", "phrase", "n", sure.alias("_sure")), "phrases")
+    if phrases.filter("NOT _sure").isEmpty():
+        return phrases.drop("_sure")
+    return _counted_by_words(shards, found.filter("length > 0").select("key"), least)
+
+
+def _counted_by_words(shards: DataFrame, keys: DataFrame, least: int) -> DataFrame:
+    """What frequent() returns, where different phrases among these keys share one: every task counts all of them by their words."""
+    shared = shards.sparkSession.sparkContext.broadcast(_bits(keys, keys.count()))
+    read = shards.select("lang", "text", "id").mapInArrow(_counting_reader(shared), "lang string, length short, phrase string, n long")
     phrases = stored(read.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("length") == 0)), "phrases")
     shared.destroy()
     return phrases

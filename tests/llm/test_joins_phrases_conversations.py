@@ -179,6 +179,48 @@ def test_collocations_read_few_other_phrases_however_many_are_frequent(spark, mo
     assert found <= made.value < 1.5 * found * collocations.SHARDS * 2
 
 
+def test_collocations_read_each_phrase_once_however_many_tasks(spark, monkeypatch):
+    """A row for each frequent phrase and language, not one for each task that it occurs in."""
+    made, plain = spark.sparkContext.accumulator(0), collocations._reader
+
+    def counted(*args):
+        def read(batches):
+            for batch in plain(*args)(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return read
+
+    monkeypatch.setattr(collocations, "_reader", counted)
+    docs = spark.createDataFrame([(["en", "de"][i % 2], f"so it goes on {i % 7}") for i in range(400)], "lang string, text string").repartition(16)
+    found = collocations.frequent(docs, least=20).count()
+    assert made.value == found > 20
+
+
+def test_collocations_of_phrases_that_share_a_hash(spark, monkeypatch):
+    """Hashes of 9 bits: many different phrases have the same, and are told apart by their words."""
+    plain, whole, seen = collocations._Slice.keys, collocations._counted_by_words, []
+
+    def short(self, length):
+        key, valid = plain(self, length)
+        return key >> np.uint64(55), valid
+
+    monkeypatch.setattr(collocations, "_counted_by_words", lambda *args: seen.append(1) or whole(*args))
+    rows = phrases_text(5)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert sorted(map(tuple, collocations.collocations(docs, least=6).collect())) == plain_collocations(rows, 6, 2000) and not seen
+    of = collocations._sliced
+
+    def sliced(*args):
+        for s in of(*args):
+            s.keys = lambda length, s=s: short(s, length)
+            yield s
+
+    monkeypatch.setattr(collocations, "_sliced", sliced)
+    assert sorted(map(tuple, collocations.collocations(docs, least=6).collect())) == plain_collocations(rows, 6, 2000)
+    assert seen
+
+
 def test_collocations_cut_at_the_first_of_equal_scores(spark):
     rows = [("en", "a b c d. x a b. ")] * 7 + [("en", "y")]
     got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string"), least=5).collect()
