@@ -164,10 +164,10 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     body = F.coalesce("text", F.lit(""))
     hashes = [F.xxhash64("doc_id", "source", body).alias("_key1"), F.xxhash64(body, "doc_id", F.lit("row")).alias("_key2")]
-    nth = F.row_number().over(Window.partitionBy("_key1", "_key2").orderBy("doc_id")).alias("_key3")  # rows that repeat are alike
+    nth = lambda *by: F.row_number().over(Window.partitionBy("_key1", "_key2", *by).orderBy("_key1"))  # noqa: E731  # rows that repeat are alike
     keyed = wrapped(docs, "doc_id", "source", "text").select("*", *hashes)
     rows, sources = sized(keyed.select("doc_id", "source", "text", "_key1", "_key2"))
-    rows = rows.select("*", nth)
+    rows = rows.select("*", nth().alias("_key3"))
     got = pieces(rows).join(plan(sources).select("sid", "block", "epoch", "cut").hint("merge"), ["sid", "block"])
     got = got.withColumn("end", F.when(F.col("cut").isNull(), F.col("end")).otherwise(F.col("start") + _within_cut())).filter("end > start")
     keys = ["_key1", "_key2", "_key3"]
@@ -176,7 +176,12 @@ def mixed(docs: DataFrame) -> DataFrame:
         F.sum(F.col("end") - F.col("start")).alias("_got"),
     )
     got = got.groupBy(*keys, "size").agg(F.collect_list(F.struct("epoch", "_spans", "_got")).alias("_epochs"))  # at most MOST
-    out = keyed.select("*", nth).join(got, keys).select("_doc", "text", "size", F.explode("_epochs").alias("_e"))
+    # Documents, which hold their text once, and what is taken of them are shuffled together: a join on the three keys would shuffle the
+    # texts again, as numbering rows that repeat deals them by two.
+    met = keyed.select("_doc", "_key1", "_key2").unionByName(got.select(*keys, F.struct("size", "_epochs").alias("_taken")), allowMissingColumns=True)
+    met = met.repartition("_key1", "_key2").withColumn("_key3", F.coalesce("_key3", nth(F.col("_doc").isNull())))
+    met = met.withColumn("_taken", F.first("_taken", ignorenulls=True).over(Window.partitionBy(*keys)))  # one of each key at most
+    out = met.filter("_doc IS NOT NULL").select("_doc", "_taken.size", F.explode("_taken._epochs").alias("_e")).withColumn("text", F.col("_doc").getField("text"))
     cut = F.flatten(F.transform("_e._spans", lambda s: F.slice(F.col("_words"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
     out = out.withColumn("_words", F.when(F.col("_e._got") < F.col("size"), words(F.col("text"))))
     out = out.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(F.array_join(cut, " ")))

@@ -436,6 +436,28 @@ def test_mixing(spark, odder, data):
         assert sum(r["taken"] for r in rows) == sum(len(re.findall(WORD, r["text"] or "")) for r in mixing.mixed(docs).select("text").collect())
 
 
+def test_mix_shuffles_texts_once(spark, data, capsys):
+    """Texts went through two shuffles, in each of them twice: as a column and within the whole row."""
+    mixing.mixed(spark.read.parquet(f"{data}/documents.parquet")).explain("formatted")
+    dealt = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out)
+    dealt = [x for x in dealt if "_doc#" in x or "text#" in x]
+    assert len(dealt) == 1 and "text#" not in dealt[0]
+
+
+def test_mix_of_rows_that_repeat(spark, odder):
+    """Of rows alike in doc_id, source and text each has its own other columns; each document has the words that taken() says."""
+    rows = [(i, f"one text {i} \n of some  words", "en", "a", 0, j, "x", 5, "k") for i in (0, None, 7) for j in range(4)]
+    got = mixing.mixed(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(rows)  # one source alone is taken whole, once
+    words = lambda rows: collections.Counter({k: n for k, n in rows.items() if n})
+    want, have = collections.Counter(), collections.Counter()
+    for r in mixing.taken(odder).collect():
+        want[r["doc_id"], r["source"]] += r["taken"]
+    for r in mixing.mixed(odder).collect():
+        have[r["doc_id"], r["source"]] += len(re.findall(WORD, r["text"] or ""))
+    assert words(want) == words(have)
+
+
 def test_shards_of_the_mix(spark):
     """Slots of a source are spread over shards as multinomial draws are, also where some were dropped or made up; blocks by epoch once."""
     sources = spark.createDataFrame([("a", 512 * 9000 + 100), ("b", 512 * 2000), ("c", 300)], "source string, source_size long")
