@@ -1,37 +1,22 @@
 """Queries over knowledge through chains of telling and over beliefs, and their SQL."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from storygraph.operators import belief as B
-from storygraph.plans.source_plans import _folder
 from storygraph.plans.sql import MOVES, with_
-from storygraph.sources.io import keeper
-from storygraph.sources.projections import moves, tellings
-
-
-def _told(spark: SparkSession, d: str) -> tuple[dict, DataFrame, DataFrame, DataFrame, object]:
-    """The moves with their events' times and tellings, what is known of them, and where their tables are kept."""
-    m, keep = moves(spark, d), keeper(spark, _folder(spark))
-    at = keep(B.times(m["events"], m["sections"]))
-    e = m["events"].select("story", F.col("id").alias("event"), "participants").join(at, ["story", "event"])
-    e = keep(e.join(tellings(spark, d).withColumnRenamed("id", "event"), ["story", "event"], "left"))
-    return m, at, e, B.earliest(e, keep), keep
+from storygraph.sources.projections import moves, told_moves
 
 
 def earliest(spark, d):
     """Q8, Q9: when each character could first know of each event, by presence or through chains of telling."""
-    return _told(spark, d)[3]
+    in_order = Window.partitionBy("story").orderBy("pos", "ord", "event")
+    return B.earliest(told_moves(spark, d).drop("changes").withColumn("t", F.row_number().over(in_order)))
 
 
 def beliefs(spark, d):
     """What each character believes at the end of each section, and whether it holds there."""
-    m, at, e, known, keep = _told(spark, d)
-    changes = m["state_changes"].withColumnRenamed("caused_by_event", "event")
-    said = B.claims(e, m["entities"], changes)
-    windows = B.belief_windows(B.learned(known, changes, e, said))
-    who = m["entities"].filter("type = 'character'").select("story", F.col("id").alias("character"))
-    return B.beliefs_at(B.section_keys(at, who), keep(windows), keep(B.truth_windows(changes, at)))
+    return B.states(told_moves(spark, d), moves(spark, d)["entities"])
 
 
 QUERIES = {"belief_earliest": earliest, "belief_states": beliefs}

@@ -97,3 +97,51 @@ def test_words_without_truth_and_labels(told):
 def test_empty(told):
     known, said, states = told([], [], {})
     assert known.count() == said.count() == states.count() == 0
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_stories_are_read_once(spark, data):
+    """No rounds: a shuffle of the events by story, and for states one of the distinct states and entities before it."""
+    from storygraph.plans import belief_plans
+
+    assert _exchanges(belief_plans.earliest(spark, data)) == 1
+    assert _exchanges(belief_plans.beliefs(spark, data)) <= 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_states_like_windows(spark, told, seed):
+    """One reading of a story against claims, windows and interval joins; lies, speakers who are told their own lies, and batches of a few rows."""
+    rnd, who, things = random.Random(seed), [f"c{i}" for i in range(5)], ["red box", "blue box", "hat"]
+    some = lambda n: rnd.sample([*who, None], rnd.randint(0, n)) or None
+    events, changes = [], []
+    for i in range(80):
+        words = rnd.choice([None, "", " has ".join(rnd.sample([*who, *things], 3))])
+        events.append((f"e{i:03}", f"section_{i // 20 + 1}", some(2), (rnd.choice([*who, None]), some(2), words) if rnd.random() < 0.6 else None))
+        changes += [(rnd.choice(who), rnd.choice(things).replace(" ", "_"), rnd.choice(["OWNS", "IS_INSIDE"]), f"e{i:03}") for _ in range(rnd.choice([0, 0, 1, 2]))]
+    labels = {w: w for w in who} | {t.replace(" ", "_"): t.upper() for t in things}
+    want = told(events, changes, labels, 4)[2]
+    asked = want.filter(F.col("character").isin(who))
+    by = {}
+    for a, b, t, e in changes:
+        by.setdefault(e, []).append((a, t, b))
+    rows = [("s", i, int(s[-1]) - 1, n, p, c, by.get(i)) for n, (i, s, p, c) in enumerate(events)]
+    e = spark.createDataFrame(rows, "story string, event string, pos int, ord int, participants array<string>, communicates struct<speaker string, recipients array<string>, content string>, changes array<struct<from string, type string, to string>>")
+    named = spark.createDataFrame([("s", i, "character" if i in who else "object", x) for i, x in labels.items()], "story string, id string, type string, label string")
+    other = lambda df: df.withColumn("story", F.lit("r"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = B.states(e.unionByName(other(e)), named.unionByName(other(named)))
+        plain = lambda df, s: sorted(map(repr, df.select(F.lit(s).alias("story"), *sorted(set(want.columns) - {"story"})).collect()))
+        rows_ = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = spark.createDataFrame(rows_, got.schema)
+    assert plain(got.filter("story = 's'"), "s") == plain(asked, "s") and plain(got.filter("story = 'r'"), "s") == plain(asked, "s") and asked.filter("is_false").count() > 5
+
+
+def test_states_empty(spark):
+    e = spark.createDataFrame([], "story string, event string, pos int, ord int, participants array<string>, communicates struct<speaker string, recipients array<string>, content string>, changes array<struct<from string, type string, to string>>")
+    assert B.states(e, spark.createDataFrame([("s", "a", "character", "a")], "story string, id string, type string, label string")).count() == 0
