@@ -61,7 +61,8 @@ class GraphStore:
         out = {}
         for table in self.tables:
             rows = self.spark.read.option("basePath", f"{self.root}/{table}").option("mergeSchema", True).parquet(*[f"{self.root}/{table}/batch={b}" for b in batches])
-            out[table] = rows.withColumn("batch", F.col("batch").cast("string")).join(stories, ["story", "batch"], "left_semi").drop("batch")
+            held = stories.select(F.col("story").alias("_story"), F.col("batch").alias("_batch"))
+            out[table] = rows.withColumn("batch", F.col("batch").cast("string")).join(held, F.col("story").eqNullSafe(F.col("_story")) & (F.col("batch") == F.col("_batch")), "left_semi").drop("batch")
         return out
 
     def _write(self, table: str, rows: DataFrame, batch: str) -> None:
@@ -107,7 +108,8 @@ class GraphStore:
     def _list(self, changed: DataFrame, batch: str) -> int:
         for _ in range(TRIES):
             version = self.version()
-            old = self.stories(version).join(changed, "story", "left_anti")
+            new = changed.select(F.col("story").alias("_story"))
+            old = self.stories(version).join(new, F.col("story").eqNullSafe(F.col("_story")), "left_anti")
             made = f"_{uuid.uuid4().hex}"
             old.unionByName(changed).write.parquet(f"{self.root}/versions/{made}")
             path = self._path("versions", made, f"_batch={batch}")
