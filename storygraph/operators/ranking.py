@@ -21,3 +21,16 @@ def numbered(df: DataFrame, keys: list[str], chunk: list[Column], order: list[Co
     inner = F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order))
     joined = df.join(starts, same).withColumn(out, (F.col("_start") + inner).cast("int"))
     return joined.drop("_start", *names, *[f"_of_{c}" for c in (*keys, *names)])
+
+
+def summed_before(df: DataFrame, keys: list[str], chunk: list[Column], order: list[Column], value: str, out: str) -> DataFrame:
+    """Adds out: the sum of value over the rows before a row, in the order (*chunk, *order) within its keys. Two levels, as in `numbered`."""
+    names = [f"_chunk{i}" for i in range(len(chunk))]
+    df = df.withColumns(dict(zip(names, chunk, strict=True)))
+    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys, *names).agg(F.sum(value).alias("_sum"))
+    bases = sums.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, *names)], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, *names)]
+    inner = F.sum(value).over(Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    joined = df.join(bases, same).withColumn(out, F.col("_base") + F.coalesce(inner, F.lit(0)))
+    return joined.drop("_base", *names, *[f"_of_{c}" for c in (*keys, *names)])

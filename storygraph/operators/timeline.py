@@ -46,10 +46,14 @@ def event_positions(events: DataFrame, sentences: DataFrame, ranges: DataFrame)
 
 
 def mention_positions(mentions: DataFrame, sentences: DataFrame, ranges: DataFrame) -> DataFrame:
-    """TL4: (story, entity, section, pos); of several mentions in a section each has its own."""
-    keyed = mentions.select("story", F.struct("entity", "section", "sentence_ids").alias("key"), "section", F.col("sentence_ids").alias("ids")).distinct()
-    out = first_positions(keyed.withColumn("key", F.to_json("key")), sentences, ranges)
-    return out.select("story", F.get_json_object("key", "$.entity").alias("entity"), "section", "pos")
+    """TL4: (story, entity, section, pos); of several mentions in a section each has its own. As first_positions, but mentions go on
+    with their sentences' ids instead of being joined with what is found, and equal ones fall together on the way."""
+    at = sentences.select("story", F.col("id").alias("_sid"), "position")
+    each = mentions.filter("story IS NOT NULL").select("story", "entity", "section", "sentence_ids", F.explode_outer("sentence_ids").alias("_sid"))
+    met = each.join(at, ["story", "_sid"], "left").select("story", "section", "entity", "sentence_ids", "position").repartition("story", "section")
+    found = met.groupBy("story", "section", "entity", "sentence_ids").agg(F.min("position").alias("_min"))
+    out = found.join(ranges.select("story", "section", "start"), ["story", "section"], "left")  # an unknown section counts as the first, which starts at 0
+    return out.select("story", "entity", "section", F.coalesce("_min", "start", F.lit(0)).alias("pos"))
 
 
 def entity_positions(events: DataFrame, event_pos: DataFrame, mention_pos: DataFrame) -> DataFrame:
