@@ -178,8 +178,8 @@ def timeline_character_events(spark, d):
 def timeline_mentions(spark, d):
     t = trade(spark, d)
     r = TL.section_ranges(t["sections"], t["sentences"])
-    heads = _heads(t["sentences"])
-    out = TL.mentions_reached(heads, TL.mention_positions(t["mentions"], t["sentences"], r), TL.current_section(heads, r))
+    heads = F.broadcast(_heads(t["sentences"]))  # a row for each nation
+    out = TL.mentions_reached(heads, TL.mention_positions(t["mentions"], t["sentences"], r), F.broadcast(TL.current_section(heads, r)))
     return out.select("story", "p", "entity", F.size("sections").alias("n"), "here")
 
 
