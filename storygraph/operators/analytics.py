@@ -66,7 +66,7 @@ def with_fraction(sentences: DataFrame) -> DataFrame:
     """Sentences with fraction, their place in the story from 0 to 1."""
     total = sentences.groupBy("story").agg(F.count(F.lit(1)).alias("_total"))
     at = F.when(F.col("_total") > 1, F.col("position") / (F.col("_total") - 1)).otherwise(0.0)
-    return sentences.join(total, "story").withColumn("fraction", at).drop("_total")
+    return sentences.join(F.broadcast(total), "story").withColumn("fraction", at).drop("_total")  # a row for each work
 
 
 def presence(keyed_mentions_: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def tagged(sentences: DataFrame, labels: DataFrame) -> DataFrame:
     (of any script) doesn't count, a label's short form without honorific counts too, and of equal labels the later entity is meant."""
     short = F.regexp_replace("label", X.SPAN_HONORIFIC, "")
     forms = F.array(F.struct(F.lit(0).alias("n"), F.col("label").alias("form")), F.struct(F.lit(1).alias("n"), short.alias("form")))
-    each = labels.select("story", "id", "ord", "entity", "type", "label", F.explode(forms).alias("f")).filter("f.n = 0 OR (f.form != label AND length(f.form) > 2)")
+    each = labels.repartition("story", "id").select("story", "id", "ord", "entity", "type", "label", F.explode(forms).alias("f")).filter("f.n = 0 OR (f.form != label AND length(f.form) > 2)")
     each = each.filter(F.col("f.form") != "").select("story", "id", F.struct("ord", "f.n").alias("at"), F.lower("f.form").alias("form"), "entity", "type")
     meant = each.groupBy("story", "id", "form").agg(F.max_by(F.struct("entity", "type"), "at").alias("e"))
     quoted = F.regexp_replace("form", r"([.*+?^${}()|\[\]\\])", r"\\$1")
