@@ -93,7 +93,8 @@ def frequency(spark, d):
 
 def presence_payload(spark, d):
     t = _t(spark, d)
-    return A.presence_payload(A.presence(t["km"], t["sentences"]), t["sum"])
+    top = A.top_keys(t["sum"].filter("total_mentions >= 2"), "character", 60)  # chosen before their mentions meet the sentences
+    return A.presence_payload(A.presence(t["km"].join(F.broadcast(top), "key", "left_semi"), t["sentences"]), t["sum"])
 
 
 def presence_totals(spark, d):
