@@ -6,6 +6,8 @@ event that made it, until and valid_until those of the next change of the same (
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,17 +18,30 @@ KEY = ["story", "from", "type"]
 COLUMNS = [*KEY, "to", "valid_from", "at", "until", "valid_until"]
 
 
+#: Parts that a story's keys are dealt to.
+SALTS = 8
+
+
 def windows(changes: DataFrame) -> DataFrame:
     """The windows of changes (story, section_idx, ord, from, to, type, caused_by_event), all at once."""
-    by = Window.partitionBy(*KEY).orderBy("at")
-    w = _placed(changes).withColumns({"until": F.lead("at").over(by), "valid_until": F.lead("valid_from").over(by)})
-    return w.select(*COLUMNS)
+    return _linked(_dealt(_placed(changes)))
 
 
 def _placed(changes: DataFrame) -> DataFrame:
     return changes.select(*KEY, "to", F.col("caused_by_event").alias("valid_from"), F.struct("section_idx", "ord").alias("at"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows by story and a part of its keys: the one shuffle that merging, linking and writing them need."""
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("from", "type"), F.lit(SALTS))).repartition("story", "_salt")
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """Dealt rows as windows, each up to the next one of its key."""
+    by = Window.partitionBy(*KEY, "_salt").orderBy("at")
+    return rows.withColumns({"until": F.lead("at").over(by), "valid_until": F.lead("valid_from").over(by)}).select(*COLUMNS)
+
+
 def merged(old: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, gone): the windows that changes add or shorten, and the keys (story, from, type, at) of those in old that they stand for.
 
@@ -49,18 +64,22 @@ def merged(old: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def applied(old: DataFrame, changes: DataFrame) -> DataFrame:
-    """old with changes merged in."""
-    rows, gone = merged(old, changes)
-    return old.select(*COLUMNS).join(gone, [*KEY, "at"], "left_anti").unionByName(rows).select(*COLUMNS)
+    """old with changes merged in. Who writes the result reads all of old, so both are sorted together, which costs less than to look for
+    the neighbours alone as `merged` does; what is there already stays."""
+    both = old.select(*KEY, "to", "valid_from", "at", F.lit(0).alias("_late")).unionByName(_placed(changes).withColumn("_late", F.lit(1)))
+    first = _dealt(both).groupBy(*KEY, "_salt", "at").agg(F.min(F.struct("_late", "to", "valid_from")).alias("_r"))
+    return _linked(first.select(*KEY, "_salt", "at", "_r.to", "_r.valid_from"))
 
 
 def publish_changes(store: GraphStore, changes: DataFrame, batch: str | None = None) -> int:
     """Merges changes into the windows that a store with the one table `windows` holds. Stories without a change keep their files."""
-    touched = changes.select("story").distinct()
+    path = f"{store.root}/touched/{uuid.uuid4().hex}"
+    changes.select("story").distinct().write.parquet(path)  # stored, so that Spark knows how few they are and no window is shuffled to meet them
+    touched = store.spark.read.schema("story string").parquet(path)
     if not store.version():
-        return store.publish(windows(changes), stories=touched, batch=batch)
+        return store.publish(windows(changes), stories=touched, batch=batch, dealt=True)
     old = store.read()["windows"].join(touched, "story", "left_semi")
-    return store.publish(applied(old, changes), stories=touched, batch=batch)
+    return store.publish(applied(old, changes), stories=touched, batch=batch, dealt=True)
 
 
 def state_edges(df: DataFrame) -> DataFrame:

@@ -65,9 +65,12 @@ class GraphStore:
             out[table] = rows.withColumn("batch", F.col("batch").cast("string")).join(held, F.col("story").eqNullSafe(F.col("_story")) & (F.col("batch") == F.col("_batch")), "left_semi").drop("batch")
         return out
 
-    def _write(self, table: str, rows: DataFrame, batch: str) -> None:
+    def _dealt(self, rows: DataFrame) -> DataFrame:
         salt = F.pmod(F.xxhash64(*[c for c in ("id", "from_id", "to_id", "from", "type") if c in rows.columns]), F.lit(8))  # a long story fills several tasks
-        rows.repartition("story", salt).sortWithinPartitions("story").write.mode("overwrite").parquet(f"{self.root}/{table}/batch={batch}")
+        return rows.repartition("story", salt)
+
+    def _write(self, table: str, rows: DataFrame, batch: str) -> None:
+        rows.sortWithinPartitions("story").write.mode("overwrite").parquet(f"{self.root}/{table}/batch={batch}")
 
     def _published(self, batch: str) -> int | None:
         for v in reversed(self.versions()):
@@ -87,16 +90,17 @@ class GraphStore:
             raise
         return True
 
-    def publish(self, *rows: DataFrame, stories: DataFrame | None = None, batch: str | None = None) -> int:
+    def publish(self, *rows: DataFrame, stories: DataFrame | None = None, batch: str | None = None, dealt: bool = False) -> int:
         """Replaces the stories of rows, one for each table (or `stories`, so that one may lose all its rows) and returns the version that has them.
 
         batch: a name for this publication, such as a stream's batch number; the same name is published once.
+        dealt: rows come shuffled by story and a part of it, and are written as they lie.
         """
         name = batch or uuid.uuid4().hex
         if batch and (done := self._published(batch)):
             return done
         for table, df in zip(self.tables, rows, strict=True):
-            self._write(table, df, name)
+            self._write(table, df if dealt else self._dealt(df), name)
         if stories is None:
             written = [self._rows(name, table).select("story") for table in self.tables]
             stories = reduce(DataFrame.unionByName, written)
@@ -122,7 +126,7 @@ class GraphStore:
         """Publishes the latest version again as one batch."""
         rows, batch = self.read(), uuid.uuid4().hex
         for table in self.tables:
-            self._write(table, rows[table], batch)
+            self._write(table, self._dealt(rows[table]), batch)
         return self._list(self.stories().select("story").withColumn("batch", F.lit(batch)), batch)
 
     def vacuum(self, keep: int = 1) -> None:

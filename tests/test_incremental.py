@@ -94,3 +94,20 @@ def test_streamed_registry_in_any_order(spark, tmp_path, seed):
     got = {(r["story"], r["id"]): (r["type"], r["label"], r["first_idx"], r["stub"]) for r in S.latest(emitted).collect()}
     assert got == {k: v for k, (_, v) in best.items()}
     assert emitted.count() > len(got) and emitted.select("batch").distinct().count() == 3  # some were corrected
+
+
+def test_windows_are_shuffled_once(spark, tmp_path):
+    """Merging and linking need one shuffle of the windows; stories that a change touches are met without one. Rows that are there stay."""
+    rows = log(7)
+    old = N.windows(spark.createDataFrame(rows[::2], CHANGE))
+    path = f"file://{tmp_path}/old"
+    old.write.parquet(path)
+    new = N.applied(spark.read.schema(old.schema).parquet(path), spark.createDataFrame(rows[1::2], CHANGE))
+    assert new._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    again = [(*r[:4], "elsewhere", *r[5:]) for r in rows]
+    store = GraphStore(spark, f"file://{tmp_path}/w", ("windows",))
+    for part in (rows[1::2], rows[::2], again):
+        N.publish_changes(store, spark.createDataFrame(part, CHANGE))
+        store.vacuum()
+    assert edges(N.state_edges(store.read()["windows"])) == edges(O.state_windows(spark.createDataFrame(rows, CHANGE))) == edges(N.state_edges(new))
+    assert len(store.versions()) == 1 and len(store._names("windows")) == 1
